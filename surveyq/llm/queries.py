@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyq.llm.license_scan import BASE, scan_licenses
 from surveyq.llm.line_dedup import dedup_lines
 from surveyq.llm.media import store_media
+from surveyq.llm.packing import pack
 from surveyq.llm.sharding import assign_shards
+from surveyq.llm.token_counts import count_tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -26,6 +29,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_docs(spark, sf_dir))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_media(_docs(spark, sf_dir))
 
@@ -37,11 +44,17 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
+    "op3_token_counts": op3_token_counts,
     "op5_media": op5_media,
     "op6_line_dedup": op6_line_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {}
