@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyq.llm.decontaminate import find_contamination
 from surveyq.llm.license_scan import BASE, scan_licenses
 from surveyq.llm.line_dedup import dedup_lines
 from surveyq.llm.media import store_media
@@ -33,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("ranges", "items")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_media(_docs(spark, sf_dir))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
+    "op4_decontaminate": op4_decontaminate,
     "op5_media": op5_media,
     "op6_line_dedup": op6_line_dedup,
     "op9_packing": op9_packing,
