@@ -12,6 +12,7 @@ from surveyq.llm.decontaminate import find_contamination
 from surveyq.llm.license_scan import BASE, scan_licenses
 from surveyq.llm.line_dedup import dedup_lines
 from surveyq.llm.media import store_media
+from surveyq.llm.near_dup import near_duplicate_ids
 from surveyq.llm.packing import pack
 from surveyq.llm.sharding import assign_shards
 from surveyq.llm.token_counts import count_tokens
@@ -53,6 +54,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_ids(_docs(spark, sf_dir), num=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media": op5_media,
     "op6_line_dedup": op6_line_dedup,
     "op9_packing": op9_packing,
+    "op10_near_dup": op10_near_dup,
 }
 
 ORACLES: dict[str, str] = {}
