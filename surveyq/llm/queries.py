@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyq.llm.decontaminate import find_contamination
+from surveyq.llm.html_text import extract_main_text
 from surveyq.llm.license_scan import BASE, scan_licenses
 from surveyq.llm.line_dedup import dedup_lines
 from surveyq.llm.media import store_media
@@ -50,6 +51,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_media": op5_media,
     "op6_line_dedup": op6_line_dedup,
+    "op8_main_text": op8_main_text,
     "op9_packing": op9_packing,
     "op10_near_dup": op10_near_dup,
 }
