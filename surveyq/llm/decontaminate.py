@@ -285,3 +285,18 @@ def _united(passes: list[DataFrame], schema: str) -> DataFrame:
         return one
 
     return every.groupBy("segment", "row").applyInPandas(unite, schema)
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without the rows whose text holds a window of a benchmark item; columns as they are.
+
+    Rows are told apart by id and text, so of two rows of one id only the
+    contaminated one goes.
+    """
+    key = F.concat_ws(
+        ":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string")
+    )
+    keyed = docs.withColumn("__key", key)
+    found = find_contamination(keyed, benchmark, id_col="__key", text_col=text_col, **how)
+    bad = found.where("contaminated").select(F.col("__key").alias("__bad"))
+    return keyed.join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")

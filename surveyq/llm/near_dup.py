@@ -29,11 +29,11 @@ from surveyq.llm.common import SOLID, Texts, mix, stored, with_text_batches, wor
 from surveyq.llm.graph import components
 
 WIDTH = 5
-TREES, DEPTH, DEEPEST = 16, 4, 8
+TREES, DEPTH, DEEPEST = 21, 3, 8
 VALUES = TREES * DEPTH
 #: Most nodes of a bucket (signatures) and of a region (whole sets) in one task.
 BUCKET, REGION = 4096, 1024
-#: Standard errors that a signature may fall below the threshold: of pairs at the threshold, 3 in a million fall lower.
+#: Standard errors that a signature may fall below the threshold; 3 in a million pairs at the threshold fall lower.
 ERRORS = 4.5
 _FIRST_OF_ALL = -(1 << 63)
 

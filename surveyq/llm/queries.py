@@ -15,6 +15,7 @@ from surveyq.llm.line_dedup import dedup_lines
 from surveyq.llm.media import store_media
 from surveyq.llm.near_dup import near_duplicate_ids
 from surveyq.llm.packing import pack
+from surveyq.llm.quality import classify
 from surveyq.llm.sharding import assign_shards
 from surveyq.llm.token_counts import count_tokens
 
@@ -51,6 +52,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_media": op5_media,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality": op7_quality,
     "op8_main_text": op8_main_text,
     "op9_packing": op9_packing,
     "op10_near_dup": op10_near_dup,
