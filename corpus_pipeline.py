@@ -1,23 +1,58 @@
-"""The corpus pipeline: stages that each take and return documents."""
+"""The corpus pipeline: five stages that each take and return documents.
+
+quality classifier -> line dedup -> near-duplicates -> benchmark
+decontamination -> packing. Each stage works on all that its predecessor kept;
+the last returns the places of pieces in training sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surveyq.llm.common import stored
+from surveyq.llm.decontaminate import remove_contaminated
 from surveyq.llm.line_dedup import dedup_lines
+from surveyq.llm.near_dup import near_duplicates
+from surveyq.llm.packing import pack
+from surveyq.llm.quality import keep_good
+
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go."""
-    return dedup_lines(docs).select(*docs.columns)
+    """Lines that a document of smaller id holds go; n_chars follows the text."""
+    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of smallest id."""
+    return near_duplicates(docs).where("kept").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("line_dedup", line_dedup)]
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dup", near_dup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
 
-#: Several stages are no SQL; tests/llm compares them with brute force.
+#: Stages are no SQL; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
