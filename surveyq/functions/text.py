@@ -198,13 +198,13 @@ _BOUNDARY = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
 def split_sentences(column: ColumnOrName, min_chars: int = 30, drop_markers: bool = True) -> Column:
     """Sentences longer than min_chars, split after . ! ? before a capital; bracket markers of up to 40 characters go first."""
     text = F.regexp_replace(_c(column), r"\[[^\]]{1,40}\]", "") if drop_markers else _c(column)
-    parts = F.transform(F.split(collapse(text), _BOUNDARY), F.trim)
+    parts = F.transform(F.split(collapse(text), _BOUNDARY), lambda x: F.trim(x))
     return F.filter(parts, lambda s: F.length(s) > min_chars)
 
 
 def split_line_sentences(column: ColumnOrName) -> Column:
     """Sentences of each non-blank line apart, so that list items are not run together."""
-    lines = F.filter(F.transform(F.split(_c(column), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"), strip), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(_c(column), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"), lambda x: strip(x)), lambda s: s != "")
     return F.flatten(F.transform(lines, lambda s: F.split(s, _BOUNDARY)))
 
 
@@ -310,7 +310,7 @@ def headings(column: ColumnOrName) -> Column:
 def outline(column: ColumnOrName, max_chars: int | None = None, max_lines: int | None = None) -> Column:
     """Lines that start with #; the text itself where there is none; cut to max_chars or max_lines."""
     text = _c(column)
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s.startswith("#"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda s: s.startswith("#"))
     if max_lines is not None:
         lines = F.slice(lines, 1, max_lines)
     out = F.coalesce(empty_to_null(F.array_join(lines, "\n")), text)
@@ -319,7 +319,7 @@ def outline(column: ColumnOrName, max_chars: int | None = None, max_lines: int |
 
 def outline_sections(column: ColumnOrName) -> Column:
     """Titles of an outline's numbered or # lines that are longer than 5 characters."""
-    lines = F.transform(F.split(_c(column), "\n"), strip)
+    lines = F.transform(F.split(_c(column), "\n"), lambda x: strip(x))
     titles = F.transform(
         lines, lambda s: F.regexp_replace(strip(F.regexp_extract(s, r"^(?:\d+[.)]\s*|#{1,3}\s*)(.+)", 1)), ":+$", "")
     )
@@ -330,7 +330,7 @@ def author_year_references(column: ColumnOrName, most: int = 150) -> Column:
     """[Author, year] marks and then the lines of the reference section, distinct, at most `most`."""
     text = _c(column)
     inline = F.regexp_extract_all(text, F.lit(r"\[([A-Z][^,\[\]]{2,40},\s*\d{4}[^\]]*)\]"), F.lit(1))
-    lines = F.transform(F.split(text, "\n"), strip)
+    lines = F.transform(F.split(text, "\n"), lambda x: strip(x))
     heading = r"(?i)^#*\s*(?:references|bibliography)"
     first = F.array_position(F.transform(lines, lambda s: s.rlike(heading)), True)
     after = F.when(first > 0, F.slice(lines, first.cast("int") + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
@@ -421,7 +421,7 @@ def first_url(column: ColumnOrName) -> Column:
 def bib_title(column: ColumnOrName) -> Column:
     """A bibliography entry's title: marked title, else quoted, else the second block, else the first 160 characters."""
     raw = _c(column)
-    blocks = F.filter(F.transform(F.split(raw, r"\\newblock"), strip), lambda s: s != "")
+    blocks = F.filter(F.transform(F.split(raw, r"\\newblock"), lambda x: strip(x)), lambda s: s != "")
     return F.coalesce(
         empty_to_null(clean_latex_fragment(F.regexp_extract(raw, r"(?s)\\bibinfo\s*\{\s*title\s*\}\s*\{([^{}]+)\}", 1))),
         empty_to_null(clean_latex_fragment(F.regexp_extract(raw, r"(?s)``([^`']{8,}?)''", 1))),
