@@ -119,23 +119,26 @@ def search(segment: Segment, phrases: Phrases, slop: int = 0) -> Iterator[tuple[
         rare = int(order[0])
         at = lists[rare].astype(np.int64) - rare
         low, high = at + rare, at + rare
+        home = segment.text_of(low)
+        begin, end = segment.first[home], segment.first[home + 1] - 1
         for k in order[1:].tolist():
             if not len(at):
                 break
             want, have = at + k, lists[k]
-            i = np.minimum(np.searchsorted(have, want - slop), len(have) - 1)
-            near = have[i].astype(np.int64)
-            if slop:  # of the places in reach, the one nearest to where the phrase has it
-                j = np.minimum(np.searchsorted(have, want), len(have) - 1)
-                for other in (have[np.maximum(j - 1, 0)].astype(np.int64), have[j].astype(np.int64)):
-                    near = np.where(np.abs(other - want) < np.abs(near - want), other, near)
-            keep = np.abs(near - want) <= slop
-            at, low, high, near = at[keep], low[keep], high[keep], near[keep]
+            # in reach and in the same text: the nearest place from want on, and the nearest up to it
+            least, most = np.maximum(want - slop, begin), np.minimum(want + slop, end)
+            i = np.searchsorted(have, np.maximum(want, least))
+            after = have[np.minimum(i, len(have) - 1)].astype(np.int64)
+            after_ok = (i < len(have)) & (after <= most)
+            i = np.searchsorted(have, np.minimum(want, most), "right") - 1
+            before = have[np.maximum(i, 0)].astype(np.int64)
+            before_ok = (i >= 0) & (before >= least)
+            near = np.where(after_ok & (~before_ok | (after - want <= want - before)), after, before)
+            keep = after_ok | before_ok
+            at, low, high, near, begin, end = (x[keep] for x in (at, low, high, near, begin, end))
             low, high = np.minimum(low, near), np.maximum(high, near)
         if len(at):
-            same = segment.text_of(low) == segment.text_of(high)
-            if same.any():
-                yield p, low[same], high[same] + 1
+            yield p, low, high + 1
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -99,7 +99,7 @@ def features(texts: Texts, hashed: int = HASHED) -> np.ndarray:
     h = mix(words.hash[order][at])
     sign = np.where(h & np.uint64(1), 1.0, -1.0)
     cell = owner * hashed + ((h >> np.uint64(1)) % np.uint64(hashed)).astype(np.int64)
-    bag = np.bincount(cell, weights=sign * np.log1p(times), minlength=n * hashed).reshape(n, hashed)
+    bag = np.bincount(cell, weights=sign * np.log1p(times), minlength=n * hashed).astype(float).reshape(n, hashed)
     bag /= np.maximum(np.sqrt((bag**2).sum(1, keepdims=True)), 1e-9)
     return np.concatenate([table, bag], 1)
 
@@ -204,7 +204,7 @@ def fit(
     chosen = trusted.unionByName(anyone).select(F.col(id_col).alias("__id"), "kind")
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).drop("__id")
     table = _feature_rows(rows, id_col, text_col).orderBy("id", "x").toArrow()
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(len(table), -1).astype(float)
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, len(NAMES) + HASHED).astype(float)
     kind = np.array(table["kind"].to_pylist(), np.int64)
     if not (kind == 1).any() or not (kind == 0).any():
         return None
