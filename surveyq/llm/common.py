@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the vectorised word scanner.
 SLICE_BYTES = 2 << 20
@@ -53,6 +54,24 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Most keys that join_hot broadcasts.
+HOT_KEYS = 100_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and in column n the number of rows of that key.
+
+    Keys with more than total / HOT_KEYS of all rows are fewer than HOT_KEYS,
+    whatever the data, so these are broadcast and their rows are not shuffled;
+    all other keys are small enough for a shuffle by key. rows and keyed are
+    read twice, so both should be cheap to read.
+    """
+    hot = F.broadcast(keyed.where(F.col(n) > total / HOT_KEYS))
+    cold = keyed.where(F.col(n) <= total / HOT_KEYS)
+    rest = rows.join(hot.select(*on), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(cold, on))
+
+
 @dataclass
 class Texts:
     """UTF-8 bytes of consecutive texts: text i is data[bounds[i]:bounds[i + 1]]; nulls are empty."""

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyq.llm.common import remove, scratch, stored
+from surveyq.llm.common import join_hot, remove, scratch, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\f\r"
@@ -129,6 +129,7 @@ def dedup_lines(
     lines = stored(_hashed_lines(rows, min_chars), "lines")
     # the cuts only balance the batches; any cuts give the same rows
     cuts = lines.agg(F.percentile_approx("ord", [i / batches for i in range(1, batches)], 1000).alias("c")).head()["c"] if batches > 1 else []
+    total = lines.count()
     runs = LineRuns(spark, fanout)
     gone = []
     edges = [None, *sorted(set(cuts or [])), None]
@@ -139,15 +140,14 @@ def dedup_lines(
         if high is not None:
             batch = batch.where(F.col("ord") <= high)
         firsts = stored(
-            batch.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")), "batch-keys"
+            batch.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n")), "batch-keys"
         )
-        unseen = firsts.select("h1", "h2", "first", "last")
-        fresh = runs.add(runs.unseen(unseen))
+        fresh = runs.add(runs.unseen(firsts))
         # a key that is not fresh stood in an earlier batch: all its lines here go
-        old = firsts.join(fresh.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(None).cast("long").alias("first"))
-        new = fresh.where("first < last").select("h1", "h2", "first")
-        doomed = old.unionByName(new)
-        hit = batch.join(doomed, ["h1", "h2"]).where(F.col("first").isNull() | (F.col("ord") > F.col("first")))
+        old = firsts.join(fresh.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(None).cast("long").alias("first"), "n")
+        new = fresh.where("first < last").select("h1", "h2", "first", "n")
+        doomed = stored(old.unionByName(new), "doomed")
+        hit = join_hot(batch, doomed, ["h1", "h2"], "n", total).where(F.col("first").isNull() | (F.col("ord") > F.col("first")))
         gone.append(stored(hit.select("ord", "mark", "pos"), "gone"))
         runs.compact()
     runs.close()
