@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyq.llm.common import SOLID, Texts, mix, stored, with_text_batches, words_of
+from surveyq.llm.common import SOLID, Texts, join_hot, mix, stored, with_text_batches, words_of
 from surveyq.llm.graph import components
 
 WIDTH = 5
@@ -104,14 +104,17 @@ def _prefix(depth: int):
     return F.array(*(F.xxhash64(F.lit(t), *(values(t, k) for k in range(depth))) for t in range(TREES)))
 
 
+def _counts(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """(group, __n) of the groups of two rows or more."""
+    return stored(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), label)
+
+
 def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """rows with group replaced, so that no group has much more than `most` rows and any two rows of one still meet.
+    """rows (with __n, the size of their group) with group replaced: no group has much more than `most` rows and any two rows of one still meet.
 
-    Groups of one row go. A group above `most` is dealt by a hash of its nodes
-    into blocks of about most / 2; every two blocks form a group.
+    A group above `most` is dealt by a hash of its nodes into blocks of about
+    most / 2; every two blocks form a group.
     """
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    sized = rows.join(counts, group)
     parts = F.ceil(F.col("__n") * 2 / most).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     others = F.transform(
@@ -119,7 +122,7 @@ def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
         lambda o: F.xxhash64(F.col(group), F.least(mine, o), F.greatest(mine, o)),
     )
     groups = F.when(F.col("__n") <= most, F.array(F.xxhash64(group))).otherwise(others)
-    return sized.withColumn(group, F.explode(groups)).drop("__n")
+    return rows.withColumn(group, F.explode(groups)).drop("__n")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -210,24 +213,23 @@ def _edges(rows: DataFrame, link: Callable[[list[tuple]], list[tuple[int, int]]]
     return rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "a binary, b binary")
 
 
-def _neighbours(reps: DataFrame) -> DataFrame:
-    """(g, node) of all buckets of two or more nodes, deeper where a bucket is large."""
-    rows = reps.select("node", "sig", F.posexplode(_prefix(DEPTH)).alias("tree", "g"))
+def _neighbours(reps: DataFrame, n_reps: int) -> DataFrame:
+    """(g, node, __n) of all buckets of two or more nodes, deeper where a bucket is large."""
+    rows = reps.select("node", F.posexplode(_prefix(DEPTH)).alias("tree", "g"))
+    total = n_reps * TREES
     out, depth = [], DEPTH
     while True:
-        counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-        kept = rows.join(counts, "g")
+        kept = stored(join_hot(rows, _counts(rows, "g", f"buckets-{depth}"), ["g"], "__n", total), f"depth-{depth}")
         if depth == DEEPEST:
-            out.append(kept.select("g", "node"))
+            out.append(kept.select("g", "node", "__n"))
             break
-        kept = stored(kept.select("g", "node", "tree", "__n"), f"depth-{depth}")
-        out.append(kept.where(F.col("__n") <= BUCKET).select("g", "node"))
+        out.append(kept.where(F.col("__n") <= BUCKET).select("g", "node", "__n"))
         dense = kept.where(F.col("__n") > BUCKET).select("node", "tree")
         if dense.isEmpty():
             break
         depth += 1
         rows = dense.join(reps.select("node", "sig"), "node").select(
-            "node", "sig", "tree", F.element_at(_prefix(depth), F.col("tree") + 1).alias("g")
+            "node", "tree", F.element_at(_prefix(depth), F.col("tree") + 1).alias("g")
         )
     every = out[0]
     for more in out[1:]:
@@ -246,12 +248,13 @@ def _labels(narrow: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """(ord, mark, n, component, kept) of every row of (ord, mark, body)."""
     nodes = stored(_nodes(narrow, width), "nodes")
     reps = stored(
-        nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("ord", "mark", "sig")).alias("r"))
-        .select("node", "r.ord", "r.mark", "r.sig"),
+        nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("ord", "mark", "sig")).alias("r"), F.count(F.lit(1)).alias("copies"))
+        .select("node", "r.ord", "r.mark", "r.sig", "copies"),
         "reps",
     )
+    n_reps = reps.count()
     floor = num / den - ERRORS * (num / den * (1 - num / den) / VALUES) ** 0.5
-    near = _blocks(_neighbours(reps), "g", BUCKET).join(reps.select("node", "sig"), "node").select("g", "node", "sig")
+    near = _blocks(_neighbours(reps, n_reps), "g", BUCKET).join(reps.select("node", "sig"), "node").select("g", "node", "sig")
     regions = stored(components(_edges(near, lambda group: _by_signature(group, floor))), "regions")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +262,8 @@ def _labels(narrow: DataFrame, num: int, den: int, width: int) -> DataFrame:
             found = [s.tobytes() for s in shingle_sets(texts, width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["g", "node", "shingles"])
 
-    members = regions.join(reps.select("node", "ord", "mark"), "node").select(F.col("root").alias("r"), "node", "ord", "mark")
+    sized = join_hot(regions, _counts(regions, "root", "region-sizes"), ["root"], "__n", n_reps)
+    members = sized.join(reps.select("node", "ord", "mark"), "node").select(F.col("root").alias("r"), "node", "ord", "mark", "__n")
     placed = _blocks(members, "r", REGION).select(F.col("r").alias("g"), "node", "ord", "mark")
     # the few members are the build side, so that texts are not sorted
     links = _edges(
@@ -267,13 +271,18 @@ def _labels(narrow: DataFrame, num: int, den: int, width: int) -> DataFrame:
         lambda group: _by_sets(group, num, den),
     )
     roots = components(links)
+    roots = stored(roots, "roots")
     named = roots.join(reps.select("node", "ord"), "node")
     least = named.groupBy("root").agg(F.min("ord").alias("least"))
-    found = reps.join(named.select("node", "root"), "node", "left").join(least, "root", "left").select(
-        "node", F.coalesce("least", "ord").alias("component")
+    sized = join_hot(roots, _counts(roots, "root", "component-sizes").join(least, "root"), ["root"], "__n", n_reps)
+    found = stored(
+        reps.join(sized.select("node", "least"), "node", "left").select("node", F.coalesce("least", "ord").alias("component"), "copies"), "found"
     )
     component = F.coalesce(F.col("component"), F.col("ord"))
-    return nodes.select("ord", "mark", "n", "node").join(found, "node", "left").select(
+    narrow_nodes = nodes.select("ord", "mark", "n", "node")
+    labelled = join_hot(narrow_nodes, found, ["node"], "copies", nodes.count()).select("ord", "mark", "n", "component")
+    wordless = narrow_nodes.where("node IS NULL").select("ord", "mark", "n", F.lit(None).cast("long").alias("component"))
+    return labelled.unionByName(wordless).select(
         "ord", "mark", "n", F.when(component != _FIRST_OF_ALL, component).alias("component"), (component == F.col("ord")).alias("kept")
     )
 
