@@ -573,7 +573,8 @@ def parse_score(column: ColumnOrName) -> Column:
     c = _c(column)
     named = empty_to_null(F.regexp_extract(c, r"(?i)SCORE:\s*(\d+)", 1)).cast("long")
     last = F.try_element_at(F.regexp_extract_all(c, F.lit(r"\b(10|[0-9])\b"), F.lit(1)), F.lit(-1)).cast("long")
-    return F.least(F.coalesce(named, last), F.lit(100)).cast("int")
+    found = F.coalesce(named, last)
+    return F.when(found.isNotNull(), F.least(found, F.lit(100))).cast("int")
 
 
 def parse_winner(column: ColumnOrName) -> Column:

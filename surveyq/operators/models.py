@@ -43,7 +43,7 @@ def _words(column: Column) -> Column:
 class HashEmbedder:
     """Bag of hashed words in `dims` signed dimensions. Words are hashed in the JVM and counted over Arrow."""
 
-    dims: int = 64
+    dims: int = 256
 
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame:
         dims = self.dims

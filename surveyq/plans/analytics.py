@@ -28,24 +28,24 @@ def _long(t: Tables) -> DataFrame:
     )
 
 
-def _round(df: DataFrame, digits: int = 4) -> DataFrame:
+def _round(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if k == "double" else c for c, k in df.dtypes))
 
 
 @query(_LONG + """, d AS (
   SELECT a.metric, b.value - a.value AS delta FROM base a JOIN base b USING (metric, survey_id) WHERE a.model = 'F' AND b.model = 'O')
-SELECT metric, count(*) AS n, round(avg(delta), 4) AS mean, round(stddev_pop(delta), 4) AS std_pop, round(min(delta), 4) AS min,
-  round(quantile_cont(delta, 0.1), 4) AS q10, round(quantile_cont(delta, 0.25), 4) AS q25, round(quantile_cont(delta, 0.5), 4) AS median,
-  round(quantile_cont(delta, 0.75), 4) AS q75, round(quantile_cont(delta, 0.9), 4) AS q90, round(max(delta), 4) AS max,
-  round(100 * avg(CAST(CAST(delta > 0 AS INT) AS DOUBLE)), 4) AS share_up, round(100 * avg(CAST(CAST(delta < 0 AS INT) AS DOUBLE)), 4) AS share_down
+SELECT metric, count(*) AS n, round(avg(delta), 6) AS mean, round(stddev_pop(delta), 6) AS std_pop, round(min(delta), 6) AS min,
+  round(quantile_cont(delta, 0.1), 6) AS q10, round(quantile_cont(delta, 0.25), 6) AS q25, round(quantile_cont(delta, 0.5), 6) AS median,
+  round(quantile_cont(delta, 0.75), 6) AS q75, round(quantile_cont(delta, 0.9), 6) AS q90, round(max(delta), 6) AS max,
+  round(100 * avg(CAST(CAST(delta > 0 AS INT) AS DOUBLE)), 6) AS share_up, round(100 * avg(CAST(CAST(delta < 0 AS INT) AS DOUBLE)), 6) AS share_down
 FROM d GROUP BY metric""")
 def q1_delta_summary(t: Tables) -> DataFrame:
     return _round(M.delta_summary(M.paired_delta(_long(t), "F", "O"), ["metric"]))
 
 
-@query(_LONG + """SELECT model, metric, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std_sample,
-  round(stddev_pop(value), 4) AS std_pop, round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS q25,
-  round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.75), 4) AS q75, round(max(value), 4) AS max
+@query(_LONG + """SELECT model, metric, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std_sample,
+  round(stddev_pop(value), 6) AS std_pop, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q25,
+  round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS max
 FROM base GROUP BY model, metric""")
 def ag9_metric_summary(t: Tables) -> DataFrame:
     return _round(M.metric_summary(_long(t), ["model", "metric"]))
@@ -58,8 +58,8 @@ def w1_latest_run(t: Tables) -> DataFrame:
     return runs.select(F.col("o_orderstatus").alias("model"), F.col("o_custkey").alias("survey_id"), F.col("o_orderkey").alias("run"))
 
 
-@query(_LONG + """SELECT model, round(avg(value) FILTER (metric = 'AUTOMOBILE'), 4) AS "AUTOMOBILE", round(avg(value) FILTER (metric = 'BUILDING'), 4) AS "BUILDING",
-  round(avg(value) FILTER (metric = 'MACHINERY'), 4) AS "MACHINERY" FROM base GROUP BY model""")
+@query(_LONG + """SELECT model, round(avg(value) FILTER (metric = 'AUTOMOBILE'), 6) AS "AUTOMOBILE", round(avg(value) FILTER (metric = 'BUILDING'), 6) AS "BUILDING",
+  round(avg(value) FILTER (metric = 'MACHINERY'), 6) AS "MACHINERY" FROM base GROUP BY model""")
 def ag11_pivot(t: Tables) -> DataFrame:
     return _round(M.wide_means(_long(t), ["model"], ["AUTOMOBILE", "BUILDING", "MACHINERY"]))
 
@@ -265,7 +265,7 @@ def ag5_modality_entropy(t: Tables) -> DataFrame:
     return G.expert_profile(claims, ["survey"]).select("survey", F.round(F.col("m_mod") + 0.0, 6).alias("m_mod"))
 
 
-@query("""SELECT c_mktsegment AS kind, round(avg(c_acctbal), 4) AS c_acctbal_avg, min(c_acctbal) AS c_acctbal_min, max(c_acctbal) AS c_acctbal_max FROM customer GROUP BY 1""")
+@query("""SELECT c_mktsegment AS kind, round(avg(c_acctbal), 6) AS c_acctbal_avg, min(c_acctbal) AS c_acctbal_min, max(c_acctbal) AS c_acctbal_max FROM customer GROUP BY 1""")
 def ag14_score_stats(t: Tables) -> DataFrame:
     return _round(G.score_stats(t.customer.withColumnRenamed("c_mktsegment", "kind"), ["kind"], ["c_acctbal"]))
 
@@ -293,7 +293,7 @@ def ag24_majority(t: Tables) -> DataFrame:
     return G.majority(runs, ["conv_id"])
 
 
-@query("""SELECT o_custkey, n_paid AS n_calls, n_cached, in_tokens, out_tokens, round(cost_usd, 4) AS cost_usd FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F') AS n_paid, count(*) FILTER (o_orderstatus = 'F') AS n_cached,
+@query("""SELECT o_custkey, n_paid AS n_calls, n_cached, in_tokens, out_tokens, round(cost_usd, 6) AS cost_usd FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F') AS n_paid, count(*) FILTER (o_orderstatus = 'F') AS n_cached,
   coalesce(sum(length(o_orderpriority)) FILTER (o_orderstatus <> 'F'), 0)::BIGINT AS in_tokens, count(*) FILTER (o_orderstatus <> 'F') AS out_tokens, coalesce(sum(o_totalprice) FILTER (o_orderstatus <> 'F'), 0) AS cost_usd FROM orders GROUP BY 1)""")
 def ag23_usage(t: Tables) -> DataFrame:
     from surveyq.operators.models import usage
@@ -331,9 +331,9 @@ def sc12_model_names(t: Tables) -> DataFrame:
     return M.dedupe_models(a.unionByName(t.customer.select(F.lower("c_mktsegment").alias("name"), F.lit(1).alias("priority"))))
 
 
-@query("SELECT date_trunc('hour', ts)::VARCHAR AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts)::VARCHAR AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def ext_windowed_events(t: Tables) -> DataFrame:
     from surveyq.streaming.resume import windowed_counts
 
     counts = windowed_counts(t.events, "ts", "event_type", "value")
-    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))

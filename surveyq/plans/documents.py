@@ -370,11 +370,11 @@ def _evidence(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source", "text").join(bench, "doc_id", "left")
 
 
-@query("""SELECT source, count(*) AS n_refs, count(b.text) AS n_abstract, count(d.text) AS n_text, count(b.text) FILTER (d.text IS NOT NULL) AS n_both, round(avg(length(d.text)), 4) AS text_mean,
-  round(quantile_cont(length(d.text)::DOUBLE, 0.5), 4) AS text_median, max(length(d.text))::DOUBLE AS text_max FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id GROUP BY 1""")
+@query("""SELECT source, count(*) AS n_refs, count(b.text) AS n_abstract, count(d.text) AS n_text, count(b.text) FILTER (d.text IS NOT NULL) AS n_both, round(avg(length(d.text)), 6) AS text_mean,
+  round(quantile_cont(length(d.text)::DOUBLE, 0.5), 6) AS text_median, max(length(d.text))::DOUBLE AS text_max FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id GROUP BY 1""")
 def ag15_coverage(t: Tables) -> DataFrame:
     out = E.coverage(_evidence(t), ["source"])
-    return out.select("source", "n_refs", "n_abstract", "n_text", "n_both", F.round("text_mean", 4).alias("text_mean"), F.round("text_median", 4).alias("text_median"), "text_max")
+    return out.select("source", "n_refs", "n_abstract", "n_text", "n_both", F.round("text_mean", 6).alias("text_mean"), F.round("text_median", 6).alias("text_median"), "text_max")
 
 
 @query("SELECT 'not_found' AS reason, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = d.doc_id)")

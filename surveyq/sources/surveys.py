@@ -172,7 +172,7 @@ def human_surveys(spark: SparkSession, path: str, aliases: DataFrame) -> DataFra
 
     aliases(alias, topic, ord) is a short list; files without a topic have a null one.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("source")
     )
     kept = files.where(F.lower("source").rlike(r"\.(md|txt|json)$") & ~file_name(F.col("source")).isin("README.md", "LICENSE", "NOTICE"))
