@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and their SQL twins for DuckDB."""
+"""The registered queries of this subpackage; oracles.py has their SQL twins."""
 
 from __future__ import annotations
 
@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from surveyq.llm.decontaminate import find_contamination
 from surveyq.llm.html_text import extract_main_text
-from surveyq.llm.license_scan import BASE, scan_licenses
+from surveyq.llm.license_scan import scan_licenses
 from surveyq.llm.line_dedup import dedup_lines
 from surveyq.llm.media import store_media
 from surveyq.llm.near_dup import near_duplicate_ids
+from surveyq.llm.oracles import ORACLES
 from surveyq.llm.packing import pack
 from surveyq.llm.quality import classify
 from surveyq.llm.sharding import assign_shards
 from surveyq.llm.token_counts import count_tokens
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -26,7 +29,7 @@ def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_docs(spark, sf_dir))
+    return scan_licenses(_docs(spark, sf_dir)).drop("matched_words")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_near_dup": op10_near_dup,
 }
-
-ORACLES: dict[str, str] = {}

@@ -88,8 +88,8 @@ def assign_shards(
 
     Returns id, size (UTF-8 bytes of the text plus 8), text_crc32 (unsigned),
     law, shard, slot (gapless from 0 in its shard), grown_shard (with one more
-    shard). Slots: each shard's rows fall into slot_parts parts by a hash of
-    the id; parts are ranked apart and offset by the counts of those before
+    shard). Slots: each shard's rows fall into slot_parts parts by the
+    crc32 of the key; parts are ranked apart and offset by the counts of those before
     them, so no task sees a whole shard. The counts read only the id column
     and are shards * slot_parts rows whatever the input.
 
@@ -98,7 +98,7 @@ def assign_shards(
     and size. Only id and text are read; an empty table gives no rows.
     """
     key = key_of(docs, id_col)
-    part = F.pmod(F.xxhash64(key), F.lit(slot_parts)).cast("int")
+    part = (F.crc32(key.cast("string").cast("binary")) % slot_parts).cast("int")
     counts = (
         docs.select(jump_hash(key, shards).alias("shard"), part.alias("part"))
         .groupBy("shard", "part")
