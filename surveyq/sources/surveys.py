@@ -123,7 +123,7 @@ def models(generation_dirs: DataFrame, runs: DataFrame) -> DataFrame:
 
 def run_id(*parts: Column) -> Column:
     """A variant's name: non-blank parts joined by _, safe for a path."""
-    return F.concat_ws("_", *(X.blank_to_null(X.slug(p.cast("string"))) for p in parts))
+    return F.concat_ws("_", *(X.slug(X.blank_to_null(p.cast("string"))) for p in parts))
 
 
 def pending(todo: DataFrame, done: DataFrame, keys: list[str], valid: Column | None = None) -> DataFrame:
