@@ -35,7 +35,10 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_MAIN = frozenset(("article", "main"))
+#: Levels of what may hold the article; the highest level that a page has text in is taken.
+_MAIN = {"article": 3, "main": 2}
+_CONTENT = frozenset("content article post entry story main maincontent articlebody".split())
+_NOT_AN_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related teaser widget".split())
 _OUTER = frozenset(("header", "hgroup"))
 _BOILER = frozenset("nav footer aside form button menu dialog fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -48,7 +51,9 @@ _HINTS = frozenset(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""", re.I)
+_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+_BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -56,26 +61,42 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Line:
     text: str
     weight: int
-    article: bool
+    level: int
 
 
-def _boiler(name: str, attributes: str, in_main: bool) -> bool:
-    if name in _BOILER or (name in _OUTER and not in_main):
-        return True
-    if not attributes or name in ("html", "body", *_MAIN):
-        return False
+def _named(attributes: str) -> tuple[set[str], str]:
+    """Words of class and id, and the role."""
+    words, role = set(), ""
     for key, value in _ATTRIBUTE.findall(attributes):
         value = value.strip("\"'")
-        words = _SPLIT.split(_CAMEL.sub("-", value).lower())
-        if (key.lower() == "role" and value.lower() in _ROLES) or (key.lower() != "role" and not _HINTS.isdisjoint(words)):
-            return True
-    return bool(_HIDDEN.search(attributes))
-
-
-def lines_of(page: str) -> tuple[list[Line], bool]:
-    """The page's lines outside boilerplate (which leaves empty lines), and whether it marks an article."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, and whether in boilerplate, in main and in a link
-    boiler = main = link = marked = False
+        if key.lower() == "role":
+            role = value.lower()
+        else:
+            words.update(_SPLIT.split(_CAMEL.sub("-", value).lower()))
+    return words, role
+
+
+def _kind(name: str, attributes: str, level: int) -> tuple[bool, int]:
+    """Whether an element is boilerplate, and the level of article that it opens."""
+    words, role = _named(attributes) if attributes else (set(), "")
+    if name in ("html", "body"):
+        return False, 0
+    if name in _MAIN:
+        return not _NOT_AN_ARTICLE.isdisjoint(words), _MAIN[name]
+    if role == "main":
+        return False, 2
+    if name in _BOILER or (name in _OUTER and not level) or role in _ROLES or not _HINTS.isdisjoint(words):
+        return True, 0
+    if attributes and (_HIDDEN.search(attributes) or _BARE_HIDDEN.search(_QUOTED.sub("=", attributes))):
+        return True, 0
+    return False, int(name not in _INLINE and not _CONTENT.isdisjoint(words))
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's lines outside boilerplate, which leaves empty lines."""
+    stack: list[tuple[str, bool, int, bool]] = []  # name; before it: in boilerplate, level of article, in a link
+    boiler = link = False
+    level = 0
     out: list[Line] = []
     parts: list[str] = []
     linked = at = 0
@@ -84,7 +105,7 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Line(text, max(0, len(text) - linked), main))
+            out.append(Line(text, max(0, len(text) - linked), level))
         parts, linked = [], 0
 
     def take(text: str) -> None:
@@ -106,27 +127,29 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     was = boiler
-                    _, boiler, main, link = stack[k]
+                    _, boiler, level, link = stack[k]
                     del stack[k:]
                     if was and not boiler:
-                        out.append(Line("", 0, False))
+                        out.append(Line("", 0, 0))
                     break
                 if stack[k][0] in ("td", "th", "table") and name not in ("tr", "table", "tbody", "thead", "body", "html", "article", "main"):
                     break
         elif name not in _VOID and not (token[4] or "").rstrip().endswith("/"):
             if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
-                _, boiler, main, link = stack.pop()  # the end tag may be left out
-            stack.append((name, boiler, main, link))
-            if name in _MAIN and not boiler:
-                main = marked = True
-            if not boiler and _boiler(name, token[4] or "", main):
-                close()
-                boiler = True
+                _, boiler, level, link = stack.pop()  # the end tag may be left out
+            stack.append((name, boiler, level, link))
+            if not boiler:
+                drop, opened = _kind(name, token[4] or "", level)
+                if drop:
+                    close()
+                    boiler = True
+                elif opened > level:
+                    level = opened
             link = link or name == "a"
     if at < len(page):
         take(page[at:])
     close()
-    return out, marked
+    return out
 
 
 def between(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
@@ -154,14 +177,15 @@ def between(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks, joined by line feeds; empty if no line surges."""
-    lines, marked = lines_of(page)
-    if marked:
+    lines = lines_of(page)
+    top = max((line.level for line in lines if line.text), default=0)
+    if top:
         # in a marked article every line is text: it surges by itself
-        weights = [max(surge, line.weight) if line.article else 0 for line in lines]
+        weights = [max(surge, line.weight) if line.level == top and line.text else 0 for line in lines]
     else:
         weights = [line.weight for line in lines]
     keep = between(weights, window, surge)
-    return "\n".join(line.text for line, k in zip(lines, keep) if k and line.text and (line.article or not marked))
+    return "\n".join(line.text for line, k in zip(lines, keep) if k and line.text and line.level == top)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

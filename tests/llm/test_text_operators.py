@@ -183,6 +183,11 @@ def test_main_text():
     assert main_text(page) == "The & Title\nFirst line of text\nTom <3 éé\none\ntwo"
     plain = "<body><div id=nav><a>Home</a></div><div><h2>Head</h2>" + "<p>A paragraph that is long enough to make text surge here, is it not so?</p>" * 2 + "</div><div class='comments'><p>" + "reader says " * 20 + "</p></div></body>"
     assert main_text(plain).split("\n") == ["Head"] + ["A paragraph that is long enough to make text surge here, is it not so?"] * 2
+    marked = """<body class="content"><div class="content overflow-hidden"><nav>Menu</nav><h1>Short</h1><p>Text.</p><div hidden>no</div><p style="display: none">no</p></div>
+      <article class="comment"><p>I am a reader.</p></article></body>"""
+    assert main_text(marked) == "Short\nText."
+    assert main_text("<div role=main><p>a</p></div><p>" + "b" * 200) == "a"
+    assert main_text("<div id=content><p>outer</p><article><p>inner</p></article></div>") == "inner"
     for junk in ("", "<", "<p", "a < b", "<article>", "</p></article>", "<a href='x", "&amp", "<!--"):
         assert isinstance(main_text(junk), str)
 
