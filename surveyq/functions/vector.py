@@ -74,23 +74,18 @@ def pca_dots(fit_on: DataFrame, also: DataFrame, key: str, vector: str = "embedd
     """Coordinates of two sets in the first k components of the first, and the variance they explain.
 
     The set's mean is subtracted before the transform. Signs are arbitrary.
-    The fit is distributed; the driver gets the k components alone.
+    The fit is distributed; the driver gets the means and the k components.
     """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    mean = F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]
-    )
-    means = (
-        fit_on.select(F.posexplode(doubles(F.col(vector))).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(mean.alias("mean"))
-    )
+    # one number for each dimension: the only other thing that the driver gets
+    means = fit_on.select(F.posexplode(doubles(F.col(vector))).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
+    middle = F.array(*(F.lit(float(r["m"])) for r in means))
 
     def centred(df: DataFrame, group: str) -> DataFrame:
-        return df.crossJoin(F.broadcast(means)).select(  # one row
-            key, F.lit(group).alias("group"),
-            array_to_vector(F.zip_with(doubles(F.col(vector)), F.col("mean"), lambda x, m: x - m)).alias("v"),
-        )
+        v = array_to_vector(F.zip_with(doubles(F.col(vector)), middle, lambda x, m: x - m))
+        return df.select(key, F.lit(group).alias("group"), v.alias("v"))
 
     first = centred(fit_on, "reference")
     model = PCA(k=k, inputCol="v", outputCol="p").fit(first)

@@ -170,7 +170,7 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
 def human_surveys(spark: SparkSession, path: str, aliases: DataFrame) -> DataFrame:
     """(topic, title, text, outline, source): text files whose name, else folder, holds an alias; the first alias in order.
 
-    aliases(alias, topic, ord) is a short list; files without a topic have a null one.
+    aliases(alias, topic, ord) is a short, configured list that the driver reads; files without a topic have a null one.
     """
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("source")
@@ -178,11 +178,9 @@ def human_surveys(spark: SparkSession, path: str, aliases: DataFrame) -> DataFra
     kept = files.where(F.lower("source").rlike(r"\.(md|txt|json)$") & ~file_name(F.col("source")).isin("README.md", "LICENSE", "NOTICE"))
     token = lambda c: F.translate(F.lower(c), "- ", "__")
     named = kept.select("*", stem(F.col("source")).alias("title"), token(stem(F.col("source"))).alias("a"), token(directory(F.col("source"))).alias("b"))
-    listed = aliases.agg(F.array_sort(F.collect_list(F.struct("ord", "alias", "topic"))).alias("l"))
-    hit = lambda c: F.get(F.filter("l", lambda x: F.col(c).contains(x["alias"])), F.lit(0))["topic"]
-    return named.crossJoin(F.broadcast(listed)).select(  # one row
-        F.coalesce(hit("a"), hit("b")).alias("topic"), "title", "text", X.outline("text", max_lines=30).alias("outline"), "source"
-    )
+    listed = sorted((r["ord"], r["alias"], r["topic"]) for r in aliases.collect())
+    hit = lambda c: F.coalesce(F.lit(None).cast("string"), *(F.when(F.col(c).contains(alias), topic) for _, alias, topic in listed))
+    return named.select(F.coalesce(hit("a"), hit("b")).alias("topic"), "title", "text", X.outline("text", max_lines=30).alias("outline"), "source")
 
 
 def baseline_generations(spark: SparkSession, path: str, queries: DataFrame, dataset: str, model: str) -> DataFrame:
