@@ -92,15 +92,14 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    if column.type != pa.large_string():
-        column = column.cast(pa.large_string())
     if column.null_count:
         column = pc.fill_null(column, "")
     n = len(column)
     if not n:
         return Texts(np.zeros(0, np.uint8), np.zeros(1, np.int64))
     _, offsets, values = column.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    bounds = np.frombuffer(offsets, width)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
     return Texts(data[bounds[0] : bounds[-1]], bounds - bounds[0])
 

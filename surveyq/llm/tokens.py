@@ -29,7 +29,7 @@ _BREAK = re.compile(r"(?<=\S)[ \n](?=\S)")
 #: Texts whose characters all libraries class alike; others go to the tokenizers library itself.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
 #: Words remembered with their token count by each worker.
-MEMO = 300_000
+MEMO = 600_000
 
 
 @dataclass
