@@ -118,29 +118,44 @@ def search(segment: Segment, phrases: Phrases, slop: int = 0) -> Iterator[tuple[
         lists = [segment.places[start[t] : start[t] + size[t]] for t in back[a:b]]
         rare = int(order[0])
         at = lists[rare].astype(np.int64) - rare
-        low, high = at + rare, at + rare
-        home = segment.text_of(low)
-        begin, end = segment.first[home], segment.first[home + 1] - 1
-        for k in order[1:].tolist():
-            if not len(at):
-                break
-            want, have = at + k, lists[k]
-            # in reach and in the same text: the nearest place from want on, and the nearest up to it
-            least, most = np.maximum(want - slop, begin), np.minimum(want + slop, end)
-            i = np.searchsorted(have, np.maximum(want, least))
-            after = have[np.minimum(i, len(have) - 1)].astype(np.int64)
-            after_ok = (i < len(have)) & (after <= most)
-            i = np.searchsorted(have, np.minimum(want, most), "right") - 1
-            before = have[np.maximum(i, 0)].astype(np.int64)
-            before_ok = (i >= 0) & (before >= least)
-            near = np.where(after_ok & (~before_ok | (after - want <= want - before)), after, before)
-            keep = after_ok | before_ok
-            at, low, high, near, begin, end = (x[keep] for x in (at, low, high, near, begin, end))
-            low, high = np.minimum(low, near), np.maximum(high, near)
+        if slop:
+            at, low, high = _near(segment, at, rare, order[1:].tolist(), lists, slop)
+        else:
+            for k in order[1:].tolist():
+                if not len(at):
+                    break
+                i = np.minimum(np.searchsorted(lists[k], at + k), len(lists[k]) - 1)
+                at = at[lists[k][i] == at + k]
+            at = at[segment.text_of(at) == segment.text_of(at + (b - a - 1))]
+            low, high = at, at + (b - a - 1)
         if len(at):
             yield p, low, high + 1
 
 
+def _near(segment: Segment, at: np.ndarray, rare: int, others: list[int], lists: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the phrases that would begin at `at`, those whose other terms stand within slop of their places, and the words they span."""
+    low, high = at + rare, at + rare
+    home = segment.text_of(low)
+    begin, end = segment.first[home], segment.first[home + 1] - 1
+    for k in others:
+        if not len(at):
+            break
+        want, have = at + k, lists[k]
+        # in reach and in the same text: the nearest place from want on, and the nearest up to it
+        least, most = np.maximum(want - slop, begin), np.minimum(want + slop, end)
+        i = np.searchsorted(have, np.maximum(want, least))
+        after = have[np.minimum(i, len(have) - 1)].astype(np.int64)
+        after_ok = (i < len(have)) & (after <= most)
+        i = np.searchsorted(have, np.minimum(want, most), "right") - 1
+        before = have[np.maximum(i, 0)].astype(np.int64)
+        before_ok = (i >= 0) & (before >= least)
+        near = np.where(after_ok & (~before_ok | (after - want <= want - before)), after, before)
+        keep = after_ok | before_ok
+        at, low, high, near, begin, end = (x[keep] for x in (at, low, high, near, begin, end))
+        low, high = np.minimum(low, near), np.maximum(high, near)
+    return at, low, high
+
+
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The positional index of all texts, written to path and read back: a row for each segment."""
     kind = dict(docs.dtypes)[id_col]
