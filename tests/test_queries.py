@@ -73,3 +73,20 @@ def test_no_import_of_llm_elsewhere():
         if "llm" not in p.parts:
             assert "surveyq.llm" not in p.read_text(), p
     assert importlib.import_module("surveyq") and DATA
+
+
+@pytest.mark.parametrize(
+    "name,needs,lacks",
+    [
+        ("sk3_pending", ["EqualTo(quality,1)", "ReadSchema: struct<doc_id:bigint>"], ["toxic"]),
+        ("q1_delta_summary", ["In(o_orderstatus", "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>"], ["o_orderpriority", "c_acctbal"]),
+        ("sc5_corpus_scan", ["LeftSemi", "PushedFilters: [IsNotNull(quality), EqualTo(quality,1)"], ["n_chars", "lang"]),
+        ("ag9_metric_summary", ["partial_"], ["o_orderdate"]),
+    ],
+)
+def test_scans_are_pruned(spark, sf, name, needs, lacks):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    for part in needs:
+        assert part in plan, (part, plan)
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert scans and not any(word in line for line in scans for word in lacks)
