@@ -83,18 +83,19 @@ def norm_sentence(column: ColumnOrName) -> Column:
 SITES = "arXiv(?:\\.org)?|ar5iv|Semantic\\s*Scholar|ResearchGate|ACM|IEEE|Springer|CVPR|NeurIPS|ICLR|ICML|AAAI|EMNLP|ACL|NAACL"
 
 
+#: What is taken off a web title, in this order.
+WEB_TITLE = (
+    (r"(?i)^\[PDF\]\s*", ""),
+    (r"^\[\d{4}\.\d{4,6}\]\s*", ""),
+    (rf"(?i)\s*[-–]\s*(?:{SITES})\b.*$", ""),
+    (r"(?i)\s*[-–]\s*\S+\.(?:com|org|edu|io|net)\S*\s*$", ""),
+    (r"\s*\.\.\.\s*$", ""),
+)
+
+
 def clean_web_title(column: ColumnOrName) -> Column:
     """A title as search engines return it, without file marks, id prefixes, site and domain suffixes; null as empty."""
-    return strip(
-        _chain(
-            strip(F.coalesce(_c(column), F.lit(""))),
-            (r"(?i)^\[PDF\]\s*", ""),
-            (r"^\[\d{4}\.\d{4,6}\]\s*", ""),
-            (rf"(?i)\s*[-–]\s*(?:{SITES})\b.*$", ""),
-            (r"(?i)\s*[-–]\s*\S+\.(?:com|org|edu|io|net)\S*\s*$", ""),
-            (r"\s*\.\.\.\s*$", ""),
-        )
-    )
+    return strip(_chain(strip(F.coalesce(_c(column), F.lit(""))), *WEB_TITLE))
 
 
 #: Words that open the venue part of a bibliography entry.
@@ -117,45 +118,40 @@ def clean_query_title(column: ColumnOrName, max_words: int = 20) -> Column:
     return F.array_join(F.slice(F.split(t, " "), 1, max_words), " ")
 
 
+#: LaTeX marks of a title and what they become, in this order.
+LATEX_TITLE = (
+    (r"\\\\(?:\[[^\]]*\])?", " "),
+    (r"\\[a-zA-Z]+\*?\s*\{([^{}]*)\}", "$1"),
+    (r"\\[a-zA-Z]+\*?", ""),
+    (r"[{}]", ""),
+    ("~", " "),
+    (r"\$([^$]*)\$", "$1"),
+)
+
+#: LaTeX marks of a bibliography fragment and what they become, in this order.
+LATEX_FRAGMENT = (
+    (r"\\bib(?:info|field)\s*\{[^{}]*\}\s*\{", ""),
+    (r"\\(?:emph|textit|textbf|textsc|mbox|text|href|url|texttt)\s*\{([^{}]*)\}", "$1"),
+    (r"\\\\(?:\[[^\]]*\])?", " "),
+    (r"\\newblock\b", " "),
+    (r"\\natexlab\s*\{[^{}]*\}|\\BIBentry[A-Za-z]+|\\shownote\s*\{[^{}]*\}", ""),
+    (r"\\[A-Za-z@]+\*?\s*\{([^{}]*)\}", "$1"),
+    (r"\\[A-Za-z@]+\*?", ""),
+    ("~", " "),
+    (r"[{}]", ""),
+    ("``|''", '"'),
+    ("`", "'"),
+)
+
+
 def clean_latex_title(column: ColumnOrName) -> Column:
     """LaTeX title to plain text: line breaks, commands, braces, ties and inline maths unwrapped."""
-    return strip(
-        collapse(
-            _chain(
-                _c(column),
-                (r"\\\\(?:\[[^\]]*\])?", " "),
-                (r"\\[a-zA-Z]+\*?\s*\{([^{}]*)\}", "$1"),
-                (r"\\[a-zA-Z]+\*?", ""),
-                (r"[{}]", ""),
-                ("~", " "),
-                (r"\$([^$]*)\$", "$1"),
-            )
-        ),
-        ".:;,",
-    )
+    return strip(collapse(_chain(_c(column), *LATEX_TITLE)), ".:;,")
 
 
 def clean_latex_fragment(column: ColumnOrName) -> Column:
     """A LaTeX bibliography fragment to one plain line; null as empty."""
-    return strip(
-        collapse(
-            _chain(
-                F.coalesce(_c(column), F.lit("")),
-                (r"\\bib(?:info|field)\s*\{[^{}]*\}\s*\{", ""),
-                (r"\\(?:emph|textit|textbf|textsc|mbox|text|href|url|texttt)\s*\{([^{}]*)\}", "$1"),
-                (r"\\\\(?:\[[^\]]*\])?", " "),
-                (r"\\newblock\b", " "),
-                (r"\\natexlab\s*\{[^{}]*\}|\\BIBentry[A-Za-z]+|\\shownote\s*\{[^{}]*\}", ""),
-                (r"\\[A-Za-z@]+\*?\s*\{([^{}]*)\}", "$1"),
-                (r"\\[A-Za-z@]+\*?", ""),
-                ("~", " "),
-                (r"[{}]", ""),
-                ("``|''", '"'),
-                ("`", "'"),
-            )
-        ),
-        ".,;:",
-    )
+    return strip(collapse(_chain(F.coalesce(_c(column), F.lit("")), *LATEX_FRAGMENT)), ".,;:")
 
 
 def strip_markup(column: ColumnOrName) -> Column:
@@ -274,10 +270,15 @@ def word_count(column: ColumnOrName) -> Column:
 
 # --- citations and headings ----------------------------------------------
 
+#: An inline citation that is no link, an author-year mark, and a line of a reference list.
+CITATION = r"\[(\d+(?:\s*,\s*\d+)*)\](?!\()"
+AUTHOR_YEAR = r"\[([A-Z][^,\[\]]{2,40},\s*\d{4}[^\]]*)\]"
+REFERENCE_LINE = r"(?d)^\s*(?:\[(\d+)\]|(\d+)\.)\s*(.+?)\s*(?:URL:\s*(\S+))?\s*$"
+
 
 def citations(column: ColumnOrName) -> Column:
     """Numbers of inline citations [N] and [N, M] in order, but not of links [N](...)."""
-    found = F.regexp_extract_all(_c(column), F.lit(r"\[(\d+(?:\s*,\s*\d+)*)\](?!\()"), F.lit(1))
+    found = F.regexp_extract_all(_c(column), F.lit(CITATION), F.lit(1))
     return F.transform(F.flatten(F.transform(found, lambda g: F.split(g, ","))), lambda n: F.trim(n).cast("int"))
 
 
@@ -329,7 +330,7 @@ def outline_sections(column: ColumnOrName) -> Column:
 def author_year_references(column: ColumnOrName, most: int = 150) -> Column:
     """[Author, year] marks and then the lines of the reference section, distinct, at most `most`."""
     text = _c(column)
-    inline = F.regexp_extract_all(text, F.lit(r"\[([A-Z][^,\[\]]{2,40},\s*\d{4}[^\]]*)\]"), F.lit(1))
+    inline = F.regexp_extract_all(text, F.lit(AUTHOR_YEAR), F.lit(1))
     lines = F.transform(F.split(text, "\n"), lambda x: strip(x))
     heading = r"(?i)^#*\s*(?:references|bibliography)"
     first = F.array_position(F.transform(lines, lambda s: s.rlike(heading)), True)
@@ -342,7 +343,7 @@ def reference_lines(column: ColumnOrName) -> Column:
     """Entries "[N] title URL: x" or "N. title" under a References heading, to the next heading: array of (idx, title, url, arxiv_id)."""
     body = F.regexp_extract(_c(column), r"(?sid)(?:^|\n)[ \t]*#{1,3}\s+references[ \t]*(?:\n(.*))?$", 1)
     upto = F.regexp_replace(body, r"(?s)(?:^|\n)#{1,3}\s+\S.*$", "")
-    entry = r"(?d)^\s*(?:\[(\d+)\]|(\d+)\.)\s*(.+?)\s*(?:URL:\s*(\S+))?\s*$"
+    entry = REFERENCE_LINE
     lines = F.filter(F.split(upto, "\n"), lambda s: s.rlike(entry))
     return F.transform(
         lines,
@@ -383,6 +384,9 @@ def replace_references(text: ColumnOrName, references: Column) -> Column:
 
 # --- identifiers ---------------------------------------------------------
 
+#: Forms in which texts name an arXiv id, the most explicit first.
+ARXIV = (r"(?i)arxiv[:\s/]+(\d{4}\.\d{4,5}(?:v\d+)?)", r"(?i)arxiv\.org/abs/(\d{4}\.\d{4,5}(?:v\d+)?)", r"\b(\d{4}\.\d{4,5})\b")
+
 
 def bare_arxiv(column: ColumnOrName) -> Column:
     """An arXiv id without its version."""
@@ -397,8 +401,7 @@ def arxiv_id(column: ColumnOrName) -> Column:
 def arxiv_ids(column: ColumnOrName) -> Column:
     """Distinct arXiv ids of a text whose year is 07 to 30 and month 01 to 12, in order of the pattern that finds them."""
     text = _c(column)
-    patterns = (r"(?i)arxiv[:\s/]+(\d{4}\.\d{4,5}(?:v\d+)?)", r"(?i)arxiv\.org/abs/(\d{4}\.\d{4,5}(?:v\d+)?)", r"\b(\d{4}\.\d{4,5})\b")
-    found = F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns)), bare_arxiv)
+    found = F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in ARXIV)), bare_arxiv)
 
     def plausible(i: Column) -> Column:
         year, month = F.substring(i, 1, 2).cast("int"), F.substring(i, 3, 2).cast("int")
@@ -567,11 +570,22 @@ def short_count(column: ColumnOrName) -> Column:
 
 # --- model answers -------------------------------------------------------
 
+#: The marks and phrases that judges' and extractors' answers are asked to use.
+SCORE, WINNER = r"(?i)SCORE:\s*(\d+)", r"(?i)WINNER:\s*(A|B|TIE)"
+BETTER_A, BETTER_B = r"(?i)\bSurvey A\b.*\bbetter\b", r"(?i)\bSurvey B\b.*\bbetter\b"
+NO_CLAIM = "No verifiable claim."
+FINAL = r"Final submission:\s*\n?(.+)"
+VERIFIABLE, NOT_VERIFIABLE = "Contains a specific and verifiable proposition", "Does NOT"
+REWRITTEN = r"(?s)Sentence with only verifiable information:\s*\n?(.*?)(?:\n\n|\z)"
+DECONTEXTUALIZED, CANNOT = r"(?s)DecontextualizedSentence:\s*(.*?)(?:\n\n|\z)", "Cannot be decontextualized"
+PROPOSITIONS = "Specific, Verifiable, and Decontextualized Propositions with Essential Context/Clarifications:"
+TRUE_OR_FALSE = r"(?i)\s*-\s*true or false\?$"
+
 
 def parse_score(column: ColumnOrName) -> Column:
     """"SCORE: n", else the last number from 0 to 10; at most 100; null for none."""
     c = _c(column)
-    named = empty_to_null(F.regexp_extract(c, r"(?i)SCORE:\s*(\d+)", 1)).cast("long")
+    named = empty_to_null(F.regexp_extract(c, SCORE, 1)).cast("long")
     last = F.try_element_at(F.regexp_extract_all(c, F.lit(r"\b(10|[0-9])\b"), F.lit(1)), F.lit(-1)).cast("long")
     found = F.coalesce(named, last)
     return F.when(found.isNotNull(), F.least(found, F.lit(100))).cast("int")
@@ -581,9 +595,9 @@ def parse_winner(column: ColumnOrName) -> Column:
     """"WINNER: A|B|TIE", else which survey is called better; null for neither."""
     c = _c(column)
     return (
-        F.when(c.rlike(r"(?i)WINNER:\s*(A|B|TIE)"), F.upper(F.regexp_extract(c, r"(?i)WINNER:\s*(A|B|TIE)", 1)))
-        .when(c.rlike(r"(?i)\bSurvey A\b.*\bbetter\b"), "A")
-        .when(c.rlike(r"(?i)\bSurvey B\b.*\bbetter\b"), "B")
+        F.when(c.rlike(WINNER), F.upper(F.regexp_extract(c, WINNER, 1)))
+        .when(c.rlike(BETTER_A), "A")
+        .when(c.rlike(BETTER_B), "B")
     )
 
 
@@ -600,16 +614,16 @@ def parse_claim_lines(column: ColumnOrName) -> Column:
         F.split(c, "\n"), lambda s: F.regexp_replace(F.replace(strip(s), F.lit("- "), F.lit("")), r"^\d+\.?\s+", "")
     )
     kept = F.filter(lines, lambda s: (s != "") & ~s.startswith("Note:"))
-    return F.when((c == "") | c.contains("No verifiable claim."), F.array().cast("array<string>")).otherwise(kept)
+    return F.when((c == "") | c.contains(NO_CLAIM), F.array().cast("array<string>")).otherwise(kept)
 
 
 def parse_selection(answer: ColumnOrName, sentence: ColumnOrName) -> Column:
     """Selection stage: (ok, verifiable, sentence); ok is false without the final mark."""
     a = _c(answer)
-    final = strip(F.regexp_extract(a, r"Final submission:\s*\n?(.+)", 1))
-    ok = a.rlike(r"Final submission:\s*\n?(.+)")
-    verifiable = final.contains("Contains a specific and verifiable proposition") & ~final.contains("Does NOT")
-    head = r"(?s)Sentence with only verifiable information:\s*\n?(.*?)(?:\n\n|\z)"
+    final = strip(F.regexp_extract(a, FINAL, 1))
+    ok = a.rlike(FINAL)
+    verifiable = final.contains(VERIFIABLE) & ~final.contains(NOT_VERIFIABLE)
+    head = REWRITTEN
     text = strip(F.regexp_replace(F.regexp_replace(strip(F.regexp_extract(a, head, 1)), '^"+|"+$', ""), "^'+|'+$", ""))
     rewritten = (
         F.when(~a.rlike(head) | (F.lower(text) == "remains unchanged"), _c(sentence)).when((text == "") | (F.lower(text) == "none"), None).otherwise(text)
@@ -621,17 +635,13 @@ def parse_selection(answer: ColumnOrName, sentence: ColumnOrName) -> Column:
 def parse_disambiguation(answer: ColumnOrName) -> Column:
     """Disambiguation stage: (ok, sentence); sentence is null where the text cannot stand alone."""
     a = _c(answer)
-    pattern = r"(?s)DecontextualizedSentence:\s*(.*?)(?:\n\n|\z)"
+    pattern = DECONTEXTUALIZED
     text = strip(F.regexp_extract(a, pattern, 1))
     return F.struct(
-        a.rlike(pattern).alias("ok"), F.when((text != "") & ~text.contains("Cannot be decontextualized"), text).alias("sentence")
+        a.rlike(pattern).alias("ok"), F.when((text != "") & ~text.contains(CANNOT), text).alias("sentence")
     )
 
 
-#: Fixed value: the heading before the final list of a decomposition answer.
-PROPOSITIONS = "Specific, Verifiable, and Decontextualized Propositions with Essential Context/Clarifications:"
-
-
 def parse_decomposition(answer: ColumnOrName) -> Column:
     """Decomposition stage: (ok, claims) from the JSON list after the last heading, without "true or false?" tails."""
     a = _c(answer)
@@ -641,7 +651,7 @@ def parse_decomposition(answer: ColumnOrName) -> Column:
     json = _chain(listed, (r",\s*\]$", "]"), (r"\\([^\"\\/bfnrtu])", r"\\\\\\\\$1"))
     items = F.from_json(json, "array<string>")
     claims = F.filter(
-        F.transform(items, lambda s: strip(F.regexp_replace(s, r"(?i)\s*-\s*true or false\?$", ""))), lambda s: s.isNotNull() & (s != "")
+        F.transform(items, lambda s: strip(F.regexp_replace(s, TRUE_OR_FALSE, ""))), lambda s: s.isNotNull() & (s != "")
     )
     ok = a.contains(PROPOSITIONS) & items.isNotNull()
     return F.struct(ok.alias("ok"), F.when(ok, claims).otherwise(F.array().cast("array<string>")).alias("claims"))
