@@ -31,8 +31,8 @@ from surveyq.llm.graph import components
 WIDTH = 5
 TREES, DEPTH, DEEPEST = 21, 3, 8
 VALUES = TREES * DEPTH
-#: Nodes that make a bucket dense, so that its prefix grows; nodes of a bucket or region that one task compares.
-BUCKET, BLOCK = 4096, 1024
+#: Nodes that make a bucket dense, so that its prefix grows; nodes of a bucket, and of a region, that are compared at once.
+BUCKET, BLOCK, REGION = 4096, 512, 256
 #: Standard errors that a signature may fall below the threshold; 3 in a million pairs at the threshold fall lower.
 ERRORS = 4.5
 _FIRST_OF_ALL = -(1 << 63)
@@ -264,7 +264,7 @@ def _labels(narrow: DataFrame, num: int, den: int, width: int) -> DataFrame:
 
     sized = join_hot(regions, _counts(regions, "root", "region-sizes"), ["root"], "__n", n_reps)
     members = sized.join(reps.select("node", "ord", "mark"), "node").select(F.col("root").alias("r"), "node", "ord", "mark", "__n")
-    placed = _blocks(members, "r", BLOCK).select(F.col("r").alias("g"), "node", "ord", "mark")
+    placed = _blocks(members, "r", REGION).select(F.col("r").alias("g"), "node", "ord", "mark")
     # the few members are the build side, so that texts are not sorted
     links = _edges(
         narrow.join(placed.hint("shuffle_hash"), ["ord", "mark"]).select("g", "node", "body").mapInArrow(sets, "g long, node binary, shingles binary"),

@@ -159,6 +159,7 @@ def test_near_duplicates(spark, num):
 def test_large_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(N, "BUCKET", 16)
     monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "REGION", 6)
     rows = variants()
     got = N.near_duplicate_ids(documents(spark, rows), num=85).collect()
     assert collections.Counter(tuple(r) for r in got) == near_brute(rows, 85)
@@ -326,3 +327,20 @@ def test_risk_is_not_negative():
     pos, neg = rng.normal(1, 1, (300, wide)), rng.normal(-1, 1, (300, wide))
     model = train(pos[:150], np.concatenate([pos[150:], neg[:100]]), 0.6)
     assert (model.score(pos) > 0.5).mean() > 0.95 and (model.score(neg[100:]) < 0.5).mean() > 0.95
+
+
+def test_hot_and_cold_keys_join_alike(spark, monkeypatch):
+    from surveyq.llm import common
+
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)], "i long, k long")
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("least"))
+    want = collections.Counter(tuple(r) for r in rows.join(keyed, "k").collect())
+    for keys in (1, 3, 1000):
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        assert collections.Counter(tuple(r) for r in common.join_hot(rows, keyed, ["k"], "n", 300).collect()) == want
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    rows = [*ROWS, *variants()]
+    got = N.near_duplicate_ids(documents(spark, rows), num=80).collect()
+    assert collections.Counter(tuple(r) for r in got) == near_brute(rows, 80)
+    got = LD.dedup_lines(documents(spark, rows), batches=3).collect()
+    assert collections.Counter((r.doc_id, r.line_count, r.lines_dropped, r.text) for r in got) == deduped(rows)
