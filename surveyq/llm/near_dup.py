@@ -18,6 +18,7 @@ holds a whole hot group and no pair of it is left out.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ from surveyq.llm.graph import components
 WIDTH = 5
 TREES, DEPTH, DEEPEST = 21, 3, 8
 VALUES = TREES * DEPTH
-#: Nodes that make a bucket dense, so that its prefix grows; nodes of a bucket, and of a region, that are compared at once.
-BUCKET, BLOCK, REGION = 4096, 512, 256
+#: Nodes that make a bucket dense, so that its prefix grows.
+BUCKET = 4096
+#: Nodes that one comparison holds, of signatures and of whole sets: groups up to the first number stay whole, and no comparison has many more than the second.
+SIGNATURES, SETS = (512, 4096), (128, 1024)
 #: Standard errors that a signature may fall below the threshold; 3 in a million pairs at the threshold fall lower.
 ERRORS = 4.5
 _FIRST_OF_ALL = -(1 << 63)
@@ -109,19 +112,24 @@ def _counts(rows: DataFrame, group: str, label: str) -> DataFrame:
     return stored(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), label)
 
 
-def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """rows (with __n, the size of their group) with group replaced: no group has much more than `most` rows and any two rows of one still meet.
+def _blocks(rows: DataFrame, group: str, held: tuple[int, int]) -> DataFrame:
+    """rows (with __n, the size of their group) with group replaced: large groups are split so that any two rows of one still meet.
 
-    A group above `most` is dealt by a hash of its nodes into blocks of about
-    most / 2; every two blocks form a group.
+    A split group is dealt by a hash of its nodes into blocks, and every two
+    blocks form a group. There are enough blocks to give each shuffle
+    partition some pairs, as far as a pair keeps held[0] rows, and always so
+    many that a pair has about held[1] rows at most.
     """
-    parts = F.ceil(F.col("__n") * 2 / most).cast("int")
+    few, most = held
+    spread = math.ceil(math.sqrt(8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = F.col("__n")
+    parts = F.least(F.ceil(n * 2 / few), F.greatest(F.ceil(n * 2 / most), F.lit(spread))).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     others = F.transform(
         F.filter(F.sequence(F.lit(0), parts - 1), lambda o: o != mine),
         lambda o: F.xxhash64(F.col(group), F.least(mine, o), F.greatest(mine, o)),
     )
-    groups = F.when(F.col("__n") <= most, F.array(F.xxhash64(group))).otherwise(others)
+    groups = F.when(n <= few, F.array(F.xxhash64(group))).otherwise(others)
     return rows.withColumn(group, F.explode(groups)).drop("__n")
 
 
@@ -254,7 +262,7 @@ def _labels(narrow: DataFrame, num: int, den: int, width: int) -> DataFrame:
     )
     n_reps = reps.count()
     floor = num / den - ERRORS * (num / den * (1 - num / den) / VALUES) ** 0.5
-    near = _blocks(_neighbours(reps, n_reps), "g", BLOCK).join(reps.select("node", "sig"), "node").select("g", "node", "sig")
+    near = _blocks(_neighbours(reps, n_reps), "g", SIGNATURES).join(reps.select("node", "sig"), "node").select("g", "node", "sig")
     regions = stored(components(_edges(near, lambda group: _by_signature(group, floor))), "regions")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +272,7 @@ def _labels(narrow: DataFrame, num: int, den: int, width: int) -> DataFrame:
 
     sized = join_hot(regions, _counts(regions, "root", "region-sizes"), ["root"], "__n", n_reps)
     members = sized.join(reps.select("node", "ord", "mark"), "node").select(F.col("root").alias("r"), "node", "ord", "mark", "__n")
-    placed = _blocks(members, "r", REGION).select(F.col("r").alias("g"), "node", "ord", "mark")
+    placed = _blocks(members, "r", SETS).select(F.col("r").alias("g"), "node", "ord", "mark")
     # the few members are the build side, so that texts are not sorted
     links = _edges(
         narrow.join(placed.hint("shuffle_hash"), ["ord", "mark"]).select("g", "node", "body").mapInArrow(sets, "g long, node binary, shingles binary"),

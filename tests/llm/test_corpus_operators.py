@@ -158,8 +158,8 @@ def test_near_duplicates(spark, num):
 
 def test_large_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(N, "BUCKET", 16)
-    monkeypatch.setattr(N, "BLOCK", 8)
-    monkeypatch.setattr(N, "REGION", 6)
+    monkeypatch.setattr(N, "SIGNATURES", (8, 16))
+    monkeypatch.setattr(N, "SETS", (6, 8))
     rows = variants()
     got = N.near_duplicate_ids(documents(spark, rows), num=85).collect()
     assert collections.Counter(tuple(r) for r in got) == near_brute(rows, 85)
