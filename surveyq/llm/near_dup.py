@@ -96,15 +96,22 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("ord", "mark", "body").mapInArrow(run, "ord long, mark long, n long, node binary, sig binary")
 
 
-def _prefix(depth: int):
-    """Buckets of all trees at a depth: 64-bit hashes of the tree's number and its first `depth` values."""
+def _order(tree: int) -> list[int]:
+    """The order in which a tree takes signature values: its own DEPTH values first, then the others, shuffled."""
+    own = [tree * DEPTH + k for k in range(DEPTH)] if tree < TREES else []
+    return own + [v for v in np.random.default_rng(tree).permutation(VALUES).tolist() if v not in own]
 
-    def values(tree: int, k: int):
-        # a tree's own DEPTH values first, then those of trees further on
-        place = ((tree + 5 * (k // DEPTH)) % TREES) * DEPTH + k % DEPTH
-        return F.substring("sig", 2 * place + 1, 2)
 
-    return F.array(*(F.xxhash64(F.lit(t), *(values(t, k) for k in range(depth))) for t in range(TREES)))
+def _trees(depth: int, similarity: float) -> int:
+    """Trees that miss a link of this similarity as rarely as TREES trees of the first depth do, and no fewer."""
+    missed = TREES * math.log1p(-(similarity**DEPTH))
+    return max(TREES, math.ceil(missed / math.log1p(-(similarity**depth))))
+
+
+def _prefix(depth: int, trees: int):
+    """Buckets of `trees` trees at a depth: 64-bit hashes of the tree's number and its first `depth` values."""
+    value = lambda v: F.substring("sig", 2 * v + 1, 2)
+    return F.array(*(F.xxhash64(F.lit(t), *(value(v) for v in _order(t)[:depth])) for t in range(trees)))
 
 
 def _counts(rows: DataFrame, group: str, label: str) -> DataFrame:
@@ -221,27 +228,29 @@ def _edges(rows: DataFrame, link: Callable[[list[tuple]], list[tuple[int, int]]]
     return rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "a binary, b binary")
 
 
-def _neighbours(reps: DataFrame, n_reps: int) -> DataFrame:
-    """(g, node, __n) of all buckets of two or more nodes, deeper where a bucket is large."""
-    rows = reps.select("node", F.posexplode(_prefix(DEPTH)).alias("tree", "g"))
-    total = n_reps * TREES
-    out, depth = [], DEPTH
+def _neighbours(reps: DataFrame, n_reps: int, similarity: float) -> DataFrame:
+    """(g, node, __n) of all buckets of two or more nodes.
+
+    Nodes of a bucket of more than BUCKET nodes go on at the next depth, in as
+    many more trees as keep the recall, up to DEEPEST values.
+    """
+    rows, depth, out = reps.select("node", "sig"), DEPTH, []
     while True:
-        kept = stored(join_hot(rows, _counts(rows, "g", f"buckets-{depth}"), ["g"], "__n", total), f"depth-{depth}")
+        trees = _trees(depth, similarity)
+        placed = rows.select("node", F.explode(_prefix(depth, trees)).alias("g"))
+        kept = stored(join_hot(placed, _counts(placed, "g", f"buckets-{depth}"), ["g"], "__n", n_reps * trees), f"depth-{depth}")
         if depth == DEEPEST:
-            out.append(kept.select("g", "node", "__n"))
+            out.append(kept)
             break
-        out.append(kept.where(F.col("__n") <= BUCKET).select("g", "node", "__n"))
-        dense = kept.where(F.col("__n") > BUCKET).select("node", "tree")
+        out.append(kept.where(F.col("__n") <= BUCKET))
+        dense = kept.where(F.col("__n") > BUCKET).select("node").distinct()
         if dense.isEmpty():
             break
         depth += 1
-        rows = dense.join(reps.select("node", "sig"), "node").select(
-            "node", "tree", F.element_at(_prefix(depth), F.col("tree") + 1).alias("g")
-        )
-    every = out[0]
+        rows = stored(dense.join(reps.select("node", "sig"), "node"), f"dense-{depth}")
+    every = out[0].select("g", "node", "__n")
     for more in out[1:]:
-        every = every.unionByName(more)
+        every = every.unionByName(more.select("g", "node", "__n"))
     return every
 
 
@@ -262,7 +271,7 @@ def _labels(narrow: DataFrame, num: int, den: int, width: int) -> DataFrame:
     )
     n_reps = reps.count()
     floor = num / den - ERRORS * (num / den * (1 - num / den) / VALUES) ** 0.5
-    near = _blocks(_neighbours(reps, n_reps), "g", SIGNATURES).join(reps.select("node", "sig"), "node").select("g", "node", "sig")
+    near = _blocks(_neighbours(reps, n_reps, num / den), "g", SIGNATURES).join(reps.select("node", "sig"), "node").select("g", "node", "sig")
     regions = stored(components(_edges(near, lambda group: _by_signature(group, floor))), "regions")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,8 +156,10 @@ def test_near_duplicates(spark, num):
         assert N.near_duplicates(empty(spark)).count() == 0
 
 
-def test_large_groups_are_split(spark, monkeypatch):
-    monkeypatch.setattr(N, "BUCKET", 16)
+@pytest.mark.parametrize("dense,deepest", [(16, 8), (4, 5), (1000, 8)])
+def test_large_groups_are_split(spark, monkeypatch, dense, deepest):
+    monkeypatch.setattr(N, "BUCKET", dense)
+    monkeypatch.setattr(N, "DEEPEST", deepest)
     monkeypatch.setattr(N, "SIGNATURES", (8, 16))
     monkeypatch.setattr(N, "SETS", (6, 8))
     rows = variants()
