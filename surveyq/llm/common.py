@@ -13,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own pools keep freed batches; the system's gives them back, and workers live as long as their executor
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Text bytes handled at once by the vectorised word scanner.
 SLICE_BYTES = 2 << 20
 _BLOCK = 256 << 10
