@@ -5,7 +5,8 @@
 2. Each of `TREES` trees orders the nodes by its own sequence of signature
    values. Nodes with a common prefix of DEPTH values are neighbours; where a
    region is dense (more than `BUCKET` nodes share a prefix) the prefix grows,
-   up to DEEPEST values. Neighbours whose whole signatures can belong to
+   up to DEEPEST values, in more trees over further values that only nodes of
+   such regions get: no two trees of a depth share a value. Neighbours whose whole signatures can belong to
    similar sets join one region; only a spanning forest of them is written.
 3. The full sets of a region's nodes are compared, all pairs of them, so a
    link that no tree found counts as well if its ends share a region.
@@ -36,13 +37,16 @@ VALUES = TREES * DEPTH
 BUCKET = 4096
 #: Nodes that one comparison holds, of signatures and of whole sets: groups up to the first number stay whole, and no comparison has many more than the second.
 SIGNATURES, SETS = (512, 4096), (128, 1024)
-#: Standard errors that a signature may fall below the threshold; 3 in a million pairs at the threshold fall lower.
-ERRORS = 4.5
+#: Share of the pairs at the threshold whose signatures may agree in fewer values than asked.
+UNLIKE = 3e-6
+#: The trees of a deeper depth miss a link this many times more rarely than those of the first, so that all depths together add a sixth.
+RARER = 30
 _FIRST_OF_ALL = -(1 << 63)
 
 _RANDOM = np.random.default_rng(20240607)
 _A = (_RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+_DEEP_SEED = 20240608
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -67,11 +71,12 @@ def shingle_sets(texts: Texts, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """VALUES MinHash values of 16 bits: the low bits of the least 32-bit hash of each function."""
-    least = np.full(VALUES, (1 << 32) - 1, np.uint64)
-    for a in range(0, len(shingles), 4096):
-        part = shingles[a : a + 4096, None] * _A + _B
+def signature(shingles: np.ndarray, times: np.ndarray = _A, plus: np.ndarray = _B) -> np.ndarray:
+    """MinHash values of 16 bits, VALUES of them: the low bits of the least 32-bit hash of each function."""
+    least = np.full(len(times), (1 << 32) - 1, np.uint64)
+    step = max(1, 4096 * VALUES // len(times))
+    for a in range(0, len(shingles), step):
+        part = shingles[a : a + step, None] * times + plus
         np.minimum(least, (part >> np.uint64(32)).min(axis=0), out=least)
     return least.astype(np.uint16)
 
@@ -96,22 +101,45 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("ord", "mark", "body").mapInArrow(run, "ord long, mark long, n long, node binary, sig binary")
 
 
-def _order(tree: int) -> list[int]:
-    """The order in which a tree takes signature values: its own DEPTH values first, then the others, shuffled."""
-    own = [tree * DEPTH + k for k in range(DEPTH)] if tree < TREES else []
-    return own + [v for v in np.random.default_rng(tree).permutation(VALUES).tolist() if v not in own]
+def _further(docs: DataFrame, members: DataFrame, width: int, values: int) -> DataFrame:
+    """(node, sig) of members (node, ord, mark): `values` MinHash values from the texts, by functions of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng(_DEEP_SEED)
+        # one draw for each function, so that more values begin with the same ones
+        drawn = random.integers(0, 1 << 63, (values, 2), dtype=np.uint64)
+        times, plus = (drawn[:, 0] << np.uint64(1)) | np.uint64(1), drawn[:, 1]
+        for batch, texts in with_text_batches(batches, "body"):
+            found = [signature(s, times, plus).tobytes() for s in shingle_sets(texts, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "sig"])
+
+    texts = docs.join(members.hint("shuffle_hash"), ["ord", "mark"]).select("node", "body")
+    # rows can share both id and text
+    return texts.mapInArrow(run, "node binary, sig binary").dropDuplicates(["node"])
 
 
 def _trees(depth: int, similarity: float) -> int:
-    """Trees that miss a link of this similarity as rarely as TREES trees of the first depth do, and no fewer."""
-    missed = TREES * math.log1p(-(similarity**DEPTH))
+    """Trees that miss a link of this similarity RARER times less often than TREES trees of the first depth do, and no fewer."""
+    if depth == DEPTH or similarity >= 1:
+        return TREES
+    missed = TREES * math.log1p(-(similarity**DEPTH)) - math.log(RARER)
     return max(TREES, math.ceil(missed / math.log1p(-(similarity**depth))))
 
 
+def _agreeing(similarity: float) -> int:
+    """The most signature values to ask of a pair so that at most UNLIKE of those at this similarity have fewer, by the binomial tail."""
+    below, k = 0.0, 0
+    while k < VALUES:
+        below += math.comb(VALUES, k) * similarity**k * (1 - similarity) ** (VALUES - k)
+        if below > UNLIKE:
+            break
+        k += 1
+    return k
+
+
 def _prefix(depth: int, trees: int):
-    """Buckets of `trees` trees at a depth: 64-bit hashes of the tree's number and its first `depth` values."""
-    value = lambda v: F.substring("sig", 2 * v + 1, 2)
-    return F.array(*(F.xxhash64(F.lit(t), *(value(v) for v in _order(t)[:depth])) for t in range(trees)))
+    """Buckets of `trees` trees at a depth: 64-bit hashes of the tree's number and its `depth` values of sig."""
+    return F.array(*(F.xxhash64(F.lit(depth), F.lit(t), F.substring("sig", 2 * depth * t + 1, 2 * depth)) for t in range(trees)))
 
 
 def _counts(rows: DataFrame, group: str, label: str) -> DataFrame:
@@ -174,9 +202,8 @@ def _forest(n: int, links: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int,
     return out
 
 
-def _by_signature(rows: list[tuple], floor: float) -> list[tuple[int, int]]:
+def _by_signature(rows: list[tuple], need: int) -> list[tuple[int, int]]:
     sigs = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(len(rows), -1)
-    need = int(np.ceil(floor * sigs.shape[1]))
 
     def links():
         for i in range(len(rows) - 1):
@@ -228,11 +255,12 @@ def _edges(rows: DataFrame, link: Callable[[list[tuple]], list[tuple[int, int]]]
     return rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "a binary, b binary")
 
 
-def _neighbours(reps: DataFrame, n_reps: int, similarity: float) -> DataFrame:
+def _neighbours(reps: DataFrame, n_reps: int, similarity: float, further: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """(g, node, __n) of all buckets of two or more nodes.
 
     Nodes of a bucket of more than BUCKET nodes go on at the next depth, in as
-    many more trees as keep the recall, up to DEEPEST values.
+    many more trees as keep the recall, up to DEEPEST values. They get as many
+    signature values as the trees of any deeper depth take (further), once.
     """
     rows, depth, out = reps.select("node", "sig"), DEPTH, []
     while True:
@@ -246,8 +274,13 @@ def _neighbours(reps: DataFrame, n_reps: int, similarity: float) -> DataFrame:
         dense = kept.where(F.col("__n") > BUCKET).select("node").distinct()
         if dense.isEmpty():
             break
+        if depth == DEPTH:
+            values = max(d * _trees(d, similarity) for d in range(DEPTH + 1, DEEPEST + 1))
+            more = further(dense.join(reps.select("node", "ord", "mark"), "node"), values)
+        else:
+            more = dense.join(rows, "node")
         depth += 1
-        rows = stored(dense.join(reps.select("node", "sig"), "node"), f"dense-{depth}")
+        rows = stored(more, f"dense-{depth}")
     every = out[0].select("g", "node", "__n")
     for more in out[1:]:
         every = every.unionByName(more.select("g", "node", "__n"))
@@ -270,9 +303,10 @@ def _labels(narrow: DataFrame, num: int, den: int, width: int) -> DataFrame:
         "reps",
     )
     n_reps = reps.count()
-    floor = num / den - ERRORS * (num / den * (1 - num / den) / VALUES) ** 0.5
-    near = _blocks(_neighbours(reps, n_reps, num / den), "g", SIGNATURES).join(reps.select("node", "sig"), "node").select("g", "node", "sig")
-    regions = stored(components(_edges(near, lambda group: _by_signature(group, floor))), "regions")
+    need = _agreeing(num / den)
+    further = lambda members, values: _further(narrow, members, width, values)
+    near = _blocks(_neighbours(reps, n_reps, num / den, further), "g", SIGNATURES).join(reps.select("node", "sig"), "node").select("g", "node", "sig")
+    regions = stored(components(_edges(near, lambda group: _by_signature(group, need))), "regions")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in with_text_batches(batches, "body"):

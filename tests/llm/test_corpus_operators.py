@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -167,6 +168,23 @@ def test_large_groups_are_split(spark, monkeypatch, dense, deepest):
     assert collections.Counter(tuple(r) for r in got) == near_brute(rows, 85)
 
 
+def test_isolated_pairs_at_the_threshold_survive_dense_buckets(spark, monkeypatch):
+    """Every bucket counts as dense, so that each pair has to meet at every depth up to the last."""
+    monkeypatch.setattr(N, "BUCKET", 1)
+    own = lambda i, side: " ".join([*(f"p{i}w{k}" for k in range(32)), *(f"p{i}{side}{k}" for k in range(4))])
+    rows = [(2 * i + j, own(i, side)) for i in range(3000) for j, side in enumerate("ab")]
+    got = N.near_duplicate_ids(documents(spark, rows), num=80, width=1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(i, 36, i - i % 2) for i in range(6000)]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_signatures_and_trees_keep_the_stated_rates(similarity):
+    below = sum(math.comb(N.VALUES, k) * similarity**k * (1 - similarity) ** (N.VALUES - k) for k in range(N._agreeing(similarity)))
+    assert below <= 3e-6
+    missed = [(1 - similarity**d) ** N._trees(d, similarity) for d in range(N.DEPTH, N.DEEPEST + 1)]
+    assert sum(missed) <= {0.8: 1 / 2.9e6, 0.85: 1 / 400e6}[similarity]
+
+
 def test_near_duplicates_of_the_corpus(spark, corpus):
     rows = [(r.doc_id, r.text) for r in corpus.collect()]
     got = N.near_duplicate_ids(corpus, num=85).collect()
