@@ -439,5 +439,5 @@ def m6_expert_flags(t: Tables) -> DataFrame:
 
 @query()
 def m11_soft_recall(t: Tables) -> DataFrame:
-    e = t.embeddings.where("vec_id < 200")
+    e = t.embeddings
     return M.soft_recall(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), ["label"])

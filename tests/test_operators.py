@@ -256,3 +256,36 @@ def test_overlap_scores(spark):
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "k int, embedding array<double>")
     assert M.soft_recall(vec, vec, ["k"]).head().soft_recall == pytest.approx(1)
     assert M.soft_recall(vec, vec.limit(1), ["k"]).head().soft_recall == pytest.approx(0.5)
+
+
+def brute_soft_recall(wanted, found):
+    def size(x):
+        if not x:
+            return 0.0
+        u = np.array(x, float)
+        u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-8)
+        return (1 / np.maximum(u @ u.T, 0).sum(1)).sum()
+
+    return (size(wanted) + size(found) - size([*wanted, *found])) / size(wanted)
+
+
+def test_soft_recall_by_blocks(spark):
+    """Groups of several blocks, with copies inside and across the sets, and one without found vectors."""
+    draw = np.random.default_rng(5)
+    rows = [(g, int(i % 2), draw.normal(size=6).round(1).tolist()) for g, n in (("a", 70), ("b", 9), ("c", 1)) for i in range(n)]
+    rows += [("a", s, rows[3][2]) for s in (0, 0, 0, 1, 1)] + [("a", 0, None)]
+    df = spark.createDataFrame(rows, "k string, s int, embedding array<float>")
+    got = M.soft_recall(df.where("s = 0"), df.where("s = 1"), ["k"], block=8)
+    assert "Exchange" in got._jdf.queryExecution().toString()
+    pick = lambda k, s: [v for g, t, v in rows if (g, t) == (k, s) and v is not None]
+    assert {r.k: r.soft_recall for r in got.collect()} == {k: pytest.approx(brute_soft_recall(pick(k, 0), pick(k, 1)), rel=1e-5) for k in "abc"}
+
+
+def test_soft_recall_query_reads_all_embeddings(spark, sf):
+    from surveyq.plans.registry import QUERIES
+
+    every = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    assert max(r.vec_id for r in every) >= 200
+    pick = lambda k, s: [r.embedding for r in every if r.label == k and r.vec_id % 2 == s]
+    want = {k: pytest.approx(brute_soft_recall(pick(k, 0), pick(k, 1)), rel=1e-5) for k in {r.label for r in every if r.vec_id % 2 == 0}}
+    assert {r.label: r.soft_recall for r in QUERIES["m11_soft_recall"](spark, sf).collect()} == want
