@@ -461,8 +461,10 @@ def m11_bleu(t: Tables) -> DataFrame:
 
 @query()
 def j14_j15_greedy_match(t: Tables) -> DataFrame:
-    entries = t.part.where("p_size <= 10").select((F.col("p_partkey") % 50).alias("survey_key"), F.col("p_partkey").alias("k"), F.concat("p_brand", F.lit(" "), "p_name", F.lit(", 2019.")).alias("raw"))
-    titles = t.part.where("p_size <= 10").select((F.col("p_partkey") % 50).alias("survey_key"), F.col("p_partkey").alias("j"), F.col("p_name").alias("title"))
+    """Every 100 part keys in a row are one survey, so that surveys grow in number and not in size."""
+    survey = F.floor(F.col("p_partkey") / 100).alias("survey_key")
+    entries = t.part.select(survey, F.col("p_partkey").alias("k"), F.concat("p_brand", F.lit(" "), "p_name", F.lit(", 2019.")).alias("raw"))
+    titles = t.part.select(survey, F.col("p_partkey").alias("j"), F.col("p_name").alias("title"))
     return B.greedy_match(B.score_pairs(entries, titles, 0.7))
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -289,3 +290,23 @@ def test_soft_recall_query_reads_all_embeddings(spark, sf):
     pick = lambda k, s: [r.embedding for r in every if r.label == k and r.vec_id % 2 == s]
     want = {k: pytest.approx(brute_soft_recall(pick(k, 0), pick(k, 1)), rel=1e-5) for k in {r.label for r in every if r.vec_id % 2 == 0}}
     assert {r.label: r.soft_recall for r in QUERIES["m11_soft_recall"](spark, sf).collect()} == want
+
+
+def test_greedy_match_query_takes_every_part(spark, sf):
+    from surveyq.plans.registry import QUERIES
+
+    norm = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip()
+    parts = [(r.p_partkey, norm(f"{r.p_brand} {r.p_name}, 2019."), norm(r.p_name)) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+
+    def longest(a, b):
+        return next(n for n in range(len(a), -1, -1) if any(a[i : i + n] in b for i in range(len(a) - n + 1)))
+
+    scored = sorted((-longest(t, e) / len(t), k, j) for k, e, _ in parts for j, _, t in parts if k // 100 == j // 100)
+    ks, js, want = set(), set(), set()
+    for s, k, j in scored:
+        if -s >= 0.7 and k not in ks and j not in js:
+            ks.add(k)
+            js.add(j)
+            want.add((k // 100, k, j, -s))
+    assert {tuple(r) for r in QUERIES["j14_j15_greedy_match"](spark, sf).select("survey_key", "k", "j", "score").collect()} == want
+    assert ks == {k for k, _, _ in parts}
