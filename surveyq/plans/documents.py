@@ -443,20 +443,36 @@ def m11_rouge_1(t: Tables) -> DataFrame:
     return rouge_n(rows, ["doc_id"], "c", "r", 1).select("doc_id", F.round("rouge_1", 6).alias("rouge_1"))
 
 
+def halves(t: Tables) -> DataFrame:
+    """doc_id, c, r: the two halves of every whole text; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.ceil(F.length(text) / 2).cast("int")
+    return t.documents.select("doc_id", F.substring(text, F.lit(1), half).alias("c"), F.substring(text, half + 1, F.length(text)).alias("r"))
+
+
+@query()
+def m11_rouge_1_whole(t: Tables) -> DataFrame:
+    """m11_rouge_1 over the whole texts of all rows; without a word on both sides 0."""
+    from surveyq.operators.models import rouge_n
+
+    rows = halves(t)
+    words = F.concat(X.norm_words("c"), X.norm_words("r")) != ""
+    scored = rouge_n(rows.where(words), ["doc_id"], "c", "r", 1)
+    return scored.unionByName(rows.where(~words).select("doc_id", F.lit(0.0).alias("rouge_1")))
+
+
 @query()
 def m11_rouge_l(t: Tables) -> DataFrame:
     from surveyq.operators.models import rouge_l
 
-    rows = t.documents.where("length(text) > 700").select("doc_id", F.substring("text", 1, 400).alias("c"), F.substring("text", 200, 400).alias("r"))
-    return rouge_l(rows, ["doc_id"], "c", "r")
+    return rouge_l(halves(t), ["doc_id"], "c", "r")
 
 
 @query()
 def m11_bleu(t: Tables) -> DataFrame:
     from surveyq.operators.models import bleu
 
-    rows = t.documents.where("length(text) > 700").select("doc_id", F.substring("text", 1, 400).alias("c"), F.substring("text", 200, 400).alias("r"))
-    return bleu(rows, ["doc_id"], "c", "r")
+    return bleu(halves(t), ["doc_id"], "c", "r")
 
 
 @query()
@@ -472,9 +488,9 @@ def j14_j15_greedy_match(t: Tables) -> DataFrame:
 def c5_cascade(t: Tables) -> DataFrame:
     from surveyq.operators.models import HashEmbedder, OverlapAligner, align_cascade
 
-    docs = t.documents.where("length(text) > 200")
+    docs = halves(t).withColumn("text", F.concat("c", "r"))
     pairs = docs.select(
-        F.col("doc_id").alias("survey_key"), F.lit(1).alias("claim_id"), F.lit(1).alias("idx"), F.lit(0).alias("pos"), F.substring("text", 50, 100).alias("claim"),
-        F.substring("text", 1, 100).alias("abstract"), F.col("text").alias("full_text"),
+        F.col("doc_id").alias("survey_key"), F.lit(1).alias("claim_id"), F.lit(1).alias("idx"), F.lit(0).alias("pos"), F.col("r").alias("claim"),
+        F.col("c").alias("abstract"), F.col("text").alias("full_text"),
     )
     return align_cascade(pairs, OverlapAligner(), HashEmbedder(), ["survey_key", "claim_id"]).select("survey_key", "claim_id", "alignscore", "supported", "n_abstract_skip")

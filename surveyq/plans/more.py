@@ -16,6 +16,7 @@ from surveyq.operators import pairs as P
 from surveyq.operators import scope as O
 from surveyq.operators import scoring as G
 from surveyq.operators import summary as U
+from surveyq.plans.documents import halves
 from surveyq.plans.registry import Tables, query
 from surveyq.sources import surveys as R
 
@@ -422,6 +423,21 @@ def c8_per_ref_alignment(t: Tables) -> DataFrame:
     return M.align_per_ref(rows, M.OverlapAligner(), ["doc_id"]).select("doc_id", F.round("alignscore", 6).alias("alignscore"), "best_ref")
 
 
+@query()
+def c7_concat_alignment_whole(t: Tables) -> DataFrame:
+    """c7_concat_alignment over the whole texts of all rows: the second half is the claim, the first the premise."""
+    rows = halves(t).select("doc_id", F.col("r").alias("claim"), F.array(F.struct(F.lit(1).alias("idx"), F.col("c").alias("text"))).alias("evidence"))
+    return M.align_concat(rows, M.OverlapAligner()).select("doc_id", "alignscore")
+
+
+@query()
+def c8_per_ref_alignment_whole(t: Tables) -> DataFrame:
+    """c8_per_ref_alignment over the whole texts of all rows."""
+    one = lambda i, text: F.struct(F.lit(i).alias("idx"), text.alias("text"))
+    rows = halves(t).select("doc_id", F.col("r").alias("claim"), F.array(one(1, F.lit("0x0")), one(2, F.col("c"))).alias("evidence"))
+    return M.align_per_ref(rows, M.OverlapAligner(), ["doc_id"]).select("doc_id", "alignscore", "best_ref")
+
+
 @query("SELECT upper(substring(o_orderpriority, 1, 1)) AS raw, 'A' AS category, 'low' AS confidence, count(*) AS n FROM orders GROUP BY 1")
 def m5_categories(t: Tables) -> DataFrame:
     raw = F.substring("o_orderpriority", 1, 1)

@@ -310,3 +310,51 @@ def test_greedy_match_query_takes_every_part(spark, sf):
             want.add((k // 100, k, j, -s))
     assert {tuple(r) for r in QUERIES["j14_j15_greedy_match"](spark, sf).select("survey_key", "k", "j", "score").collect()} == want
     assert ks == {k for k, _, _ in parts}
+
+
+def test_overlap_queries_read_whole_texts_of_all_rows(spark):
+    from collections import Counter
+    from types import SimpleNamespace
+
+    from surveyq.plans import documents as D
+    from surveyq.plans import more as Q
+
+    draw = random.Random(3)
+    texts = ["", None, "Ab", "one two one two", " ".join(f"w{draw.randrange(60)}" for _ in range(900)), "x y z. " * 150 + "the end is new " * 90]
+    t = SimpleNamespace(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+    def sides(text):
+        text = text or ""
+        cut = -(-len(text) // 2)
+        return [re.sub("[^a-z0-9]+", " ", x.lower()).split() for x in (text[:cut], text[cut:])]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def hits(a, b, n):
+        grams = lambda w: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        return sum((grams(a) & grams(b)).values()) / max(1, len(a) - n + 1)
+
+    def bleu(a, b):
+        rates = [hits(a, b, n) for n in range(1, 5)]
+        return 0.0 if min(rates) <= 0 else min(1.0, math.exp(1 - len(b) / len(a))) * math.exp(sum(map(math.log, rates)) / 4)
+
+    both = {i: sides(x) for i, x in enumerate(texts)}
+    near = lambda f: {i: pytest.approx(f(a, b)) for i, (a, b) in both.items()}
+    got = lambda df, c: {r.doc_id: r[c] for r in df.collect()}
+    f1 = lambda n, a, b: 2 * n / (len(a) + len(b)) if a or b else 0.0
+    share = lambda a, b: len({*a} & {*b}) / len({*b}) if b else 0.0
+    assert got(D.m11_rouge_l(t), "rouge_l") == near(lambda a, b: f1(lcs(a, b), a, b))
+    assert got(D.m11_rouge_1_whole(t), "rouge_1") == near(lambda a, b: f1(hits(a, b, 1) * len(a), a, b))
+    assert got(D.m11_bleu(t), "bleu") == near(bleu)
+    assert got(Q.c7_concat_alignment_whole(t), "alignscore") == near(share)
+    assert got(Q.c8_per_ref_alignment_whole(t), "alignscore") == near(share)
+    cascade = {r.survey_key: r.alignscore for r in D.c5_cascade(t).collect()}
+    # a blank text gives no score; "b" is no word of "Ab"; the best chunks of the others have all words of the claim
+    assert cascade == {0: None, 1: None, 2: 0.0, 3: 1.0, 4: 1.0, 5: 1.0}
