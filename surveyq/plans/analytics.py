@@ -86,6 +86,16 @@ def pf3_unpivot(t: Tables) -> DataFrame:
     return M.to_long(one, ["survey_id"], ["quantity", "discount", "tax"]).where("value IS NOT NULL")
 
 
+@query()
+def pf3_unpivot_whole(t: Tables) -> DataFrame:
+    """pf3_unpivot over all lines, by order and line."""
+    lines = t.lineitem.select(
+        F.col("l_orderkey").alias("survey_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"),
+        F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
+    )
+    return M.to_long(lines, ["survey_id", "line"], ["quantity", "discount", "tax"]).where("value IS NOT NULL")
+
+
 @query("""SELECT event_id, CASE lower(json_extract_string(props, '$.k')) WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0
   ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS value FROM events""")
 def pf2_numeric_coercion(t: Tables) -> DataFrame:

@@ -56,6 +56,12 @@ def t4_loose_title(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.norm_loose(F.substring("text", 1, 200)).alias("t4"))
 
 
+@query()
+def t4_loose_title_whole(t: Tables) -> DataFrame:
+    """t4_loose_title over whole texts."""
+    return t.documents.select("doc_id", X.norm_loose("text").alias("t4"))
+
+
 @query("SELECT p_partkey, p_name AS cleaned FROM part")
 def t5_web_title(t: Tables) -> DataFrame:
     noisy = F.concat(F.lit("[PDF] "), F.lit("[1911.02794] "), "p_name", F.lit(" - arXiv.org e-print ..."))
@@ -118,6 +124,12 @@ def t37_keywords(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'en'").where(F.size(kept) > 0).select("doc_id", words.alias("words"))
 
 
+@query()
+def t37_keywords_whole(t: Tables) -> DataFrame:
+    """t37_keywords over the whole texts of all rows."""
+    return t.documents.select("doc_id", X.keywords("text").alias("words"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1.0 WHEN p_partkey % 3 = 1 THEN 0.9 ELSE 0.0 END::DOUBLE AS score FROM part""")
 def t35_title_score(t: Tables) -> DataFrame:
     k = F.col("p_partkey") % 3
@@ -261,6 +273,12 @@ def t47_claim_lines(t: Tables) -> DataFrame:
     return rows.select("doc_id", X.parse_claim_lines("text").alias("claims"))
 
 
+@query()
+def t47_claim_lines_whole(t: Tables) -> DataFrame:
+    """t47_claim_lines over all rows, with their bulleted and numbered lines."""
+    return t.documents.select("doc_id", X.parse_claim_lines("text").alias("claims"))
+
+
 # --- references ---------------------------------------------------------------
 
 _SQL_INDEX = "SELECT lower(regexp_replace(p_name, '[^a-zA-Z]', '', 'g')) AS k, max(p_partkey) AS doc_id FROM part GROUP BY 1"

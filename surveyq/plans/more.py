@@ -206,6 +206,14 @@ def t33_text_from_index(t: Tables) -> DataFrame:
     return index.select("doc_id", X.text_from_index(F.col("m")).alias("text")).where("text IS NOT NULL")
 
 
+@query()
+def t33_text_from_index_whole(t: Tables) -> DataFrame:
+    """t33_text_from_index over the whole texts of all rows; a text without a word gives null."""
+    words = t.documents.select("doc_id", F.posexplode(F.split(X.collapse(F.coalesce("text", F.lit(""))), " ")).alias("p", "w"))
+    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    return index.select("doc_id", X.blank_to_null(X.text_from_index(F.col("m"))).alias("text"))
+
+
 @query()
 def t40_sentence_window(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "text", F.get(X.split_sentences("text", drop_markers=False), F.lit(3)).alias("s")).where("s IS NOT NULL")

@@ -358,3 +358,23 @@ def test_overlap_queries_read_whole_texts_of_all_rows(spark):
     cascade = {r.survey_key: r.alignscore for r in D.c5_cascade(t).collect()}
     # a blank text gives no score; "b" is no word of "Ab"; the best chunks of the others have all words of the claim
     assert cascade == {0: None, 1: None, 2: 0.0, 3: 1.0, 4: 1.0, 5: 1.0}
+
+
+def test_text_queries_read_whole_texts_of_all_rows(spark):
+    from types import SimpleNamespace
+
+    from surveyq.plans import analytics as A
+    from surveyq.plans import documents as D
+    from surveyq.plans import more as Q
+
+    long = " ".join(f"Word{i % 400}" for i in range(900))
+    docs = spark.createDataFrame([(1, "en", long), (2, "fr", "- Eins zwei\n2. Drei\n\nvier")], "doc_id long, lang string, text string")
+    lines = spark.createDataFrame([(7, n, float(n), 0.5, None) for n in (1, 2)], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double")
+    t = SimpleNamespace(documents=docs, lineitem=lines)
+    got = lambda df, c: {r.doc_id: r[c] for r in df.collect()}
+    assert got(Q.t33_text_from_index_whole(t), "text") == {1: long, 2: "- Eins zwei 2. Drei vier"}
+    assert got(D.t4_loose_title_whole(t), "t4") == {1: long.lower(), 2: "eins zwei 2 drei vier"}
+    assert got(D.t47_claim_lines_whole(t), "claims") == {1: [long], 2: ["Eins zwei", "Drei", "vier"]}
+    words = got(D.t37_keywords_whole(t), "words")
+    assert set(words) == {1, 2} and words[2] == ["Eins", "zwei", "Drei", "vier"]
+    assert rows(A.pf3_unpivot_whole(t)) == sorted([(7, n, m, v) for n in (1, 2) for m, v in (("quantity", float(n)), ("discount", 0.5))], key=str)
