@@ -229,13 +229,14 @@ def both_entail(pairs: DataFrame, nli: Nli, at_least: float = 0.5) -> DataFrame:
     return back.where((F.col("__e1") >= at_least) & (F.col("__e2") >= at_least)).drop("__e1", "__e2")
 
 
-def contradictions(pairs: DataFrame, topic: Judge, check: Judge, by: list[str]) -> DataFrame:
+def contradictions(pairs: DataFrame, topic: Judge, check: Judge, by: list[str], most: int = 400) -> DataFrame:
     """by, n_candidates, n_same_topic, n_confirmed, n_failed, m_contr from pairs (…, s1, s2).
 
     Pairs are filtered by topic, the rest is checked; a failed call is counted
-    and left out of both. m_contr is null without pairs of one subject.
+    and left out of both. m_contr is null without pairs of one subject. A
+    prompt has `most` characters of each side: 400 for sentences, 1800 for paragraphs.
     """
-    prompt = F.concat(F.lit("1: "), F.substring("s1", 1, 400), F.lit("\n2: "), F.substring("s2", 1, 400))
+    prompt = F.concat(F.lit("1: "), F.substring("s1", 1, most), F.lit("\n2: "), F.substring("s2", 1, most))
     a = topic.ask(pairs.withColumn("__q", prompt), "__q", "same")
     b = check.ask(a, "__q", "contra")
     same = F.coalesce(F.col("same").cast("boolean") & (F.col("same_status") != "failed"), F.lit(False))

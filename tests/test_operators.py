@@ -378,3 +378,10 @@ def test_text_queries_read_whole_texts_of_all_rows(spark):
     words = got(D.t37_keywords_whole(t), "words")
     assert set(words) == {1, 2} and words[2] == ["Eins", "zwei", "Drei", "vier"]
     assert rows(A.pf3_unpivot_whole(t)) == sorted([(7, n, m, v) for n in (1, 2) for m, v in (("quantity", float(n)), ("discount", 0.5))], key=str)
+
+
+def test_contradictions_of_paragraphs_see_more_than_400_characters(spark):
+    pair = spark.createDataFrame([("a", "x" * 1000 + " it is", "y" * 1700 + " it is not")], "k string, s1 string, s2 string")
+    yes, no = M.RuleJudge(lambda q: F.lit(True)), M.RuleJudge(lambda q: q.contains(" it is\n") & q.endswith(" it is not"))
+    seen = lambda **most: M.contradictions(pair, yes, no, ["k"], **most).head().n_confirmed
+    assert (seen(), seen(most=1800)) == (0, 1)
