@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +13,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Arrow's own pools keep freed batches; the system's gives them back, and workers live as long as their executor
-pa.set_memory_pool(pa.system_memory_pool())
-
 #: Text bytes handled at once by the vectorised word scanner.
 SLICE_BYTES = 2 << 20
 _BLOCK = 256 << 10
@@ -24,15 +21,16 @@ _BLOCK = 256 << 10
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is absent (tests, one machine) a temporary folder is made
-    once and set as the checkpoint folder.
+    Where the setting is absent a temporary folder is made once and set, if all
+    of Spark is one machine (tests); a cluster has to name its folder.
     """
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="surveyq-")
-        context.setCheckpointDir(where)
-    elif not context.getCheckpointDir():
+    if not context.getCheckpointDir():
         context.setCheckpointDir(where)
     return context.getCheckpointDir() or where
 
@@ -42,11 +40,31 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/surveyq-{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Session settings for rows of long texts: rows that a Parquet scan and an Arrow batch hold at once. Spark's own defaults are made for narrow rows.
+BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024")}
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with BATCH_ROWS, as far as it still has Spark's defaults."""
+    for key, (default, better) in BATCH_ROWS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, better)
+    return spark
+
+
+#: Writer options for rows of up to some MB: Parquet looks at the size of its pages and row groups after each few rows, not first after a hundred.
+LARGE_ROWS = {
+    "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "64",
+    "parquet.block.size.row.check.min": "4", "parquet.block.size.row.check.max": "64",
+    "parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false",
+}
+
+
+def stored(df: DataFrame, label: str, path: str | None = None, **options: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and is computed once."""
     spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
+    path = path or scratch(spark, label)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,6 +75,39 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Shelf:
+    """Intermediate tables of one job under the shared folder; they go when the job ends, however it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = tuned(spark), []
+
+    def path(self, label: str) -> str:
+        self.paths.append(scratch(self.spark, label))
+        return self.paths[-1]
+
+    def stored(self, df: DataFrame, label: str, **options: str) -> DataFrame:
+        return stored(df, label, self.path(label), **options)
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
+def fresh(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened until none is among names; Spark's names differ by more than case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Most keys that join_hot broadcasts.
 HOT_KEYS = 100_000
 
@@ -75,6 +126,30 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: in
     return rows.join(hot, on).unionByName(rest.join(cold, on))
 
 
+#: Longs of a bit table, so it has 2^26 bits at most.
+BIT_WORDS = 1 << 20
+
+
+def split_by_keys(shelf: Shelf, rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be among keys, and those whose key surely isn't; neither is shuffled.
+
+    Each key sets one bit of a table of BIT_WORDS longs, which is broadcast:
+    16 MB at most, whatever the keys. Rows with a bit that isn't set pass by.
+    With many more keys than bits all rows may match, and nothing is lost but
+    time. rows are read twice.
+    """
+    bit, = fresh(rows.columns, "bit")
+    word, bits = fresh([*rows.columns, bit], "word", "bits")
+    hashed = F.xxhash64(*on)
+    numbered = lambda df, *more: df.select(*more, hashed.bitwiseAND(63).cast("int").alias(bit), F.shiftrightunsigned(hashed, 6).bitwiseAND(BIT_WORDS - 1).alias(word))
+    table = shelf.stored(
+        numbered(keys).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias(bits)).coalesce(1), "bits"
+    )
+    marked = numbered(rows, *rows.columns).join(F.broadcast(table), word, "left")
+    there = F.expr(f"coalesce(getbit({bits}, {bit}), 0) = 1")
+    return marked.where(there).select(*rows.columns), marked.where(~there).select(*rows.columns)
+
+
 @dataclass
 class Texts:
     """UTF-8 bytes of consecutive texts: text i is data[bounds[i]:bounds[i + 1]]; nulls are empty."""
@@ -223,8 +298,15 @@ def word_hash(word: str) -> int:
     return int(mix(np.array([_long_hash(data)], np.uint64))[0])
 
 
+def give_back() -> None:
+    """In a worker: free Arrow memory goes back to the system, as Arrow's own pools keep it and workers live as long as their executor."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def with_text_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Each Arrow batch in slices of about SLICE_BYTES of text, with the text's bytes."""
+    give_back()
     for batch in batches:
         whole = texts_of(batch.column(batch.schema.get_field_index(text)))
         for a, b in slices(np.diff(whole.bounds)):

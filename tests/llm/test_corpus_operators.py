@@ -255,6 +255,78 @@ def test_proximity():
     assert where(0) == [] and where(1) == [(0, 4)] and (4, 10) in where(3)
 
 
+def near_hits(texts, items, width, slop):
+    """(words, first, after the last) of all proximity matches, by trying every place."""
+    out, base = set(), 0
+    for t in texts:
+        w = t.split()
+        for item in items:
+            words = item.split()
+            n = min(width, len(words))
+            for b in range(len(words) - n + 1) if n else ():
+                phrase = words[b : b + n]
+                for a in range(len(w)):
+                    reach = [[q for q in range(max(0, a + k - slop), min(len(w), a + k + slop + 1)) if w[q] == x] for k, x in enumerate(phrase)]
+                    if w[a] == phrase[0] and all(reach):
+                        near = [min(r, key=lambda q, k=k: (abs(q - a - k), q)) for k, r in enumerate(reach)]
+                        near[0] = a
+                        out.add((tuple(phrase), base + min(near), base + max(near) + 1))
+        base += len(w)
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_search_against_brute_force(slop):
+    import pyarrow as pa
+
+    from surveyq.llm.common import ALNUM, texts_of, words_of
+
+    rng = np.random.default_rng(slop)
+    for _ in range(25):
+        vocabulary = [f"w{i}" for i in range(int(rng.choice([2, 5, 12])))]
+        some = lambda n, most: [" ".join(rng.choice(vocabulary, int(rng.integers(0, most)))) for _ in range(n)]
+        texts, items, width = some(6, 25), some(5, 8), int(rng.choice([1, 2, 4, 10]))
+        segment = D.Segment.of(texts_of(pa.array(texts, pa.string())))
+        phrases = D.Phrases.windows(texts_of(pa.array(items, pa.string())), width)
+        name = dict(zip(words_of(texts_of(pa.array(vocabulary)), ALNUM).hash.tolist(), vocabulary))
+        got = [
+            (tuple(name[int(phrases.terms[x])] for x in phrases.word[phrases.begin[p] :][: phrases.length[p]]), int(lo), int(hi))
+            for found in D.search(segment, phrases, slop) for p, lo, hi in zip(*found)
+        ]
+        assert set(got) == near_hits(texts, items, width, slop) and len(got) >= len(set(got))
+
+
+def test_search_holds_few_candidates(monkeypatch):
+    import pyarrow as pa
+
+    from surveyq.llm.common import texts_of
+
+    monkeypatch.setattr(D, "CANDIDATES", 3)
+    segment = D.Segment.of(texts_of(pa.array(["a b a b a b a b", "b a b"], pa.string())))
+    phrases = D.Phrases.windows(texts_of(pa.array(["a b a", "b", "b a b"], pa.string())), 2)
+    got = sorted((int(p), int(lo), int(hi)) for found in D.search(segment, phrases) for p, lo, hi in zip(*found))
+    assert len(got) == len(set(got)) == 5 + 4 + 6
+
+
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_proximity_of_documents(spark, block):
+    docs = spark.createDataFrame([(1, "one two x three four"), (2, "one two three four"), (3, "one four"), (4, None), (None, "three two one four")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "two three"), (8, "one two three four five"), (9, "")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.items, r.ranges) for r in D.find_contamination(docs, items, window=2, slop=1, block_bytes=block).collect()}
+    assert got[1] == (5, ["7", "8"], [0, 5])
+    assert got[2] == (4, ["7", "8"], [0, 4])
+    assert got[3][0] == 0 and got[4][0] == 0
+    exact = {r.doc_id: r.items for r in D.find_contamination(docs, items, window=None, slop=0, block_bytes=block).collect()}
+    assert exact == {1: [], 2: ["7"], 3: [], 4: [], None: []}
+
+
+def test_removal_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "k", "x"), (1, "other", "k", "y"), (2, "b c", None, "z")], "doc_id long, text string, key string, bad string")
+    items = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    got = D.remove_contaminated(docs, items).collect()
+    assert [tuple(r) for r in got] == [(1, "other", "k", "y")]
+
+
 # --- packing -----------------------------------------------------------------------
 
 
