@@ -150,6 +150,12 @@ def split_by_keys(shelf: Shelf, rows: DataFrame, keys: DataFrame, on: list[str])
     return marked.where(there).select(*rows.columns), marked.where(~there).select(*rows.columns)
 
 
+def without(shelf: Shelf, rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows whose key is not among keys; only rows that may match are shuffled."""
+    maybe, others = split_by_keys(shelf, rows, keys, on)
+    return maybe.join(keys, on, "left_anti").select(*rows.columns).unionByName(others)
+
+
 @dataclass
 class Texts:
     """UTF-8 bytes of consecutive texts: text i is data[bounds[i]:bounds[i + 1]]; nulls are empty."""

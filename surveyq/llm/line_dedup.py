@@ -2,64 +2,119 @@
 
 A run is a table of line hashes and the document that holds each first,
 bucketed and sorted by hash. A batch of documents is hashed, reduced to one row
-per line, and merge-anti-joined with every run: what is left is new and becomes
-a run of level 0. When a level has `fanout` runs they are merged to one of the
-next level, so there are about fanout * log(batches) runs. Buckets follow the
-session's shuffle partitions: a batch is shuffled once and runs never.
+per line, sorted once and merged with every run in the order in which both lie:
+what no run holds is new and becomes a run of level 0. When a level has
+`fanout` runs they are merged to one of the next level, so there are about
+fanout * log(batches) runs. Runs stay in their folder if they are given one, and
+a later job's batches meet them there.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyq.llm.common import join_hot, remove, scratch, stored
+from surveyq.llm.common import Shelf, fresh, join_hot, remove, scratch, split_by_keys, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\f\r"
 _FIRST_OF_ALL = -(1 << 63)
+#: Session settings with which scans of bucketed tables read a bucket a task and tell its order, where a bucket is one file.
+_WRITTEN_ORDER = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
+
+@contextmanager
+def in_written_order(spark: SparkSession) -> Iterator[None]:
+    """Runs are read bucket by bucket, and Spark doesn't sort them again."""
+    before = {key: spark.conf.get(key) for key in _WRITTEN_ORDER}
+    for key, value in _WRITTEN_ORDER.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 class LineRuns:
-    """The runs of one deduplication, kept under the shared folder."""
+    """Levelled runs of line hashes (h1, h2, first) in a folder.
+
+    Without a path they lie under the shared folder and go on close(); with one
+    they stay, and another LineRuns opens them again. A run is a folder
+    level-<k>-<buckets>-<id> that gets this name when it is complete, and a
+    merged run gets it before the runs in it go; a line that stands in two runs
+    is as good as in one, so a job that dies at any point leaves valid runs.
+    One job at a time may add to a folder. Runs of other bucket counts are
+    read and merged like others, but shuffled.
+    """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    def __init__(self, spark: SparkSession, fanout: int = 3, path: str | None = None):
         if fanout < 2:
             raise ValueError("fanout must be 2 or more")
-        self.spark, self.fanout = spark, fanout
-        self.root = scratch(spark, "line-runs")
+        self.spark, self.fanout, self.keep = spark, fanout, path is not None
+        self.root = (path or scratch(spark, "line-runs")).rstrip("/")
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self._folders: dict[str, str] = {}  # table -> folder
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if self.keep and self._fs.exists(self._path(self.root)):
+            for found in sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))):
+                part = found.split("-")
+                if part[0] == "level":
+                    self._put(int(part[1]), self._table(found, int(part[2])))
 
-    def _write(self, rows: DataFrame) -> str:
+    def _table(self, folder: str, buckets: int) -> str:
         name = f"surveyq_run_{uuid.uuid4().hex}"
-        (
-            rows.repartition(self.buckets, "h1", "h2")
-            .write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-            .option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name)
+        self.spark.sql(
+            f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, first BIGINT) USING parquet "
+            f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {buckets} BUCKETS LOCATION '{self.root}/{folder}'"
         )
+        self._folders[name] = folder
         return name
 
+    def _put(self, level: int, name: str) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(name)
+
+    def _write(self, rows: DataFrame, level: int) -> str:
+        """rows, which are parted by hash already, as a run of a level."""
+        making, folder = f"making-{uuid.uuid4().hex}", f"level-{level}-{self.buckets}-{uuid.uuid4().hex}"
+        write_buckets(rows.select("h1", "h2", "first"), self.buckets, making.replace("-", "_"), f"{self.root}/{making}")
+        self.spark.sql(f"DROP TABLE {making.replace('-', '_')}")
+        self._fs.rename(self._path(f"{self.root}/{making}"), self._path(f"{self.root}/{folder}"))
+        return self._table(folder, self.buckets)
+
     def _forget(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE {name}")
-        remove(self.spark, f"{self.root}/{name}")
+        remove(self.spark, f"{self.root}/{self._folders.pop(name)}")
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
+    def marked(self, firsts: DataFrame) -> DataFrame:
+        """firsts (h1, h2, ...) with seen: whether a run holds the line. One row a line; sorted once, for all runs."""
+        seen = F.lit(False)
+        for k, run in enumerate(self.tables()):
+            mark = f"run_{k}"
+            held = run.select("h1", "h2", F.lit(True).alias(mark)).hint("merge")
+            firsts = firsts.join(held, ["h1", "h2"], "left")
+            seen = seen | F.col(mark).isNotNull()
+        return firsts.withColumn("seen", seen).drop(*(f"run_{k}" for k in range(len(self.tables()))))
+
     def unseen(self, firsts: DataFrame) -> DataFrame:
         """Rows of firsts (h1, h2, ...) whose line is in no run."""
-        for run in self.tables():
-            firsts = firsts.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        return firsts
+        return self.marked(firsts).where(~F.col("seen")).drop("seen")
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """Add (h1, h2, first) as a run of level 0 and return its rows, readable until the next compact()."""
-        name = self._write(rows)
-        self.levels = self.levels or [[]]
-        self.levels[0].append(name)
+        """Add (h1, h2, first) as a run of level 0 and return it, readable until the next compact()."""
+        name = self._write(rows, 0)
+        self._put(0, name)
         return self.spark.table(name)
 
     def compact(self) -> None:
@@ -69,22 +124,36 @@ class LineRuns:
             if len(self.levels[k]) >= self.fanout:
                 merged, *rest = (self.spark.table(n) for n in self.levels[k])
                 for one in rest:
-                    merged = merged.unionByName(one)
-                name = self._write(merged)
+                    one = one.select("h1", "h2", F.col("first").alias("other")).hint("merge")
+                    merged = merged.join(one, ["h1", "h2"], "full").select("h1", "h2", F.least("first", "other").alias("first"))
+                name = self._write(merged, k + 1)
                 for old in self.levels[k]:
                     self._forget(old)
                 self.levels[k] = []
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(name)
+                self._put(k + 1, name)
             k += 1
 
     def close(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self._forget(name)
-        self.levels = []
-        remove(self.spark, self.root)
+        """Forget the tables, and delete runs that have no folder of their own."""
+        for name in self._folders:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._folders, self.levels = {}, []
+        if not self.keep:
+            remove(self.spark, self.root)
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def write_buckets(rows: DataFrame, buckets: int, name: str, path: str) -> DataFrame:
+    """rows as a table bucketed and sorted by (h1, h2). Rows that aren't parted by them yet are shuffled: a bucket is one file then."""
+    (
+        rows.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(name)
+    )
+    return rows.sparkSession.table(name)
 
 
 def line_key(line: Column) -> Column:
@@ -103,7 +172,7 @@ def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2, runs: str | None = None
 ) -> DataFrame:
     """Every text without the lines that a document of smaller id holds.
 
@@ -113,73 +182,81 @@ def dedup_lines(
     the id, smallest first. Returns docs with the text replaced, and
     line_count (before dropping) and lines_dropped.
 
+    runs is a folder whose runs stay for later calls; documents of an earlier
+    call go before all of this one, whatever their ids.
+
+    Texts that may lose a line are told from the others by a bit table and are
+    the only ones that are shuffled, to meet the places of their lines.
+
     A null or empty text is one empty line and stays empty. A null id counts
     as smaller than every other; rows of one id are one document, and each
-    keeps its own text. Ids are integers. Extra columns pass through; columns
-    named line_count or lines_dropped are replaced. An empty table gives none.
+    keeps its own text. Ids are integers. Extra columns of any name pass
+    through, but for line_count and lines_dropped, which are replaced. An
+    empty table gives none.
     """
     spark = docs.sparkSession
+    docs = docs.drop("line_count", "lines_dropped")
+    order, body, mark, gone = fresh(docs.columns, "order", "body", "mark", "gone")
     with_row = docs.withColumns(
         {
-            "__ord": F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_OF_ALL).cast("long")),
-            "__body": F.coalesce(F.col(text_col), F.lit("")),
+            order: F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_OF_ALL).cast("long")),
+            body: F.coalesce(F.col(text_col), F.lit("")),
         }
-    ).withColumn("__mark", F.xxhash64("__body"))
-    rows = with_row.select(F.col("__ord").alias("ord"), F.col("__mark").alias("mark"), F.col("__body").alias("body"))
-    lines = stored(_hashed_lines(rows, min_chars), "lines")
+    ).withColumn(mark, F.xxhash64(body))
+    with Shelf(spark) as shelf:
+        places = _dropped(shelf, with_row.select(F.col(order).alias("ord"), F.col(mark).alias("mark"), F.col(body).alias("body")), min_chars, batches, fanout, runs)
+        per_row = stored(
+            places.groupBy("ord", "mark").agg(F.sort_array(F.collect_set("pos")).alias(gone)).withColumnsRenamed({"ord": order, "mark": mark}), "dropped-lines"
+        )
+    # the bit table outlives this call, as the result reads it
+    touched, whole = split_by_keys(Shelf(spark), with_row, per_row, [order, mark])
+    all_lines = F.split(F.col(body), "\n")
+    # the places that stay, in order: linear in the lines
+    stays = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(gone))
+    lines, = fresh([*docs.columns, order, body, mark, gone], "lines")
+    kept = F.array_join(F.transform(stays, lambda i: F.get(F.col(lines), i)), "\n")
+    cut = touched.join(per_row, [order, mark], "left").withColumn(lines, all_lines).withColumns(
+        {
+            text_col: F.when(F.col(gone).isNull(), F.col(body)).otherwise(kept),
+            "line_count": F.size(lines).cast("long"),
+            "lines_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        }
+    )
+    breaks = F.octet_length(body) - F.octet_length(F.replace(F.col(body), F.lit("\n"), F.lit("")))
+    same = whole.withColumns({text_col: F.col(body), "line_count": (breaks + 1).cast("long"), "lines_dropped": F.lit(0).cast("long")})
+    names = [*docs.columns, "line_count", "lines_dropped"]
+    return cut.select(*names).unionByName(same.select(*names))
+
+
+def _dropped(shelf: Shelf, rows: DataFrame, min_chars: int, batches: int, fanout: int, path: str | None) -> DataFrame:
+    """(ord, mark, pos) of every line that goes, of rows (ord, mark, body)."""
+    spark = shelf.spark
+    lines = shelf.stored(_hashed_lines(rows, min_chars), "lines")
     # the cuts only balance the batches; any cuts give the same rows
-    cuts = lines.agg(F.percentile_approx("ord", [i / batches for i in range(1, batches)], 1000).alias("c")).head()["c"] if batches > 1 else []
-    total = lines.count()
-    runs = LineRuns(spark, fanout)
-    gone = []
+    wanted = [i / batches for i in range(1, batches)]
+    cuts, total = lines.agg(F.percentile_approx("ord", wanted, 1000) if wanted else F.lit(None), F.count(F.lit(1))).head()
     edges = [None, *sorted(set(cuts or [])), None]
-    for low, high in zip(edges, edges[1:]):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("ord") > low)
-        if high is not None:
-            batch = batch.where(F.col("ord") <= high)
-        firsts = stored(
-            batch.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n")), "batch-keys"
-        )
-        fresh = runs.add(runs.unseen(firsts))
-        # a key that is not fresh stood in an earlier batch: all its lines here go
-        old = firsts.join(fresh.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(None).cast("long").alias("first"), "n")
-        new = fresh.where("first < last").select("h1", "h2", "first", "n")
-        doomed = stored(old.unionByName(new), "doomed")
-        hit = join_hot(batch, doomed, ["h1", "h2"], "n", total).where(F.col("first").isNull() | (F.col("ord") > F.col("first")))
-        gone.append(stored(hit.select("ord", "mark", "pos"), "gone"))
-        runs.compact()
-    runs.close()
+    gone = []
+    with LineRuns(spark, fanout, path) as runs, in_written_order(spark):
+        for low, high in zip(edges, edges[1:]):
+            batch = lines
+            if low is not None:
+                batch = batch.where(F.col("ord") > low)
+            if high is not None:
+                batch = batch.where(F.col("ord") <= high)
+            firsts = batch.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n"))
+            name = f"surveyq_batch_{uuid.uuid4().hex}"
+            keys = write_buckets(runs.marked(firsts), runs.buckets, name, shelf.path("batch-keys"))
+            try:
+                runs.add(keys.where(~F.col("seen")))
+                # a key that a run holds stood in an earlier batch: all its lines here go
+                doomed = keys.where("seen OR first < last").select("h1", "h2", F.when(~F.col("seen"), F.col("first")).alias("first"), "n")
+                hit = join_hot(batch, doomed, ["h1", "h2"], "n", total).where(F.col("first").isNull() | (F.col("ord") > F.col("first")))
+                gone.append(shelf.stored(hit.select("ord", "mark", "pos"), "gone"))
+            finally:
+                spark.sql(f"DROP TABLE {name}")
+            runs.compact()
     dropped = gone[0]
     for more in gone[1:]:
         dropped = dropped.unionByName(more)
-    per_row = dropped.groupBy("ord", "mark").agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
-    joined = with_row.join(
-        per_row.select(F.col("ord").alias("__o"), F.col("mark").alias("__m"), "__gone"),
-        (F.col("__ord") == F.col("__o")) & (F.col("__mark") == F.col("__m")), "left",
-    )
-    all_lines = F.split(F.col("__body"), "\n")
-    # what stays are the slices between dropped places: linear in the lines
-    before = F.concat(F.array(F.lit(-1)), F.col("__gone"))
-    after = F.concat(F.col("__gone"), F.array(F.size(all_lines)))
-    kept = F.array_join(
-        F.flatten(
-            F.transform(
-                F.arrays_zip(before.alias("a"), after.alias("b")),
-                lambda z: F.slice(F.col("__lines"), z["a"] + 2, z["b"] - z["a"] - 1),
-            )
-        ),
-        "\n",
-    )
-    return (
-        joined.withColumn("__lines", all_lines)
-        .withColumns(
-            {
-                text_col: F.when(F.col("__gone").isNull(), F.col("__body")).otherwise(kept),
-                "line_count": F.size("__lines").cast("long"),
-                "lines_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-            }
-        )
-        .drop("__ord", "__body", "__mark", "__o", "__m", "__gone", "__lines")
-    )
+    return dropped
