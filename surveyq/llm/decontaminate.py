@@ -24,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyq.llm.common import ALNUM, LARGE_ROWS, Shelf, Texts, fresh, give_back, mix, slices, stored, texts_of, with_text_batches, words_of
+from surveyq.llm.common import ALNUM, LARGE_ROWS, Shelf, Texts, fresh, give_back, mix, slices, stored, texts_of, with_text_batches, without, words_of
 
 WINDOW = 10
 #: Bytes of benchmark text that are broadcast at once; more is searched in several passes over the index.
 BLOCK_BYTES = 8 << 20
 #: Candidates that a search holds at once.
 CANDIDATES = 1 << 18
-#: Rows to remove whose keys are broadcast; more are joined by a shuffle.
-FEW = 200_000
 
 _INDEX = "segment string, ids array<{kind}>, sizes binary, terms binary, starts binary, places binary"
 
@@ -419,15 +417,12 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     """docs without the rows whose text holds a window of a benchmark item; columns as they are.
 
     Rows are told apart by id and text, so of two rows of one id only the
-    contaminated one goes. The keys of up to FEW contaminated rows are
-    broadcast, so that texts aren't shuffled; more are joined by a shuffle.
+    contaminated one goes. Texts that surely stay aren't shuffled.
     """
-    key, bad = fresh(docs.columns, "key", "bad")
+    key, = fresh(docs.columns, "key")
     keyed = docs.withColumn(
         key,
         F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string")),
     )
     found = find_contamination(keyed, benchmark, id_col=key, text_col=text_col, **how)
-    gone = found.where("contaminated").select(F.col(key).alias(bad)).distinct()
-    few = gone.limit(FEW + 1).count() <= FEW
-    return keyed.join(F.broadcast(gone) if few else gone, F.col(key) == F.col(bad), "left_anti").drop(key)
+    return without(Shelf(docs.sparkSession), keyed, found.where("contaminated").select(key).distinct(), [key]).select(*docs.columns)

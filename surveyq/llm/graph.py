@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyq.llm.common import stored
+from surveyq.llm.common import Shelf
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is one node of its component.
 
     Each round every node goes to the smallest of itself and its neighbours,
     and the edges are rewritten to where their ends went. Nodes are hashes, so
     their order is random and a constant share of them goes in each round. A
     round is one aggregate and two joins over the edges that are left, written
-    to the shared folder; rounds end when no edge is left.
+    to the shared folder (with a shelf, to that); rounds end when no edge is
+    left.
     """
+    stored = (shelf or Shelf(edges.sparkSession)).stored
     kind = edges.schema["a"].dataType.simpleString()
     moves = []
     left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")

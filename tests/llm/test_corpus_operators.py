@@ -101,6 +101,55 @@ def test_runs_are_levelled(spark):
     runs.close()
 
 
+def _keyed(spark, begin, end):
+    return spark.range(begin, end).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(7), "id").alias("h2"), F.col("id").alias("ord"))
+
+
+def test_runs_are_merged_in_written_order(spark):
+    """Neither meeting the runs nor merging them sorts or shuffles a run again."""
+    with LD.LineRuns(spark, fanout=4) as runs, LD.in_written_order(spark):
+        for k in range(3):
+            firsts = _keyed(spark, k * 1000, k * 1000 + 1500).groupBy("h1", "h2").agg(F.min("ord").alias("first"))
+            marked = runs.marked(firsts)
+            plan = marked._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Sort [") == (k > 0) and plan.count("Exchange hashpartitioning") == 1
+            table = LD.write_buckets(marked, runs.buckets, f"keys_{k}", f"{runs.root}-keys-{k}")
+            runs.add(table.where(~F.col("seen")))
+            spark.sql(f"DROP TABLE keys_{k}")
+        a, b, _ = runs.tables()
+        merged = a.join(b.withColumnRenamed("first", "other").hint("merge"), ["h1", "h2"], "full")
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "Sort [" not in plan and "Exchange" not in plan
+
+
+def test_runs_stay_in_their_folder(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    days = [[(5, "a line that two days share\nonly here, and once"), (6, "a line that two days share")], [(1, "a line that two days share\nnew on the second day"), (2, "new on the second day")]]
+    got = [
+        {r.doc_id: (r.text, r.lines_dropped) for r in LD.dedup_lines(spark.createDataFrame(day, "doc_id long, text string"), batches=2, runs=path).collect()}
+        for day in [*days, days[0]]
+    ]
+    assert got[0] == {5: ("a line that two days share\nonly here, and once", 0), 6: ("", 1)}
+    assert got[1] == {1: ("new on the second day", 1), 2: ("", 1)}
+    assert got[2] == {5: ("", 2), 6: ("", 1)}
+    with LD.LineRuns(spark, path=path) as runs:
+        assert sum(t.count() for t in runs.tables()) == 3
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("surveyq_batch")]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("surveyq_")]
+
+
+def test_extra_columns_of_any_name(spark):
+    names = ["order", "body", "mark", "gone", "__o", "__ord", "__m", "__body", "__n", "lines", "bit", "word", "bits"]
+    docs = spark.createDataFrame([(i, t, *names) for i, t in ((1, BODY), (2, BODY + " more"), (3, "line one of three\nshort"), (4, "line one of three\nother"))], ", ".join(["doc_id long, text string", *(f"`{n}` string" for n in names)]))
+    lines = LD.dedup_lines(docs)
+    near = N.near_duplicates(docs)
+    kept = N.drop_near_duplicates(docs)
+    for got, more in ((lines, ["line_count", "lines_dropped"]), (near, ["n_shingles", "component_id", "kept"]), (kept, [])):
+        assert got.columns == [*docs.columns, *more]
+        assert all(r[n] == n for r in got.collect() for n in names)
+    assert {r.doc_id: r.text for r in lines.collect()}[4] == "other" and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
 # --- near duplicates ---------------------------------------------------------------
 
 
