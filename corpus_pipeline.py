@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from surveyq.llm.common import stored
 from surveyq.llm.decontaminate import remove_contaminated
 from surveyq.llm.line_dedup import dedup_lines
-from surveyq.llm.near_dup import near_duplicates
+from surveyq.llm.near_dup import drop_near_duplicates
 from surveyq.llm.packing import pack
 from surveyq.llm.quality import keep_good
 
@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of smallest id."""
-    return near_duplicates(docs).where("kept").select(*docs.columns)
+    return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
