@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from surveyq.llm.common import give_back, slices, texts_of
+from surveyq.llm.common import give_back, slices, texts_of, tuned
 
 #: Lines of a window, the characters that make a surge, and what a line beside a marked article weighs less by.
 WINDOW, SURGE, BESIDE = 3, 80, 8
@@ -267,16 +267,16 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def between(weights: list[int], cuts: list[bool], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+def between(weights: list[int], window: int = WINDOW, surge: int = SURGE, cuts: list[bool] | None = None) -> list[bool]:
     """Which lines lie between a surge and the next dive.
 
     block[i] sums the weights of lines i .. i + window - 1, up to the next cut
     (a line before which windows end). A surge is a line that weighs something
-    and from which a block reaches `surge`, or the largest block of all if that
-    is less; the dive is the next cut, or the next line from which the block is
-    0, or the end.
+    and from which a block reaches `surge`; the dive is the next cut, or the
+    next line from which the block is 0, or the end.
     """
     n = len(weights)
+    cuts = cuts or [False] * n
     block = [0] * n
     sums = [0]
     for w in weights:
@@ -286,7 +286,6 @@ def between(weights: list[int], cuts: list[bool], window: int = WINDOW, surge: i
         block[i] = sums[min(stop, i + window)] - sums[i]
         if cuts[i]:
             stop = i
-    surge = min(surge, max(block, default=0)) or surge
     keep, i = [False] * n, 0
     while i < n:
         if block[i] >= surge and weights[i]:
@@ -304,19 +303,24 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page)
     top = max((line.level for line in lines if line.text and not line.boiler), default=0)
     notice = [not (top and line.level == top) and _NOTICE.match(line.text) is not None for line in lines]
+    bonus = surge
 
-    def kept(marked: list[bool], beside: int) -> list[bool]:
+    def kept(marked: list[bool], beside: int, surge: int = surge) -> list[bool]:
         weights = [
-            0 if line.boiler or no or not line.own else line.own + surge if mark else line.own // beside for line, mark, no in zip(lines, marked, notice)
+            0 if line.boiler or no or not line.own else line.own + bonus if mark else line.own // beside for line, mark, no in zip(lines, marked, notice)
         ]
         sides = [(line.boiler or no, mark) for line, mark, no in zip(lines, marked, notice)]
         cuts = [i == 0 or side[0] or side != sides[i - 1] for i, side in enumerate(sides)]
-        return between(weights, cuts, window, surge)
+        return between(weights, window, surge, cuts)
 
     if top:
         keep = kept([line.level == top for line in lines], BESIDE)
     else:
-        first = kept([False] * len(lines), 1)
+        plain = [False] * len(lines)
+        first = kept(plain, 1)
+        if not any(first):  # a page of little text: its heaviest lines surge
+            surge = max((line.own for line, no in zip(lines, notice) if not line.boiler and not no), default=0) or 1
+            first = kept(plain, 1, surge)
         held: dict[int, int] = {}
         for line, k in zip(lines, first):
             held[line.home] = held.get(line.home, 0) + k * line.own
@@ -346,6 +350,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 )
 
     kinds = dict(pages.dtypes)
+    tuned(pages.sparkSession)
     return pages.select(pages[id_col], pages[url_col], pages[html_col].alias("html")).mapInArrow(
         run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long"
     )
