@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from surveyq.llm.common import with_text_batches
+from surveyq.llm.common import tuned, with_text_batches
 from surveyq.llm.tokens import WordCounts, loaded, read_vocabulary
 
 
@@ -35,6 +35,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
             )
 
     kind = dict(docs.dtypes)[id_col]
+    tuned(docs.sparkSession)
     return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(
         run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean"
     )

@@ -8,7 +8,9 @@ either side equal in both. Where an overlap has no such place it is widened,
 up to the whole chunk, and then the chunk is doubled, up to the whole text.
 
 Both kinds of tokenizer used here split words by a pattern in which such a
-place always ends a word, and merge byte pairs inside words only.
+place always ends a word, and merge byte pairs inside words only. A file that
+differs from them in any part that matters is not spliced: its texts are
+encoded whole, however long they are.
 """
 
 from __future__ import annotations
@@ -31,6 +33,39 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
 #: Words remembered with their token count by each worker.
 MEMO = 600_000
 
+#: Normaliser and pre-tokeniser of the files whose words are known to end at a break.
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_WORD_FILE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_BYTE_FILE = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+}
+
+
+def _settled(parts: dict, known: dict) -> bool:
+    """Whether a file is byte-pair encoding behind these parts, with added tokens that match by their own characters alone."""
+    model = parts["model"]
+    return (
+        all(parts.get(k) == v for k, v in known.items())
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not any(
+            t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in parts["added_tokens"]
+        )
+    )
+
 
 @dataclass
 class Encoded:
@@ -102,6 +137,9 @@ def _byte_alphabet() -> dict[str, int]:
 class Library:
     """A tokenizers file as the library reads it, without added begin or end tokens."""
 
+    #: Code points above which a text is encoded in overlapping chunks, and the parts a file needs for that.
+    chunk, known = CHUNK, _BYTE_FILE
+
     def __init__(self, source: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -109,7 +147,9 @@ class Library:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.special = [t["content"] for t in json.loads(source)["added_tokens"]]
+        parts = json.loads(source)
+        self.special = [t["content"] for t in parts["added_tokens"]]
+        self.fast = _settled(parts, self.known)
 
     def encode(self, text: str, at: int = 0) -> Encoded:
         got = self.tokenizer.encode(text, add_special_tokens=False)
@@ -117,10 +157,10 @@ class Library:
         return Encoded(np.array(got.ids, np.uint32), spans[:, 0], spans[:, 1])
 
     def ids(self, text: str) -> Iterator[np.ndarray]:
-        if len(text) <= CHUNK:
+        if len(text) <= self.chunk or not self.fast:
             yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         else:
-            yield from splice(text, self.encode)
+            yield from splice(text, self.encode, self.chunk)
 
     def plain(self, text: str) -> bool:
         """Whether the faster paths apply: characters of settled classes and no special token's string."""
@@ -130,22 +170,17 @@ class Library:
 class WordCounts(Library):
     """Token counts of a tokenizer that drops white space: a word's count doesn't depend on its context, so it is remembered."""
 
+    chunk, known = 16_000, _WORD_FILE
+
     def __init__(self, source: str):
         super().__init__(source)
         letter, digit = "a-z" + _class("L"), "0-9" + _class("N")
         #: The word pattern in this file, over lower-cased text and with character classes written out.
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+")
         self.memo: dict[str, int] = {}
-        part = json.loads(source)
-        self.fast = part["normalizer"] == {
-            "type": "Sequence",
-            "normalizers": [
-                {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}
-            ],
-        }
 
     def count(self, text: str) -> int:
-        if len(text) > CHUNK or not self.fast or not self.plain(text):
+        if len(text) > self.chunk or not self.fast or not self.plain(text):
             return sum(len(ids) for ids in self.ids(text))
         words = self.words.findall(text.lower())
         if new := set(words).difference(self.memo):
@@ -171,7 +206,8 @@ class ByteIds(Library):
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if token not in self.special}
         merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in parts["model"]["merges"]]
-        self.fast = parts["normalizer"] is None and [vocab[m] for m in merged] == list(range(256, 256 + len(merged)))
+        #: Whether tiktoken gives the same ids.
+        self.ranked = self.fast and [vocab[m] for m in merged] == list(range(256, 256 + len(merged)))
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.size[i] = len(token)
@@ -186,12 +222,12 @@ class ByteIds(Library):
         return Encoded(ids, seen[ends - self.size[ids]], seen[ends])
 
     def ids(self, text: str) -> Iterator[np.ndarray]:
-        if not self.fast or not self.plain(text):
+        if not self.ranked or not self.plain(text):
             yield from super().ids(text)
-        elif len(text) <= CHUNK:
+        elif len(text) <= self.chunk:
             yield np.array(self.quick.encode_ordinary(text), np.uint32)
         else:
-            yield from splice(text, self._quick)
+            yield from splice(text, self._quick, self.chunk)
 
 
 _loaded: dict[tuple[str, str], Library] = {}
