@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from surveyq.llm.common import ALNUM, Words, with_text_batches, word_hash, words_of
+from surveyq.llm.common import ALNUM, Words, tuned, with_text_batches, word_hash, words_of
 
 _MARK = re.compile(r"(<<optional>>|<</optional>>|<<any \d+>>)")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -222,6 +222,7 @@ def scan_licenses(
             )
 
     kind = dict(docs.dtypes)[id_col]
+    tuned(docs.sparkSession)
     return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(
         scan,
         f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, "

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surveyq.llm.common import stored, with_text_batches
+from surveyq.llm.common import stored, tuned, with_text_batches
 from surveyq.llm.tokens import ByteIds, loaded, read_vocabulary
 
 SIZE = 2048
@@ -125,6 +125,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_
             )
 
     kind = dict(docs.dtypes)[id_col]
+    tuned(docs.sparkSession)
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
         run, f"id {kind}, piece int, start long, length long, ids_crc32 long"
     )

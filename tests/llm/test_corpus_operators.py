@@ -15,7 +15,7 @@ from surveyq.llm import line_dedup as LD
 from surveyq.llm import near_dup as N
 from surveyq.llm.graph import components
 from surveyq.llm.packing import SIZE, cut, pack, plan, slots
-from surveyq.llm.quality import classify, fit, keep_good, score, train
+from surveyq.llm.quality import classify, estimate_prior, fit, keep_good, label_share, risk, score, train
 from surveyq.llm.sharding import assign_shards, jump_hash
 from tests.llm.cases import BODY, LONG, ROWS, as_dict, documents, empty
 
@@ -460,6 +460,53 @@ def test_quality_edges(spark):
     assert score(docs, None).select("score").distinct().count() == 1
 
 
+def test_prior_is_estimated_without_negatives(spark):
+    """Positives alone: labels other than 1 change nothing, the estimate is near the share, and bad documents don't pass."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit(docs, labels.where("quality = 1"))
+    assert abs(model.prior - label_share(labels)) < 0.05
+    got = score(docs, model).join(labels, "doc_id").select("quality", "score").collect()
+    assert np.mean([r.score >= 0.3 for r in got if r.quality == 0]) < 0.05
+    assert np.mean([r.score >= 0.3 for r in got if r.quality == 1]) > 0.98
+    assert fit(docs.limit(50), labels, prior=0.4).prior == 0.4
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+def test_estimated_prior_follows_the_share(share):
+    from surveyq.llm.quality import HASHED, NAMES
+
+    rng = np.random.default_rng(7)
+    wide = len(NAMES) + HASHED
+    n = 3000
+    k = int(n * share)
+    mixed = np.concatenate([rng.normal(0.3, 1, (k, wide)), rng.normal(-0.3, 1, (n - k, wide))])
+    rng.shuffle(mixed)
+    assert abs(estimate_prior(rng.normal(0.3, 1, (2000, wide)), mixed) - share) < 0.08
+
+
+def test_gradient_of_the_risk():
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(0.5, 1, (40, 6)), rng.normal(0, 1, (60, 6))
+    for w in (rng.normal(0, 0.3, 7), np.zeros(7)):
+        value, grad, rest = risk(w, p, u, 0.4, 0.01)
+        brute = 0.4 * np.mean([np.log1p(np.exp(-(x @ w[:-1] + w[-1]))) for x in p])
+        brute += np.mean([np.log1p(np.exp(x @ w[:-1] + w[-1])) for x in u]) - 0.4 * np.mean([np.log1p(np.exp(x @ w[:-1] + w[-1])) for x in p])
+        assert rest >= 0 and abs(value - brute - 0.005 * w[:-1] @ w[:-1]) < 1e-9
+        for k in range(7):
+            step = np.zeros(7)
+            step[k] = 1e-6
+            slope = (risk(w + step, p, u, 0.4, 0.01)[0] - risk(w - step, p, u, 0.4, 0.01)[0]) / 2e-6
+            assert abs(slope - grad[k]) < 1e-6
+    # unlabelled rows that score far below all positives: their share of the risk is negative, and the step climbs it
+    w = np.append(np.full(6, 2.0), 0.0)
+    _, grad, rest = risk(w, np.abs(p), -np.abs(u), 0.9, 0.0)
+    part = lambda v: np.mean(np.log1p(np.exp(-np.abs(u) @ v[:-1] + v[-1]))) - 0.9 * np.mean(np.log1p(np.exp(np.abs(p) @ v[:-1] + v[-1])))
+    assert rest < 0 and abs(part(w) - rest) < 1e-9
+    step = np.eye(7)[2] * 1e-6
+    assert abs(-(part(w + step) - part(w - step)) / 2e-6 - grad[2]) < 1e-6
+
+
 def test_risk_is_not_negative():
     rng = np.random.default_rng(0)
     from surveyq.llm.quality import HASHED, NAMES

@@ -166,6 +166,78 @@ def test_sniffing_confirms_structure():
         from_wav(inside[:-1])
 
 
+def _samples():
+    """One small valid container of each format."""
+    import gzip
+    import io
+    import struct
+    import zipfile
+
+    png = b"\x89PNG\r\n\x1a\n" + b"".join(
+        struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+        for n, d in ((b"IHDR", b"\0\0\0\1\0\0\0\1\x08\0\0\0\0"), (b"IDAT", zlib.compress(b"\0\0")), (b"IEND", b"")))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.json", "{}")
+        z.writestr("b.json", "[]")
+    page = lambda flags, n, body: b"OggS\0" + bytes([flags]) + struct.pack("<qIII", 0, 1, n, 0) + bytes([1, len(body)]) + body
+    return {
+        "wav": to_wav(b"\x80" * 64), "png": png,
+        "gif": b"GIF89a\1\0\1\0\x80\0\0\0\0\0\xff\xff\xff!\xf9\4\0\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;",
+        "jpeg": b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\3\1\x12\x34\xff\0\x11\xff\xd9",
+        "bmp": b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\1\2\3\0",
+        "pdf": b"%PDF-1.4\n1 0 obj\nstartxref\n0\n%%EOF", "zip": packed.getvalue(),
+        "ogg": page(2, 0, b"abc") + page(0, 1, b"defg") + page(4, 2, b"hi"),
+        "gzip": gzip.compress(b"hello, hello, hello"), "flac": b"fLaC\0\0\0\x22" + b"\0" * 34 + b"\x84\0\0\2ab" + b"frames",
+    }
+
+
+def test_every_format_is_found_and_carved():
+    from surveyq.llm.media import TYPES
+
+    s = Sniffer()
+    for kind, data in _samples().items():
+        assert sniff(data, "text/plain", s) == (TYPES[kind], True, []) and sniff(data, TYPES[kind], s)[1] is False
+        if kind != "flac":  # its frames have no end of their own
+            got = s.spans(b"junk." + data + b".junk")
+            assert [(x.kind, x.start, x.end) for x in got] == [(kind, 5, 5 + len(data))]
+        cut = [x for x in s.spans(data[:-4]) if x.start == 0 and kind not in ("ogg", "flac")]
+        assert not cut, kind
+    several = b"".join(b"--" + _samples()[k] for k in ("png", "ogg", "pdf", "gzip", "ogg"))
+    assert [x.kind for x in s.spans(several)] == ["png", "ogg", "pdf", "gzip", "ogg"]
+
+
+def test_sniffing_a_column(spark):
+    import pyspark.sql.types as T
+
+    from surveyq.llm.media import sniff_media
+
+    samples = _samples()
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("said", T.StringType()), T.StructField("spans", T.StringType())])
+    rows = [(1, samples["png"], "image/jpeg", "x"), (2, samples["png"], "image/png", "x"), (3, None, "audio/wav", "x"), (4, to_wav(b".." + samples["gif"]), None, "x"), (None, b"plain", None, "x")]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.id: r for r in sniff_media(df, "id", "blob", "said", keep_carved=True).collect()}
+    assert (got[1].media_type, got[1].corrected, got[2].corrected) == ("image/png", True, False)
+    assert (got[3].media_type, got[3].corrected, got[3].spans) == ("audio/wav", False, [])
+    assert got[4].media_type == "audio/wav" and [bytes(x) for x in got[4].carved] == [samples["gif"]] and got[4].spans[0].kind == "gif"
+    assert got[None].media_type is None and sniff_media(df.limit(0), "id", "blob").count() == 0
+    told = store_media(spark.createDataFrame([(1, "a", "audio/wav"), (2, "a", None)], "doc_id long, text string, kind string"), declared_col="kind").collect()
+    assert {r.doc_id: r.feature.split(";")[1] for r in told} == {1: "corrected=0", 2: "corrected=1"}
+
+
+def test_many_signatures_cost_one_pass():
+    import time
+
+    s, n = Sniffer(), 1 << 20
+    page = b"OggS\0%c" + b"\0" * 20 + b"\1\xc8" + b"x" * 200
+    parts = (b"%PDF-", page % 2, page % 0, b"GIF89a", b"GIF89a\0\0\0\0\0\0\0!", b"PK\3\4", b"RIFF\x10\0\0\0WAVE", b"BM", b"\xff\xd8\xff\xda\0\2", b"fLaC\0\0\0\x22", b"\x1f\x8b\x08")
+    for part in parts:
+        for data in (part * (n // len(part)), part * (n // len(part)) + b"startxref%%EOF"):
+            begun = time.process_time()
+            assert len(s.spans(data)) <= 1
+            assert time.process_time() - begun < 20, part
+
+
 # --- pages -----------------------------------------------------------------------
 
 
@@ -208,3 +280,65 @@ def test_pages_against_their_markup(spark):
         body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1].replace("<b>", "")
         want = [" ".join(html.unescape(x).split()) for x in re.split(r"<(?:/?p|/?h1|br)>", body)]
         assert got[r.page_id] == "\n".join(x for x in want if x)
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_distribution_finds_the_text(tag):
+    """With and without a marked article, and not without the distribution."""
+    import pyarrow.parquet as pq
+
+    from surveyq.llm.html_text import lines_of
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    for page in pages:
+        want = main_text(page or "")
+        other = re.sub(r"<(/?)(article|nav|footer)\b", rf"<\1{tag}", page or "") if tag == "div" else page or ""
+        assert main_text(other) == want
+        assert "\n".join(x.text for x in lines_of(other) if x.text) != want
+
+
+def test_parts_of_articles_stay():
+    body = "<article><h1>T</h1><p class='side'>One</p><div class='legal'>Two</div><math>x</math><noscript>Three</noscript><p>End</p></article>"
+    assert main_text(body) == "T\nOne\nTwo\nx\nThree\nEnd"
+    assert main_text("<article><h1>T</h1><nav>menu<p>First.</p><p>Second.</p></article>") == "T\nFirst.\nSecond."
+    assert main_text("<article><h1>T</h1><nav>menu</nav><p>First.</p></article><nav>more<p>x</p>") == "T\nFirst."
+    links = "<ul>" + "<li><a href='/x'>A link that is quite long</a></li>" * 6 + "</ul>"
+    assert main_text(f"<article><p>Text.</p>{links}<p>More.</p></article>") == "Text.\nMore."
+    assert main_text("<p>Short page.</p><footer>Imprint</footer>") == "Short page."
+    assert main_text("<article><p>a</p><div class=comments><p>Nice!</p></div><select><option>1</select><p>b</p></article>") == "a\nb"
+
+
+def test_pages_are_read_in_one_pass():
+    import time
+
+    pages = [
+        "<div>" * 20_000 + "</p>" * 20_000, "<b" * 500_000 + '"', "<p>x" * 200_000, "<div><table>" + "<b>" * 90_000 + "</div>" * 90_000,
+        "<b ='>" * 150_000 + "<a href=\"", "<select>" * 120_000, "<nav>" * 150_000, "<!--" * 250_000, "<a href='" * 110_000, "<![CDATA[" * 110_000,
+    ]
+    for page in pages:
+        begun = time.process_time()
+        main_text(page)
+        assert time.process_time() - begun < 20, page[:20]
+
+
+def test_only_known_files_are_spliced():
+    import json
+
+    for kind, source in SOURCES.items():
+        assert LOADED[kind][0].fast
+        parts = json.loads(source)
+        parts["pre_tokenizer"] = {"type": "Whitespace"}
+        other = kind(json.dumps(parts))
+        lib = Tokenizer.from_str(json.dumps(parts))
+        text = "It's a long text, 12 times. " * 3000
+        assert not other.fast and sum(len(x) for x in other.ids(text)) == len(lib.encode(text, add_special_tokens=False).ids)
+
+
+def test_counts_of_the_corpus_equal_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lib = LOADED[WordCounts][1]
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    want = [len(e.ids) for e in lib.encode_batch_fast([r.text or "" for r in rows], add_special_tokens=False)]
+    assert [got[r.doc_id] for r in rows] == want
+    assert sum(len(r.text or "") > WordCounts.chunk for r in rows) >= 5
