@@ -252,8 +252,14 @@ def contradictions(pairs: DataFrame, topic: Judge, check: Judge, by: list[str],
 
 
 def _ngrams(words: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def each(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+
+    # bound once: inside the transform the words would be split again for each start
+    return X.let(words, each)
 
 
 def _clipped(df: DataFrame, keys: list[str], candidate: str, reference: str, n: int) -> DataFrame:

@@ -106,8 +106,8 @@ def micro(scores: DataFrame) -> DataFrame:
 
 
 def one_per_bucket(pairs: DataFrame, bucket: str, seed: int, *keys: str) -> DataFrame:
-    """One pair of each bucket, by a seeded hash of its keys."""
-    w = Window.partitionBy(bucket).orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    """One pair of each bucket, by a seeded hash of its keys: MD5 of seed and keys, joined by |."""
+    w = Window.partitionBy(bucket).orderBy(F.md5(F.concat_ws("|", F.lit(seed), *keys)), *keys)
     return pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 

@@ -144,3 +144,8 @@ def generation_flags(df: DataFrame, text: str = "text", error: str = "error", le
 def cer(metric: Column, cost: Column) -> Column:
     """Metric per dollar; null without cost."""
     return F.when(cost > 0, metric / cost)
+
+
+def claims_per_survey(claims: DataFrame, by: list[str]) -> DataFrame:
+    """by, claims_per_survey (claims over distinct surveys) and n_surveys, from claims (by, survey_key, claim_id)."""
+    return claims.groupBy(*by).agg((F.count(F.lit(1)) / F.countDistinct("survey_key")).alias("claims_per_survey"), F.countDistinct("survey_key").alias("n_surveys"))

@@ -104,8 +104,8 @@ def dedupe_models(named: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, k: int, seed: int, *keys: str) -> DataFrame:
-    """k rows, the same for the same seed: those of smallest seeded hash. A top-k, not a full sort."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(k)
+    """k rows, the same for the same seed: those of smallest MD5 of seed and keys, joined by |. A top-k, not a full sort."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *keys)), *keys).limit(k)
 
 
 def numeric_then_text(column: Column) -> list[Column]:

@@ -76,19 +76,10 @@ def v12_radar(t: Tables) -> DataFrame:
     return S.radar(means, "metric", "v").select("model", "metric", F.round("scaled", 6).alias("scaled"))
 
 
-@query("""SELECT l_orderkey AS survey_id, metric, CAST(value AS DOUBLE) AS value FROM (
-  SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_discount AS discount, l_tax AS tax FROM lineitem WHERE l_linenumber = 1)
+@query("""SELECT l_orderkey AS survey_id, l_linenumber AS line, metric, CAST(value AS DOUBLE) AS value FROM (
+  SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_discount AS discount, l_tax AS tax FROM lineitem)
 UNPIVOT (value FOR metric IN (quantity, discount, tax))""")
 def pf3_unpivot(t: Tables) -> DataFrame:
-    one = t.lineitem.where("l_linenumber = 1").select(
-        F.col("l_orderkey").alias("survey_id"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax")
-    )
-    return M.to_long(one, ["survey_id"], ["quantity", "discount", "tax"]).where("value IS NOT NULL")
-
-
-@query()
-def pf3_unpivot_whole(t: Tables) -> DataFrame:
-    """pf3_unpivot over all lines, by order and line."""
     lines = t.lineitem.select(
         F.col("l_orderkey").alias("survey_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
@@ -96,6 +87,9 @@ def pf3_unpivot_whole(t: Tables) -> DataFrame:
     return M.to_long(lines, ["survey_id", "line"], ["quantity", "discount", "tax"]).where("value IS NOT NULL")
 
 
+pf3_unpivot_whole = pf3_unpivot
+
+
 @query("""SELECT event_id, CASE lower(json_extract_string(props, '$.k')) WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0
   ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS value FROM events""")
 def pf2_numeric_coercion(t: Tables) -> DataFrame:

@@ -51,15 +51,12 @@ def t1_t3_normalisers(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.norm_title("p_name").alias("t1"), X.norm_alnum("p_name").alias("t2"), X.norm_words("p_name").alias("t3"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 200)), '[^\p{L}\p{N}\p{M}\p{Pc}\s]', '', 'g'), '\s+', ' ', 'g')) AS t4 FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}\p{Pc}\s]', '', 'g'), '\s+', ' ', 'g')) AS t4 FROM documents""")
 def t4_loose_title(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.norm_loose(F.substring("text", 1, 200)).alias("t4"))
+    return t.documents.select("doc_id", X.norm_loose("text").alias("t4"))
 
 
-@query()
-def t4_loose_title_whole(t: Tables) -> DataFrame:
-    """t4_loose_title over whole texts."""
-    return t.documents.select("doc_id", X.norm_loose("text").alias("t4"))
+t4_loose_title_whole = t4_loose_title
 
 
 @query("SELECT p_partkey, p_name AS cleaned FROM part")
@@ -115,19 +112,15 @@ def t36_last_name(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", X.last_name(F.concat("c_mktsegment", F.lit(", J. R."))).alias("name"))
 
 
-@query(r"""SELECT doc_id, list_filter(regexp_extract_all(string_split(left(text, 120), ':')[1], '[A-Za-z][A-Za-z0-9-]*'), lambda w: length(w) >= 2 AND lower(w) NOT IN
-  ('a','an','the','and','or','of','in','on','for','to','with','from','at','by','as','is','are','via','using','towards','survey','review','overview','brief','comprehensive','systematic')) AS words
-  FROM documents WHERE lang = 'en' AND len(words) > 0""")
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(string_split(text, ':')[1], '[A-Za-z][A-Za-z0-9-]*') AS every FROM documents),
+k AS (SELECT doc_id, every, list_filter(every, lambda w: length(w) >= 2 AND lower(w) NOT IN
+  ('a','an','the','and','or','of','in','on','for','to','with','from','at','by','as','is','are','via','using','towards','survey','review','overview','brief','comprehensive','systematic')) AS kept FROM w)
+SELECT doc_id, CASE WHEN len(kept) > 0 THEN kept ELSE every END AS words FROM k""")
 def t37_keywords(t: Tables) -> DataFrame:
-    words = X.keywords(F.substring("text", 1, 120))
-    kept = F.filter(F.regexp_extract_all(F.substring_index(F.substring("text", 1, 120), ":", 1), F.lit("[A-Za-z][A-Za-z0-9-]*"), F.lit(0)), lambda w: ~F.lower(w).isin(X.STOPWORDS) & (F.length(w) >= 2))
-    return t.documents.where("lang = 'en'").where(F.size(kept) > 0).select("doc_id", words.alias("words"))
+    return t.documents.select("doc_id", X.keywords("text").alias("words"))
 
 
-@query()
-def t37_keywords_whole(t: Tables) -> DataFrame:
-    """t37_keywords over the whole texts of all rows."""
-    return t.documents.select("doc_id", X.keywords("text").alias("words"))
+t37_keywords_whole = t37_keywords
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1.0 WHEN p_partkey % 3 = 1 THEN 0.9 ELSE 0.0 END::DOUBLE AS score FROM part""")
@@ -267,16 +260,14 @@ def q11_tolerant_json(t: Tables) -> DataFrame:
     return t.events.select("event_type", k.alias("k")).groupBy("event_type").agg(F.sum("k").alias("total"), F.count_if(F.col("k").isNull()).alias("n_bad"))
 
 
-@query("""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS claims FROM documents WHERE lang = 'de' AND text NOT LIKE '%- %' AND NOT regexp_matches(text, '(^|\n)\\s*\\d')""")
+@query(rf"""SELECT doc_id, CASE WHEN contains(coalesce(text, ''), '{X.NO_CLAIM}') THEN [] ELSE list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
+  lambda s: regexp_replace(replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '- ', ''), '^\d+\.?\s+', '')), lambda s: s <> '' AND NOT starts_with(s, 'Note:')) END AS claims FROM documents""")
 def t47_claim_lines(t: Tables) -> DataFrame:
-    rows = t.documents.where("lang = 'de'").where(~F.col("text").contains("- ") & ~F.col("text").rlike(r"(^|\n)\s*\d"))
-    return rows.select("doc_id", X.parse_claim_lines("text").alias("claims"))
+    """All rows, with their bulleted and numbered lines."""
+    return t.documents.select("doc_id", X.parse_claim_lines("text").alias("claims"))
 
 
-@query()
-def t47_claim_lines_whole(t: Tables) -> DataFrame:
-    """t47_claim_lines over all rows, with their bulleted and numbered lines."""
-    return t.documents.select("doc_id", X.parse_claim_lines("text").alias("claims"))
+t47_claim_lines_whole = t47_claim_lines
 
 
 # --- references ---------------------------------------------------------------
@@ -348,13 +339,20 @@ def j7_first_per_idx(t: Tables) -> DataFrame:
     return C.first_per_idx(refs, ["survey_key", "idx"]).select("survey_key", "idx", "doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN instr(text, s) - 1 ELSE 0 END AS "offset", CASE WHEN doc_id % 2 = 0 THEN 'exact' ELSE 'fallback' END AS resolution FROM (
-  SELECT doc_id, text, substring(text, 20, 40) AS s FROM documents WHERE length(text) > 300 AND regexp_matches(text, '^\\S+( \\S+){12}'))""")
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN substring(t, (length(t) // 2 + 1)::BIGINT)
+  ELSE array_to_string(string_split(t, ' ')[1:11], ' ') || ' and something that the text does not say' END AS s FROM d),
+w AS (SELECT doc_id, t, s, string_split(trim(regexp_replace(s, '\s+', ' ', 'g')), ' ') AS w FROM h),
+a AS (SELECT doc_id, t, s, array_to_string(w[1:10], ' ') AS a10, array_to_string(w[1:5], ' ') AS a5, array_to_string(w[1:3], ' ') AS a3, len(w) AS n FROM w),
+o AS (SELECT doc_id, CASE WHEN s <> '' AND contains(t, s) THEN instr(t, s) - 1 END AS e, CASE WHEN s <> '' AND n >= 10 AND length(a10) >= 10 AND contains(t, a10) THEN instr(t, a10) - 1
+  WHEN s <> '' AND n >= 5 AND length(a5) >= 10 AND contains(t, a5) THEN instr(t, a5) - 1 WHEN s <> '' AND length(a3) >= 10 AND contains(t, a3) THEN instr(t, a3) - 1 END AS f FROM a)
+SELECT doc_id, coalesce(e, f) AS "offset", CASE WHEN e IS NOT NULL THEN 'exact' WHEN f IS NOT NULL THEN 'fallback' END AS resolution FROM o""")
 def j8_find_sentence(t: Tables) -> DataFrame:
-    rows = t.documents.where((F.length("text") > 300) & F.col("text").rlike(r"^\S+( \S+){12}"))
-    head = F.concat(F.array_join(F.slice(F.split("text", " "), 1, 11), " "), F.lit(" and something that the text does not say"))
-    at = O.find_sentence(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 20, 40)).otherwise(head))
-    return rows.select("doc_id", at.alias("at")).select("doc_id", F.col("at.offset").cast("long").alias("offset"), "at.resolution")
+    """The second half of a text, and its first words with more behind them."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.substring(text, F.floor(F.length(text) / 2).cast("int") + 1, F.length(text))
+    head = F.concat(F.array_join(F.slice(F.split(text, " "), 1, 11), " "), F.lit(" and something that the text does not say"))
+    at = O.find_sentence(text, F.when(F.col("doc_id") % 2 == 0, half).otherwise(head))
+    return t.documents.select("doc_id", at.alias("at")).select("doc_id", F.col("at.offset").cast("long").alias("offset"), "at.resolution")
 
 
 @query("WITH m AS " + _SQL_MD + """, o AS (SELECT doc_id, md, length(md) // 2 AS o FROM m)
@@ -365,10 +363,22 @@ def j9_paragraph_span(t: Tables) -> DataFrame:
     return _markdown(t).select("doc_id", span.alias("s")).select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"))
 
 
-@query()
+#: Lines of _SQL_MD from 0, and where each begins.
+_SQL_MD_LINES = """(SELECT doc_id, md, i, l, sum(length(l) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 2 AS at
+  FROM (SELECT doc_id, md, unnest(range(len(x))) AS i, unnest(x) AS l FROM (SELECT doc_id, md, string_split(md, chr(10) || chr(10)) AS x FROM m)))"""
+
+
+@query("WITH m AS " + _SQL_MD + f""", l AS {_SQL_MD_LINES}, s AS (SELECT doc_id, md, string_split(md, chr(10) || chr(10)) AS x FROM m),
+p AS (SELECT doc_id, instr(md, x[len(x) // 2 + 1]) - 1 AS o FROM s), own AS (SELECT p.doc_id, max(l.i) // 3 AS j FROM p JOIN l ON l.doc_id = p.doc_id AND l.at <= p.o GROUP BY 1),
+r AS (SELECT own.doc_id, unnest([l.i, l.i + 7]) AS ref FROM own JOIN l ON l.doc_id = own.doc_id AND l.i % 3 > 0 AND l.i // 3 BETWEEN own.j - own.j % 3 AND own.j)
+SELECT own.doc_id AS survey_key, 1 AS claim_id, 'exact' AS resolution, coalesce(g.refs, []) AS scope_refs, false AS scope_failed
+FROM own LEFT JOIN (SELECT doc_id, list_sort(list(DISTINCT ref::INT)) AS refs FROM r GROUP BY 1) g ON g.doc_id = own.doc_id""")
 def j10_section_scope(t: Tables) -> DataFrame:
+    """A claim a document, from the whole line in its middle; sections are three lines with levels 1, 2, 3, 1, ..."""
     md = _markdown(t)
-    claims = md.select(F.col("doc_id").alias("survey_key"), F.lit(1).alias("claim_id"), F.substring("md", 60, 40).alias("claim"), F.substring("md", 60, 40).alias("source_sentence"))
+    lines = F.split("md", "\n\n")
+    middle = F.get(lines, F.floor(F.size(lines) / 2).cast("int"))
+    claims = md.select(F.col("doc_id").alias("survey_key"), F.lit(1).alias("claim_id"), middle.alias("claim"), middle.alias("source_sentence"))
     return O.claim_scopes(claims, md.select(F.col("doc_id").alias("survey_key"), F.col("md").alias("text"))).select("survey_key", "claim_id", "resolution", "scope_refs", "scope_failed")
 
 
@@ -451,16 +461,6 @@ def j11_evidence_keys(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(left(text, 400)), '[^a-z0-9]+', ' ', 'g')), ' ') AS c, string_split(trim(regexp_replace(lower(substring(text, 200, 400)), '[^a-z0-9]+', ' ', 'g')), ' ') AS r FROM documents WHERE length(text) > 700),
-a AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(c) AS g FROM w) GROUP BY 1, 2), b AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(r) AS g FROM w) GROUP BY 1, 2),
-h AS (SELECT a.doc_id, sum(least(a.n, b.n)) AS h FROM a JOIN b ON a.doc_id = b.doc_id AND a.g = b.g GROUP BY 1) SELECT w.doc_id, round(2.0::DOUBLE * coalesce(h, 0) / (len(c) + len(r)), 6) AS rouge_1 FROM w LEFT JOIN h USING (doc_id)""")
-def m11_rouge_1(t: Tables) -> DataFrame:
-    from surveyq.operators.models import rouge_n
-
-    rows = t.documents.where("length(text) > 700").select("doc_id", F.substring("text", 1, 400).alias("c"), F.substring("text", 200, 400).alias("r"))
-    return rouge_n(rows, ["doc_id"], "c", "r", 1).select("doc_id", F.round("rouge_1", 6).alias("rouge_1"))
-
-
 def halves(t: Tables) -> DataFrame:
     """doc_id, c, r: the two halves of every whole text; a null text is empty."""
     text = F.coalesce("text", F.lit(""))
@@ -468,9 +468,14 @@ def halves(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.substring(text, F.lit(1), half).alias("c"), F.substring(text, half + 1, F.length(text)).alias("r"))
 
 
-@query()
+#: Words of the two halves of every text.
+SQL_HALVES = """(SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(substring(t, 1, h)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS c,
+  list_filter(string_split(trim(regexp_replace(lower(substring(t, h + 1)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS r
+  FROM (SELECT doc_id, coalesce(text, '') AS t, ((length(coalesce(text, '')) + 1) // 2)::BIGINT AS h FROM documents))"""
+
+
 def m11_rouge_1_whole(t: Tables) -> DataFrame:
-    """m11_rouge_1 over the whole texts of all rows; without a word on both sides 0."""
+    """ROUGE-1 over the halves of the whole texts of all rows; without a word on both sides 0."""
     from surveyq.operators.models import rouge_n
 
     rows = halves(t)
@@ -479,6 +484,13 @@ def m11_rouge_1_whole(t: Tables) -> DataFrame:
     return scored.unionByName(rows.where(~words).select("doc_id", F.lit(0.0).alias("rouge_1")))
 
 
+@query(f"""WITH w AS {SQL_HALVES}, a AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(c) AS g FROM w) GROUP BY 1, 2), b AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(r) AS g FROM w) GROUP BY 1, 2),
+h AS (SELECT a.doc_id, sum(least(a.n, b.n)) AS h FROM a JOIN b ON a.doc_id = b.doc_id AND a.g = b.g GROUP BY 1)
+SELECT w.doc_id, round(CASE WHEN len(c) + len(r) > 0 THEN 2.0::DOUBLE * coalesce(h, 0) / (len(c) + len(r)) ELSE 0 END, 6) AS rouge_1 FROM w LEFT JOIN h USING (doc_id)""")
+def m11_rouge_1(t: Tables) -> DataFrame:
+    return m11_rouge_1_whole(t).select("doc_id", F.round("rouge_1", 6).alias("rouge_1"))
+
+
 @query()
 def m11_rouge_l(t: Tables) -> DataFrame:
     from surveyq.operators.models import rouge_l
@@ -486,11 +498,21 @@ def m11_rouge_l(t: Tables) -> DataFrame:
     return rouge_l(halves(t), ["doc_id"], "c", "r")
 
 
-@query()
+def _sql_grams(side: str, n: int) -> str:
+    return f"SELECT doc_id, array_to_string({side}[i:i + {n - 1}], ' ') AS g, count(*) AS k FROM (SELECT doc_id, {side}, unnest(range(1, len({side}) - {n - 2})) AS i FROM w) GROUP BY 1, 2"
+
+
+_SQL_HITS = " UNION ALL ".join(
+    f"SELECT a.doc_id, {n} AS n, sum(least(a.k, b.k)) AS hits FROM ({_sql_grams('c', n)}) a JOIN ({_sql_grams('r', n)}) b ON a.doc_id = b.doc_id AND a.g = b.g GROUP BY 1" for n in range(1, 5)
+)
+
+
+@query(f"""WITH w AS {SQL_HALVES}, h AS ({_SQL_HITS}), p AS (SELECT h.doc_id, count(*) AS orders, sum(ln(hits::DOUBLE / (len(c) - n + 1))) AS s FROM h JOIN w ON w.doc_id = h.doc_id GROUP BY 1)
+SELECT w.doc_id, round(CASE WHEN orders = 4 THEN exp(s / 4) * CASE WHEN len(c) < len(r) THEN exp(1 - len(r)::DOUBLE / len(c)) ELSE 1 END ELSE 0 END, 9) AS bleu FROM w LEFT JOIN p USING (doc_id)""")
 def m11_bleu(t: Tables) -> DataFrame:
     from surveyq.operators.models import bleu
 
-    return bleu(halves(t), ["doc_id"], "c", "r")
+    return bleu(halves(t), ["doc_id"], "c", "r").select("doc_id", F.round("bleu", 9).alias("bleu"))
 
 
 @query()

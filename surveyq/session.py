@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +36,24 @@ def local_session(cpus: int | str = "*", name: str = "surveyq", **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables, by any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path under spark.checkpoint.dir, which driver and executors share; under a temporary folder where all of Spark is one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}"
+    return f"{where.rstrip('/')}/surveyq-{label}-{uuid.uuid4().hex}"
+
+
+def put_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> str:
+    """Write a few small files through Hadoop's file system, wherever the folder lies; returns the folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, content in files.items():
+        out = system.create(path(f"{folder}/{name}"))
+        out.write(bytearray(content))
+        out.close()
+    return folder

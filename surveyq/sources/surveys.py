@@ -173,7 +173,7 @@ def human_surveys(spark: SparkSession, path: str, aliases: DataFrame) -> DataFra
     aliases(alias, topic, ord) is a short, configured list that the driver reads; files without a topic have a null one.
     """
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
-        F.col("value").alias("text"), F.col("_metadata.file_path").alias("source")
+        F.col("value").alias("text"), F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("source")
     )
     kept = files.where(F.lower("source").rlike(r"\.(md|txt|json)$") & ~file_name(F.col("source")).isin("README.md", "LICENSE", "NOTICE"))
     token = lambda c: F.translate(F.lower(c), "- ", "__")
