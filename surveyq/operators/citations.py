@@ -42,19 +42,25 @@ def title_index(corpus: DataFrame, order: str = "doc_id") -> DataFrame:
 
 
 def match_references(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """refs with matched_doc_id: by canonical title, else by cleaned title, else null."""
+    """refs with matched_doc_id: by canonical title, else by cleaned title, else null.
+
+    References without a title key get one that no title has, dealt by a hash
+    of the row, so that they don't meet in one partition of a join.
+    """
     keys = refs.withColumns(
         {
             "__k1": X.empty_to_null(X.norm_title("canonical_title")),
             "__k2": X.empty_to_null(X.norm_title(X.clean_web_title("title"))),
         }
     )
+    # a key has letters only, so digits match nothing
+    none = F.pmod(F.xxhash64(*(c for c, kind in refs.dtypes if not kind.startswith("map"))), F.lit(1 << 16)).cast("string")
     one = index.select(F.col("norm_title").alias("__k1"), F.col("doc_id").alias("__d1"))
     two = index.select(F.col("norm_title").alias("__k2"), F.col("doc_id").alias("__d2"))
-    return (
-        keys.join(one, "__k1", "left").join(two, "__k2", "left")
-        .withColumn("matched_doc_id", F.coalesce("__d1", "__d2")).drop("__k1", "__k2", "__d1", "__d2")
-    )
+    first = keys.withColumn("__k1", F.coalesce("__k1", none)).join(one, "__k1", "left")
+    # only what the first title doesn't find goes on with the second
+    again = first.withColumn("__k2", F.coalesce(F.when(F.col("__d1").isNull(), F.col("__k2")), none))
+    return again.join(two, "__k2", "left").withColumn("matched_doc_id", F.coalesce("__d1", "__d2")).drop("__k1", "__k2", "__d1", "__d2")
 
 
 def first_hit(candidates: DataFrame, index: DataFrame, key: str, titles: str) -> DataFrame:
@@ -101,10 +107,12 @@ def citation_metrics(surveys: DataFrame, matched: DataFrame, truth: DataFrame, k
     references the rates are 0; without truth coverage is null.
     """
     facts = truth.select(key, F.col("doc_id").cast("long").alias("matched_doc_id")).distinct().withColumn("__t", F.lit(1))
-    marked = matched.join(facts, [key, "matched_doc_id"], "left")
-    per = marked.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_refs"), F.count("matched_doc_id").alias("n_matched"), F.count("__t").alias("n_hit"),
-        F.count_distinct(F.when(F.col("__t") == 1, F.col("matched_doc_id"))).alias("n_hit_distinct"),
+    # one row for each survey and paper before the truth is met
+    each = matched.groupBy(key, "matched_doc_id").agg(F.count(F.lit(1)).alias("__n")).join(facts, [key, "matched_doc_id"], "left")
+    n = lambda test: F.coalesce(F.sum(F.when(test, F.col("__n"))), F.lit(0))
+    per = each.groupBy(key).agg(
+        F.sum("__n").alias("n_refs"), n(F.col("matched_doc_id").isNotNull()).alias("n_matched"), n(F.col("__t") == 1).alias("n_hit"),
+        F.count("__t").alias("n_hit_distinct"),
     )
     totals = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n_truth"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

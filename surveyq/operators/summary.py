@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surveyq.session import scratch_folder
+
 
 def as_metric(column: Column) -> Column:
     """A value as a double: booleans as 0 and 1, NaN and what is no number as null."""
@@ -117,3 +119,21 @@ def numeric_then_text(column: Column) -> list[Column]:
 def up_to_id(df: DataFrame, column: str, limit: int) -> DataFrame:
     """Rows whose id is a number not above limit; ids that are no number go."""
     return df.where(F.col(column).try_cast("bigint") <= limit)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with the place of each row in an order over all rows, from 1.
+
+    A range partition, sorted and written once; a row's place is its place in
+    its partition and the rows of the partitions before. No task holds more
+    than its range. Rows of one sort key share a partition.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, "numbered")
+    # partition and place in it are the two halves of the id
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumns({"__part": F.shiftright("__id", 33), "__in": F.col("__id").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # one row a partition
+    before = sizes.select("__part", (F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
+    return rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__in") + 1).drop("__id", "__part", "__in", "__before")

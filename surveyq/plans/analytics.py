@@ -185,26 +185,31 @@ def v4_centroid_distance(t: Tables) -> DataFrame:
 
 
 _SIM = """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-8)) AS e FROM embeddings),
-p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.e, b.e) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE list_dot_product(a.e, b.e) >= 0.2)
+p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.e, b.e) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id AND a.vec_id // 100 = b.vec_id // 100 AND a.label <> b.label WHERE list_dot_product(a.e, b.e) >= 0.2)
 """
 
 
-@query(_SIM + "SELECT 1 AS g, i, j, round(s, 6) AS similarity FROM p")
+def _surveys(t: Tables) -> DataFrame:
+    """Every 100 vectors in a row are the sentences of one survey, so that surveys grow in number and not in size."""
+    return t.embeddings.withColumn("g", F.floor(F.col("vec_id") / 100))
+
+
+@query(_SIM + "SELECT i // 100 AS g, i, j, round(s, 6) AS similarity FROM p")
 def j13_cross_pairs(t: Tables) -> DataFrame:
-    return _round(P.similar_pairs(t.embeddings.withColumn("g", F.lit(1)), "g", "vec_id", "label", at_least=0.2), 6)
+    return _round(P.similar_pairs(_surveys(t), "g", "vec_id", "label", at_least=0.2), 6)
 
 
 @query(_SIM + """, d AS (SELECT i AS x, j AS y, s FROM p UNION ALL SELECT j, i, s FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS k FROM d)
-SELECT DISTINCT 1 AS g, least(x, y) AS i, greatest(x, y) AS j, round(s, 6) AS similarity FROM r WHERE k <= 3""")
+SELECT DISTINCT x // 100 AS g, least(x, y) AS i, greatest(x, y) AS j, round(s, 6) AS similarity FROM r WHERE k <= 3""")
 def w2_top_neighbours(t: Tables) -> DataFrame:
-    pairs = P.similar_pairs(t.embeddings.withColumn("g", F.lit(1)), "g", "vec_id", "label", at_least=0.2)
+    pairs = P.similar_pairs(_surveys(t), "g", "vec_id", "label", at_least=0.2)
     return _round(P.top_neighbours(pairs, "g", 3), 6)
 
 
-@query(_SIM + """, e AS (SELECT DISTINCT unnest([i, j]) AS s FROM p) SELECT 1 AS g, (SELECT count(*) FROM embeddings) AS n_sentences, (SELECT count(*) FROM e) AS n_repeated,
-  round((SELECT count(*) FROM e)::DOUBLE / (SELECT count(*) FROM embeddings), 6) AS m_rep""")
+@query(_SIM + """, e AS (SELECT DISTINCT unnest([i, j]) AS s FROM p), r AS (SELECT s // 100 AS g, count(*) AS n FROM e GROUP BY 1), a AS (SELECT vec_id // 100 AS g, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT a.g, a.n AS n_sentences, coalesce(r.n, 0) AS n_repeated, round(coalesce(r.n, 0)::DOUBLE / a.n, 6) AS m_rep FROM a LEFT JOIN r ON r.g = a.g""")
 def ag7_repetition(t: Tables) -> DataFrame:
-    rows = t.embeddings.withColumn("g", F.lit(1))
+    rows = _surveys(t)
     return _round(P.repetition_share(P.similar_pairs(rows, "g", "vec_id", "label", at_least=0.2), rows, "g"), 6)
 
 
@@ -317,11 +322,8 @@ def v15_cost(t: Tables) -> DataFrame:
 
 @query("""SELECT k, row_number() OVER (ORDER BY TRY_CAST(k AS BIGINT) IS NULL, TRY_CAST(k AS BIGINT), k) AS r FROM (SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer UNION ALL SELECT c_name FROM customer WHERE c_custkey <= 50)""")
 def w6_numeric_then_text(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window
-
     keys = t.customer.select(F.col("c_custkey").cast("string").alias("k")).unionByName(t.customer.where("c_custkey <= 50").select(F.col("c_name").alias("k")))
-    # a rank over all rows is what this operator is: a report's order
-    return keys.select("k", F.row_number().over(Window.orderBy(*M.numeric_then_text(F.col("k")))).cast("long").alias("r"))
+    return M.numbered(keys, M.numeric_then_text(F.col("k")), "r").select("k", F.col("r").cast("long").alias("r"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id <= 100")
