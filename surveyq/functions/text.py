@@ -382,6 +382,35 @@ def replace_references(text: ColumnOrName, references: Column) -> Column:
     return F.when(F.size(references) <= 0, text).when(at > 0, inside).otherwise(added)
 
 
+#: Fixed value: a numbered section, up to the line that begins the next one.
+NUMBERED_SECTION = r"(?s)## \d+\.?\s*.*?(?=\n##|\z)"
+
+
+def repeat_outer_sections(column: ColumnOrName) -> Column:
+    """A text whose first and last numbered section say their body again under a subsection of their title.
+
+    Texts of fewer than two sections stay as they are. A section whose text
+    occurs again is changed at each place.
+    """
+
+    def doubled(section: Column) -> Column:
+        title = strip(F.substring_index(section, "\n", 1))
+        body = F.when(section.contains("\n"), strip(F.regexp_replace(section, r"^[^\n]*\n", ""))).otherwise("")
+        named = empty_to_null(F.regexp_extract(title, r"^\S+\s+\S+\s+(.*)$", 1))
+        name = F.coalesce(named, F.regexp_extract(title, r"(\S+)$", 1))
+        number = F.regexp_extract(section, r"## (\d+)", 1)
+        return F.concat(title, F.lit("\n"), body, F.lit("\n\n### "), number, F.lit(".1 "), name, F.lit("\nDescription: "), body, F.lit("\n\n"))
+
+    text = _c(column)
+    found = F.regexp_extract_all(text, F.lit(NUMBERED_SECTION), F.lit(0))
+
+    def both(sections: Column) -> Column:
+        first, last = F.element_at(sections, 1), F.element_at(sections, -1)
+        return F.when(F.size(sections) < 2, text).otherwise(F.replace(F.replace(text, first, doubled(first)), last, doubled(last)))
+
+    return let(found, both)
+
+
 # --- identifiers ---------------------------------------------------------
 
 #: Forms in which texts name an arXiv id, the most explicit first.

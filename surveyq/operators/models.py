@@ -5,6 +5,7 @@ as well as an expression. Offline backends are deterministic and need nothing;
 they stand for the models' contracts, not for their quality.
 """
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from surveyq.functions import text as X
 from surveyq.functions import vector as V
+from surveyq.session import scratch_folder
 
 
 class Embedder(Protocol):
@@ -94,6 +96,56 @@ class RuleJudge:
         return df.withColumn(out, answer).withColumn(f"{out}_status", F.when(answer.isNull(), "failed").otherwise("ok"))
 
 
+@dataclass(frozen=True)
+class Retrying:
+    """A judge that is asked again for what it failed to answer.
+
+    Each round asks the prompts still without an answer, at most `at_once` of
+    them side by side, and waits `wait` ** round seconds before the next. What
+    fails `attempts` times gets the fallback and the status fallback, or stays
+    failed without one. Equal prompts are asked once; null prompts fail.
+    Answers lie in the scratch folder, so none is asked for twice.
+    """
+
+    judge: Judge
+    attempts: int = 3
+    wait: float = 2.0
+    fallback: str | None = None
+    at_once: int | None = None
+
+    def ask(self, df: DataFrame, prompt: str, out: str) -> DataFrame:
+        spark, status = df.sparkSession, f"{out}_status"
+        todo, answered = df.select(F.col(prompt).alias("__q")).where("__q IS NOT NULL").distinct(), []
+        for k in range(1, self.attempts + 1):
+            asked = todo if self.at_once is None else todo.repartition(self.at_once)
+            path = scratch_folder(spark, "answers")
+            self.judge.ask(asked, "__q", out).write.parquet(path)
+            got = spark.read.parquet(path)
+            answered.append(got.where(F.col(status) != "failed"))
+            todo = got.where(F.col(status) == "failed").select("__q")
+            if k == self.attempts or todo.isEmpty():
+                break
+            time.sleep(self.wait**k)
+        every = answered[0]
+        for more in answered[1:]:
+            every = every.unionByName(more)
+        joined = df.join(every.withColumnRenamed("__q", prompt), prompt, "left")
+        late = F.lit("failed" if self.fallback is None else "fallback")
+        return joined.withColumns({out: F.when(F.col(status).isNull(), F.lit(self.fallback)).otherwise(F.col(out)), status: F.coalesce(status, late)})
+
+
+def validity_prompt(claim: Column, context: Column) -> Column:
+    """What a judge of comparisons is shown: the claim's first 600 and the context's first 800 characters."""
+    shown = F.coalesce(F.substring(X.blank_to_null(context), 1, 800), F.lit("Not available"))
+    return F.concat(F.lit("Claim: "), F.substring(claim, 1, 600), F.lit("\nContext: "), shown)
+
+
+def comparison_validity(answer: Column) -> Column:
+    """A judge's JSON on a comparison as a struct (is_valid, invalidity_type); nulls where it can't be read."""
+    parsed = F.from_json(X.first_json_object(X.strip_json_fence(answer)), "is_valid boolean, invalidity_type string")
+    return F.struct(parsed["is_valid"].alias("is_valid"), parsed["invalidity_type"].alias("invalidity_type"))
+
+
 def cached(requests: DataFrame, cache: DataFrame, key: str, answer: str, call: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Answers of all requests, and the cache rows to append.
 

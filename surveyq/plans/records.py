@@ -390,3 +390,49 @@ def c6_cascade_concat(t: Tables) -> DataFrame:
     )
     return M.align_cascade_concat(claims, M.OverlapAligner(), M.HashEmbedder(), ["survey_key", "claim_id"]).select("survey_key", "claim_id", F.round("alignscore", 6).alias("alignscore"))
 
+
+
+class _Flaky:
+    """Answers a key whose rest by 4 is less than the number of times it was asked."""
+
+    def __init__(self):
+        self.rounds = 0
+
+    def ask(self, df: DataFrame, prompt: str, out: str) -> DataFrame:
+        self.rounds += 1
+        rest = F.regexp_extract(prompt, r"(\d+)$", 1).cast("long") % 4
+        return M.RuleJudge(lambda q, n=self.rounds: F.when(rest < n, "yes")).ask(df, prompt, out)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN 'yes' ELSE 'unknown' END AS answer, CASE WHEN o_orderkey % 4 < 3 THEN 'ok' ELSE 'fallback' END AS answer_status FROM orders")
+def c10_retries(t: Tables) -> DataFrame:
+    asked = t.orders.select("o_orderkey", F.concat(F.lit("key "), "o_orderkey").alias("q"))
+    return M.Retrying(_Flaky(), attempts=3, wait=0.0, fallback="unknown").ask(asked, "q", "answer").drop("q")
+
+
+@query("SELECT n_name AS name, n_nationkey::BIGINT AS key FROM nation")
+def sc3_config(t: Tables) -> DataFrame:
+    """A table that a configuration file holds (JSON is YAML, too)."""
+    from surveyq.sources.config import read_config
+
+    config = {"tables": [{"name": n, "key": k} for k, n, _ in _nations(t)]}
+    path = _files(t, "config", {"config.yaml": json.dumps(config)}) + "/config.yaml"
+    return t.spark.createDataFrame([(r["name"], r["key"]) for r in read_config(t.spark, path)["tables"]], "name string, key long")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_valid, CASE o_orderkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'missing_context' END AS invalidity_type,
+  CASE WHEN o_orderkey % 2 = 0 THEN length('Claim: ' || o_orderpriority || chr(10) || 'Context: Not available') ELSE length('Claim: ' || o_orderpriority || chr(10) || 'Context: ') + 800 END AS n FROM orders""")
+def m7_comparison_validity(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    said = F.when(k % 3 == 0, '```json\n{"is_valid": true, "invalidity_type": "none"}\n```').when(k % 3 == 1, 'So: {"is_valid": false, "invalidity_type": "missing_context"}').otherwise("no idea")
+    prompt = M.validity_prompt(F.col("o_orderpriority"), F.when(k % 2 == 1, F.repeat(F.lit("context "), 200)))
+    return t.orders.select("o_orderkey", M.comparison_validity(said).alias("v"), F.length(prompt).cast("long").alias("n")).select("o_orderkey", "v.is_valid", "v.invalidity_type", "n")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '## 1. ' || p_name || chr(10) || 'alone' ELSE '# Title' || chr(10) || '## 1. ' || p_name || chr(10) || 'Body of ' || p_partkey || chr(10) || chr(10) || '### 1.1 ' || p_name || chr(10)
+  || 'Description: Body of ' || p_partkey || chr(10) || chr(10) || chr(10) || '## 2 Middle' || chr(10) || 'x' || chr(10) || '## 3. Last ' || p_brand || chr(10) || 'End' || chr(10) || chr(10) || '### 3.1 Last ' || p_brand || chr(10) || 'Description: End' || chr(10) || chr(10) END AS text FROM part""")
+def t54_outer_sections(t: Tables) -> DataFrame:
+    one = F.concat(F.lit("## 1. "), "p_name", F.lit("\n"))
+    many = F.concat(F.lit("# Title\n"), one, F.lit("Body of "), "p_partkey", F.lit("\n## 2 Middle\nx\n## 3. Last "), "p_brand", F.lit("\nEnd"))
+    text = F.when(F.col("p_partkey") % 5 == 0, F.concat(one, F.lit("alone"))).otherwise(many)
+    return t.part.select("p_partkey", X.repeat_outer_sections(text).alias("text"))

@@ -385,3 +385,52 @@ def test_contradictions_of_paragraphs_see_more_than_400_characters(spark):
     yes, no = M.RuleJudge(lambda q: F.lit(True)), M.RuleJudge(lambda q: q.contains(" it is\n") & q.endswith(" it is not"))
     seen = lambda **most: M.contradictions(pair, yes, no, ["k"], **most).head().n_confirmed
     assert (seen(), seen(most=1800)) == (0, 1)
+
+
+def test_evaluators_by_name(spark):
+    from surveyq.operators import evaluators as EV
+
+    long = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "metric string, value double")
+    got = {r.metric: r.mean for r in EV.load_evaluator("summary", {"by": ["metric"]})({"long": long}).collect()}
+    assert got == {"a": 2.0, "b": 2.0}
+    for name, config in (("nothing", {}), ("summary", {})):
+        with pytest.raises(ValueError):
+            EV.load_evaluator(name, config)
+    with pytest.raises(ValueError):
+        EV.load_evaluator("summary", {"by": ["metric"]})({})
+    with pytest.raises(ValueError):
+        EV.register("summary", lambda t, c: t["long"], ("long",))
+
+
+def test_config_files(spark, tmp_path):
+    from surveyq.sources.config import read_config
+
+    (tmp_path / "a.yaml").write_text("top_k: 5\nthresholds:\n  skip: 0.75\n")
+    (tmp_path / "b.yaml").write_text("- 1\n")
+    assert read_config(spark, str(tmp_path / "a.yaml")) == {"top_k": 5, "thresholds": {"skip": 0.75}}
+    with pytest.raises(ValueError):
+        read_config(spark, str(tmp_path / "b.yaml"))
+
+
+def test_places_over_all_rows(spark):
+    from surveyq.operators.summary import numbered
+
+    df = spark.createDataFrame([(i * 7919 % 1009, i) for i in range(3000)], "a long, b long").repartition(7)
+    got = sorted((r.place, r.a, r.b) for r in numbered(df, [F.col("a"), F.col("b")]).collect())
+    assert [x[0] for x in got] == list(range(1, 3001)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+    assert numbered(df.limit(0), [F.col("a")]).count() == 0
+
+
+def test_retries_ask_again_only_what_failed(spark):
+    class Judge:
+        asked = []
+
+        def ask(self, df, prompt, out):
+            self.asked.append(sorted(r[0] for r in df.select(prompt).collect()))
+            known = F.when(F.col(prompt) <= chr(ord("a") + len(self.asked) - 1), F.upper(prompt))
+            return M.RuleJudge(lambda q: known).ask(df, prompt, out)
+
+    df = spark.createDataFrame([("a",), ("b",), ("b",), ("z",), (None,)], "q string")
+    got = sorted((str(r.q), r.x, r.x_status) for r in M.Retrying(Judge(), attempts=2, wait=0.0).ask(df, "q", "x").collect())
+    assert Judge.asked == [["a", "b", "z"], ["b", "z"]]
+    assert got == [("None", None, "failed"), ("a", "A", "ok"), ("b", "B", "ok"), ("b", "B", "ok"), ("z", None, "failed")]
