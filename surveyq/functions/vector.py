@@ -32,10 +32,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def _dimension_sums(df: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """by, i, s: the sum of each dimension of the unit vectors; partial sums before the shuffle, dims rows for each group."""
-    flat = df.where(F.col(vector).isNotNull()).select(*by, F.posexplode(unit(F.col(vector))).alias("i", "x"))
-    return flat.groupBy(*by, "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
+def _sums(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """by, n, s (the sum of the unit vectors) and q (of their squared lengths): one buffer a group and task before the shuffle, no row a dimension."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    units = df.where(F.col(vector).isNotNull()).select(*by, unit(F.col(vector)).alias("u"))
+    found = units.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.sum(array_to_vector("u")).alias("s"), F.sum(dot(F.col("u"), F.col("u"))).alias("q")
+    )
+    return found.withColumn("s", vector_to_array("s"))
 
 
 def diversity(df: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
@@ -44,18 +50,14 @@ def diversity(df: DataFrame, by: list[str], vector: str = "embedding") -> DataFr
     No pairs are formed: over unit vectors u, the sum of all u_i . u_j with
     i <> j is |sum u|^2 - sum |u|^2.
     """
-    sums = _dimension_sums(df, by, vector)
-    whole = sums.groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("qq"), F.max("n").alias("n"))
     n = F.col("n").cast("double")
-    return whole.select(*by, "n", F.when(F.col("n") >= 2, 1 - (F.col("ss") - F.col("qq")) / (n * (n - 1))).alias("diversity"))
+    spread = 1 - (dot(F.col("s"), F.col("s")) - F.col("q")) / (n * (n - 1))
+    return _sums(df, by, vector).select(*by, "n", F.when(F.col("n") >= 2, spread).alias("diversity"))
 
 
 def centroids(df: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
     """by, n, centroid: the mean of the unit vectors of each group."""
-    sums = _dimension_sums(df, by, vector).withColumn("m", F.col("s") / F.col("n"))
-    return sums.groupBy(*by).agg(
-        F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centroid")
-    )
+    return _sums(df, by, vector).select(*by, "n", F.transform("s", lambda x: x / F.col("n")).alias("centroid"))
 
 
 def centroid_distance(a: Column, b: Column) -> Column:

@@ -211,7 +211,13 @@ def t33_text_from_index(t: Tables) -> DataFrame:
 t33_text_from_index_whole = t33_text_from_index
 
 
-@query()
+_SQL_PLAIN_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 30)"""
+_SQL_NORM = r"""lower(trim(regexp_replace(regexp_replace(s, '\[[^\]]{1,40}\]', '', 'g'), '\s+', ' ', 'g')))"""
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_SQL_PLAIN_SENTENCES} AS l FROM documents), n AS (SELECT doc_id, len(l) AS total, list_transform(l, lambda s: {_SQL_NORM}) AS n FROM l WHERE len(l) >= 4),
+p AS (SELECT doc_id, total, list_position(n, n[4]) AS k FROM n)
+SELECT doc_id, k AS paragraph_start, k AS paragraph_end, greatest(k - 3, 0) + 1 AS window_start, least(total, k + 2) AS window_end, total FROM p""")
 def t40_sentence_window(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "text", F.get(X.split_sentences("text", drop_markers=False), F.lit(3)).alias("s")).where("s IS NOT NULL")
     return rows.select("doc_id", X.sentence_window("text", "s", 2).alias("w")).select("doc_id", "w.paragraph_start", "w.paragraph_end", "w.window_start", "w.window_end", "w.total")
