@@ -41,7 +41,7 @@ VALUES = TREES * DEPTH
 #: Nodes that make a bucket dense, so that its prefix grows.
 BUCKET = 4096
 #: Nodes whose signatures one comparison holds: regions up to the first number stay whole, and no comparison has many more than the second.
-SIGNATURES = (512, 4096)
+SIGNATURES = (256, 4096)
 #: Nodes, and shingles in all, that one comparison of whole sets holds; single larger sets meet in pairs.
 SETS = (512, 2 << 20)
 #: Share of the pairs at the threshold whose signatures may agree in fewer values than asked.
