@@ -40,6 +40,13 @@ def in_written_order(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+_RUN = "h1 BIGINT, h2 BIGINT, first BIGINT, last BIGINT, n BIGINT, seen BOOLEAN"
+
+
+def _as_run(rows: DataFrame) -> DataFrame:
+    return rows.select("h1", "h2", "first", F.col("first").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("seen"))
+
+
 class LineRuns:
     """Levelled runs of line hashes (h1, h2, first) in a folder.
 
@@ -71,7 +78,7 @@ class LineRuns:
     def _table(self, folder: str, buckets: int) -> str:
         name = f"surveyq_run_{uuid.uuid4().hex}"
         self.spark.sql(
-            f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, first BIGINT) USING parquet "
+            f"CREATE TABLE {name} ({_RUN}) USING parquet "
             f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {buckets} BUCKETS LOCATION '{self.root}/{folder}'"
         )
         self._folders[name] = folder
@@ -83,9 +90,9 @@ class LineRuns:
         self.levels[level].append(name)
 
     def _write(self, rows: DataFrame, level: int) -> str:
-        """rows, which are parted by hash already, as a run of a level."""
+        """rows (of _RUN), which are parted by hash already, as a run of a level."""
         making, folder = f"making-{uuid.uuid4().hex}", f"level-{level}-{self.buckets}-{uuid.uuid4().hex}"
-        write_buckets(rows.select("h1", "h2", "first"), self.buckets, making.replace("-", "_"), f"{self.root}/{making}")
+        write_buckets(rows, self.buckets, making.replace("-", "_"), f"{self.root}/{making}")
         self.spark.sql(f"DROP TABLE {making.replace('-', '_')}")
         self._fs.rename(self._path(f"{self.root}/{making}"), self._path(f"{self.root}/{folder}"))
         return self._table(folder, self.buckets)
@@ -94,8 +101,12 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE {name}")
         remove(self.spark, f"{self.root}/{self._folders.pop(name)}")
 
+    def _lines(self, name: str) -> DataFrame:
+        """(h1, h2, first) of a run: its batch's lines but those that a run before it holds."""
+        return self.spark.table(name).where("NOT seen").select("h1", "h2", "first")
+
     def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        return [self._lines(name) for level in self.levels for name in level]
 
     def marked(self, firsts: DataFrame) -> DataFrame:
         """firsts (h1, h2, ...) with seen: whether a run holds the line. One row a line; sorted once, for all runs."""
@@ -111,22 +122,33 @@ class LineRuns:
         """Rows of firsts (h1, h2, ...) whose line is in no run."""
         return self.marked(firsts).where(~F.col("seen")).drop("seen")
 
+    def take(self, firsts: DataFrame) -> DataFrame:
+        """Meet firsts (h1, h2, first, last, n), a batch's lines, with all runs and make them a run of level 0.
+
+        Returns them with seen, readable until the next compact(). What is seen
+        lies in the run as well, so that a batch is written once; it doesn't
+        count as the run's, and a merge leaves it out.
+        """
+        name = self._write(self.marked(firsts).select("h1", "h2", "first", "last", "n", "seen"), 0)
+        self._put(0, name)
+        return self.spark.table(name)
+
     def add(self, rows: DataFrame) -> DataFrame:
         """Add (h1, h2, first) as a run of level 0 and return it, readable until the next compact()."""
-        name = self._write(rows, 0)
+        name = self._write(_as_run(rows), 0)
         self._put(0, name)
-        return self.spark.table(name)
+        return self._lines(name)
 
     def compact(self) -> None:
-        """Merge the runs of every full level into one of the next."""
+        """Merge the runs of every full level into one of the next, in the order in which they lie."""
         k = 0
         while k < len(self.levels):
             if len(self.levels[k]) >= self.fanout:
-                merged, *rest = (self.spark.table(n) for n in self.levels[k])
+                merged, *rest = (self._lines(n) for n in self.levels[k])
                 for one in rest:
-                    one = one.select("h1", "h2", F.col("first").alias("other")).hint("merge")
+                    one = one.withColumnRenamed("first", "other").hint("merge")
                     merged = merged.join(one, ["h1", "h2"], "full").select("h1", "h2", F.least("first", "other").alias("first"))
-                name = self._write(merged, k + 1)
+                name = self._write(_as_run(merged), k + 1)
                 for old in self.levels[k]:
                     self._forget(old)
                 self.levels[k] = []
@@ -245,17 +267,13 @@ def _dropped(shelf: Shelf, rows: DataFrame, min_chars: int, batches: int, fanout
             if high is not None:
                 batch = batch.where(F.col("ord") <= high)
             firsts = batch.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n"))
-            name = f"surveyq_batch_{uuid.uuid4().hex}"
-            keys = write_buckets(runs.marked(firsts), runs.buckets, name, shelf.path("batch-keys"))
-            try:
-                runs.add(keys.where(~F.col("seen")))
-                # a key that a run holds stood in an earlier batch: all its lines here go
-                doomed = keys.where("seen OR first < last").select("h1", "h2", F.when(~F.col("seen"), F.col("first")).alias("first"), "n")
-                hit = join_hot(batch, doomed, ["h1", "h2"], "n", total).where(F.col("first").isNull() | (F.col("ord") > F.col("first")))
-                gone.append(shelf.stored(hit.select("ord", "mark", "pos"), "gone"))
-            finally:
-                spark.sql(f"DROP TABLE {name}")
-            runs.compact()
+            keys = runs.take(firsts)
+            # a key that a run holds stood in an earlier batch: all its lines here go
+            doomed = keys.where("seen OR first < last").select("h1", "h2", F.when(~F.col("seen"), F.col("first")).alias("first"), "n")
+            hit = join_hot(batch, doomed, ["h1", "h2"], "n", total).where(F.col("first").isNull() | (F.col("ord") > F.col("first")))
+            gone.append(shelf.stored(hit.select("ord", "mark", "pos"), "gone"))
+            if runs.keep or high is not None:
+                runs.compact()
     dropped = gone[0]
     for more in gone[1:]:
         dropped = dropped.unionByName(more)
