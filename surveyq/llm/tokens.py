@@ -179,10 +179,8 @@ class WordCounts(Library):
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+")
         self.memo: dict[str, int] = {}
 
-    def count(self, text: str) -> int:
-        if len(text) > self.chunk or not self.fast or not self.plain(text):
-            return sum(len(ids) for ids in self.ids(text))
-        words = self.words.findall(text.lower())
+    def _remember(self, words: list[str]) -> None:
+        """Have the counts of all these words in the memo."""
         if new := set(words).difference(self.memo):
             if len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
@@ -190,6 +188,23 @@ class WordCounts(Library):
             new = list(new)
             for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 self.memo[word] = len(got)
+
+    def words_with_counts(self, text: str, at: int = 0) -> Encoded:
+        """The words of a plain text with their places; instead of ids, their numbers of tokens."""
+        # lowering keeps the length of every settled character
+        found = [(m.group(), m.start(), m.end()) for m in self.words.finditer(text.lower())]
+        words = [w for w, _, _ in found]
+        self._remember(words)
+        places = np.array([f[1:] for f in found], np.int64).reshape(-1, 2) + at
+        return Encoded(np.array([self.memo[w] for w in words], np.int64), places[:, 0], places[:, 1])
+
+    def count(self, text: str) -> int:
+        if not self.fast or not self.plain(text):
+            return sum(len(ids) for ids in self.ids(text))
+        if len(text) > self.chunk:
+            return sum(int(counts.sum()) for counts in splice(text, self.words_with_counts, self.chunk))
+        words = self.words.findall(text.lower())
+        self._remember(words)
         return sum(map(self.memo.__getitem__, words))
 
 

@@ -334,6 +334,15 @@ def test_only_known_files_are_spliced():
         assert not other.fast and sum(len(x) for x in other.ids(text)) == len(lib.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("chunk,overlap", [(300, 5), (500, 40), (2000, 200)])
+def test_spliced_words_have_the_texts_tokens(chunk, overlap):
+    value = "intro " + "y" * 900 + " Sentence one, it's fine.\nNext   line 12 " * 60 + " " * 700 + "zé" * 400 + " The end, they'll say. " * 30
+    mine, lib = LOADED[WordCounts]
+    want = len(lib.encode(value, add_special_tokens=False).ids)
+    assert mine.plain(value) and sum(int(x.sum()) for x in splice(value, mine.words_with_counts, chunk, overlap)) == want
+    assert mine.count(value * 20) == len(lib.encode(value * 20, add_special_tokens=False).ids) and len(value * 20) > mine.chunk
+
+
 def test_counts_of_the_corpus_equal_the_library(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lib = LOADED[WordCounts][1]
