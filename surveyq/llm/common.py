@@ -52,6 +52,9 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Writer options of all intermediate tables: nobody waits for their marker files.
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
 #: Writer options for rows of up to some MB: Parquet looks at the size of its pages and row groups after each few rows, not first after a hundred.
 LARGE_ROWS = {
     "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "64",
@@ -64,7 +67,7 @@ def stored(df: DataFrame, label: str, path: str | None = None, **options: str) -
     """df written as Parquet to the shared folder and read back: cuts lineage and is computed once."""
     spark = df.sparkSession
     path = path or scratch(spark, label)
-    df.write.options(**options).parquet(path)
+    df.write.options(**UNMARKED, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

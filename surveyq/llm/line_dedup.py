@@ -18,11 +18,14 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyq.llm.common import Shelf, fresh, join_hot, remove, scratch, split_by_keys, stored
+from surveyq.llm.common import UNMARKED, Shelf, fresh, join_hot, remove, scratch, split_by_keys, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\f\r"
 _FIRST_OF_ALL = -(1 << 63)
+#: Lines of a batch for each bucket of its run, as far as the session's shuffle partitions go: a bucket is a task and a file.
+BUCKET_LINES = 100_000
+
 #: Session settings with which scans of bucketed tables read a bucket a task and tell its order, where a bucket is one file.
 _WRITTEN_ORDER = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
@@ -55,16 +58,18 @@ class LineRuns:
     level-<k>-<buckets>-<id> that gets this name when it is complete, and a
     merged run gets it before the runs in it go; a line that stands in two runs
     is as good as in one, so a job that dies at any point leaves valid runs.
-    One job at a time may add to a folder. Runs of other bucket counts are
-    read and merged like others, but shuffled.
+    One job at a time may add to a folder. New runs have as many buckets as the
+    last one found there, else `buckets`, the session's shuffle partitions at
+    most; runs of other counts are read and merged like others, but shuffled.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3, path: str | None = None):
+    def __init__(self, spark: SparkSession, fanout: int = 3, path: str | None = None, buckets: int | None = None):
         if fanout < 2:
             raise ValueError("fanout must be 2 or more")
         self.spark, self.fanout, self.keep = spark, fanout, path is not None
         self.root = (path or scratch(spark, "line-runs")).rstrip("/")
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.parted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = min(buckets or self.parted, self.parted)
         self.levels: list[list[str]] = []
         self._folders: dict[str, str] = {}  # table -> folder
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -73,7 +78,8 @@ class LineRuns:
             for found in sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))):
                 part = found.split("-")
                 if part[0] == "level":
-                    self._put(int(part[1]), self._table(found, int(part[2])))
+                    self.buckets = int(part[2])
+                    self._put(int(part[1]), self._table(found, self.buckets))
 
     def _table(self, folder: str, buckets: int) -> str:
         name = f"surveyq_run_{uuid.uuid4().hex}"
@@ -110,6 +116,8 @@ class LineRuns:
 
     def marked(self, firsts: DataFrame) -> DataFrame:
         """firsts (h1, h2, ...) with seen: whether a run holds the line. One row a line; sorted once, for all runs."""
+        if self.buckets != self.parted:  # one task a bucket, and so one file
+            firsts = firsts.repartition(self.buckets, "h1", "h2")
         seen = F.lit(False)
         for k, run in enumerate(self.tables()):
             mark = f"run_{k}"
@@ -172,9 +180,7 @@ class LineRuns:
 
 def write_buckets(rows: DataFrame, buckets: int, name: str, path: str) -> DataFrame:
     """rows as a table bucketed and sorted by (h1, h2). Rows that aren't parted by them yet are shuffled: a bucket is one file then."""
-    (
-        rows.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(name)
-    )
+    rows.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").options(path=path, **UNMARKED).format("parquet").saveAsTable(name)
     return rows.sparkSession.table(name)
 
 
@@ -259,7 +265,7 @@ def _dropped(shelf: Shelf, rows: DataFrame, min_chars: int, batches: int, fanout
     cuts, total = lines.agg(F.percentile_approx("ord", wanted, 1000) if wanted else F.lit(None), F.count(F.lit(1))).head()
     edges = [None, *sorted(set(cuts or [])), None]
     gone = []
-    with LineRuns(spark, fanout, path) as runs, in_written_order(spark):
+    with LineRuns(spark, fanout, path, 1 + total // (len(edges) - 1) // BUCKET_LINES) as runs, in_written_order(spark):
         for low, high in zip(edges, edges[1:]):
             batch = lines
             if low is not None:
