@@ -99,10 +99,26 @@ h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, hex(encode(doc_id::VA
 c AS (SELECT doc_id, length(h) // 2 + 8 AS size, {_crc32('h')} AS text_crc32, {_crc32('hi')} % 512 AS part, {_jump(24)} AS shard, {_jump(25)} AS grown_shard FROM h, t)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM c"""
 
+_TABLE = "t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t)"
+
+_SNAPSHOTS = f"""
+WITH {_TABLE}, d AS (SELECT doc_id AS k, text, lang, source, {_crc32('hex(encode(doc_id::VARCHAR))')} % 16 AS m FROM documents, t),
+n AS (SELECT CASE WHEN m IN (3, 4) THEN -1 - k ELSE k END AS k, CASE WHEN m = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+  CASE WHEN m = 2 THEN source ELSE lang END AS lang, CASE WHEN m = 2 THEN lang WHEN m = 4 THEN NULL ELSE source END AS source FROM d WHERE m IS NULL OR m <> 0
+  UNION ALL SELECT -1 - k, text, lang, source FROM d WHERE m = 5),
+a AS (SELECT d.*, row_number() OVER (PARTITION BY text ORDER BY k) AS i FROM d WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k IS NOT DISTINCT FROM d.k)),
+b AS (SELECT n.*, row_number() OVER (PARTITION BY text ORDER BY k) AS i FROM n WHERE NOT EXISTS (SELECT 1 FROM d WHERE n.k IS NOT DISTINCT FROM d.k)),
+p AS (SELECT 'k' AS how, d.k AS ok, d.text AS ot, d.lang AS ol, d.source AS os, true AS o, n.k AS nk, n.text AS nt, n.lang AS nl, n.source AS ns, true AS n FROM d JOIN n ON d.k IS NOT DISTINCT FROM n.k
+  UNION ALL SELECT 'c', a.k, a.text, a.lang, a.source, a.i IS NOT NULL, b.k, b.text, b.lang, b.source, b.i IS NOT NULL FROM a FULL JOIN b ON a.i = b.i AND a.text IS NOT DISTINCT FROM b.text),
+c AS (SELECT *, CASE WHEN o AND n THEN concat_ws(',', CASE WHEN ot IS DISTINCT FROM nt THEN 'text' END, CASE WHEN ol IS DISTINCT FROM nl THEN 'lang' END, CASE WHEN os IS DISTINCT FROM ns THEN 'source' END) ELSE '' END AS changed FROM p)
+SELECT CASE WHEN n THEN nk ELSE ok END AS key, ok AS old_key, CASE WHEN NOT n THEN 'delete' WHEN NOT o THEN 'insert' WHEN how = 'c' THEN 'rekey' WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed,
+  CASE WHEN n THEN sha256(coalesce(nt, '~') || chr(10) || coalesce(nl, '~') || chr(10) || coalesce(ns, '~')) END AS row_sha256 FROM c"""
+
 ORACLES = {
     "op1_license_scan": _licenses(),
     "op2_sharding": _SHARDS,
     "op4_decontaminate": _CONTAMINATION,
     "op6_line_dedup": _LINES,
     "op10_near_dup": _NEAR,
+    "op12_snapshot_diff": _SNAPSHOTS,
 }

@@ -162,7 +162,7 @@ def _apart(w: np.ndarray, p: np.ndarray, u: np.ndarray, decay: float) -> tuple[f
     return lp.mean() + lu.mean() + decay * float(w[:-1] @ w[:-1]) / 2, grad
 
 
-def _descend(w: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int, rate: float) -> np.ndarray:
+def descend(w: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int, rate: float) -> np.ndarray:
     """Adam with a rate that falls to nothing; the same input gives the same weights."""
     w, first, second = w.copy(), np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
@@ -184,7 +184,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     p, u = model.spread(positive), model.spread(unlabelled)
     w = np.zeros(p.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
-    w = _descend(w, lambda w: risk(w, p, u, prior, decay)[1], steps, rate)
+    w = descend(w, lambda w: risk(w, p, u, prior, decay)[1], steps, rate)
     model.weight, model.bias = w[:-1], float(w[-1])
     return model
 
@@ -207,7 +207,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 20
         (p, p_out), (u, u_out) = parts
         if min(len(p), len(u), len(p_out), len(u_out)) == 0:
             return 0.5
-        w = _descend(np.zeros(p.shape[1] + 1), lambda w, p=p, u=u: _apart(w, p, u, decay)[1], steps, rate)
+        w = descend(np.zeros(p.shape[1] + 1), lambda w, p=p, u=u: _apart(w, p, u, decay)[1], steps, rate)
         zp, zu = np.sort(p_out @ w[:-1]), np.sort(u_out @ w[:-1])
         above_p = 1 - np.arange(len(zp)) / len(zp)
         above_u = 1 - np.searchsorted(zu, zp) / len(zu)
@@ -219,10 +219,10 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 20
 
 def label_share(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> float | None:
     """The share of label 1 among labels that are not held out: a prior for those who have trusted negatives."""
-    return _known(labels, id_col, label_col).agg(F.avg("y")).head()[0]
+    return known_labels(labels, id_col, label_col).agg(F.avg("y")).head()[0]
 
 
-def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """(id, y) of labels that are not held out; of several labels of an id the best counts."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     return known.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("y"))
@@ -263,7 +263,7 @@ def fit(
     it is given. None if there is no positive or no document.
     """
     rank = [F.xxhash64("id"), F.col("id")]
-    trusted = _known(labels, id_col, label_col).where("y = 1").select("id").orderBy(*rank).limit(positives).withColumn("kind", F.lit(1))
+    trusted = known_labels(labels, id_col, label_col).where("y = 1").select("id").orderBy(*rank).limit(positives).withColumn("kind", F.lit(1))
     ids = docs.select(F.col(id_col).alias("id"))
     anyone = ids.where(F.col("id").isNotNull() & ~held_out("id")).orderBy(*rank).limit(unlabelled).withColumn("kind", F.lit(0))
     # positives + unlabelled rows of an id each, whatever the corpus: a bounded broadcast

@@ -18,7 +18,9 @@ from surveyq.llm.oracles import ORACLES
 from surveyq.llm.packing import pack
 from surveyq.llm.quality import classify
 from surveyq.llm.sharding import assign_shards
+from surveyq.llm.snapshots import compare_documents
 from surveyq.llm.token_counts import count_tokens
+from surveyq.llm.toxicity import classify_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -71,6 +73,14 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_ids(_docs(spark, sf_dir), num=85)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_documents(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -82,4 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_packing": op9_packing,
     "op10_near_dup": op10_near_dup,
+    "op11_toxicity": op11_toxicity,
+    "op12_snapshot_diff": op12_snapshot_diff,
 }
