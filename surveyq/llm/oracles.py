@@ -114,6 +114,21 @@ c AS (SELECT *, CASE WHEN o AND n THEN concat_ws(',', CASE WHEN ot IS DISTINCT F
 SELECT CASE WHEN n THEN nk ELSE ok END AS key, ok AS old_key, CASE WHEN NOT n THEN 'delete' WHEN NOT o THEN 'insert' WHEN how = 'c' THEN 'rekey' WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed,
   CASE WHEN n THEN sha256(coalesce(nt, '~') || chr(10) || coalesce(nl, '~') || chr(10) || coalesce(ns, '~')) END AS row_sha256 FROM c"""
 
+_TRIE = f"""
+WITH {_TABLE}, r AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT c, {_crc32('hex(encode(c::VARCHAR))')} % 6 AS h, c - c % 100 AS b FROM r, t),
+u AS (SELECT c.c, p AS o, r, x FROM c JOIN r ON r.c = b AND p <= h UNION ALL SELECT c.c, p + 10, r, x FROM c JOIN r ON r.c = c.c AND p > h),
+w AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY o) AS d FROM u),
+m AS (SELECT c, d, md5(string_agg(length(r) || ':' || r || length(x) || ':' || x, '') OVER (PARTITION BY c ORDER BY d)) AS k, x FROM w UNION ALL SELECT c, 0, '', '' FROM c),
+n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(length(x)) AS saved FROM m GROUP BY d, k),
+e AS (SELECT DISTINCT a.d, a.k, b.k AS up FROM m a JOIN m b ON a.c = b.c AND b.d = a.d - 1),
+i AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM e GROUP BY 1, 2),
+s AS (SELECT DISTINCT a.d, a.k, b.d AS d2, b.k AS k2 FROM m a JOIN m b ON a.c = b.c AND b.d >= a.d),
+y AS (SELECT s.d, s.k, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (i.d IS NULL) AS n_leaves FROM s JOIN n ON n.d = d2 AND n.k = k2 LEFT JOIN i ON i.d = d2 AND i.k = k2 GROUP BY 1, 2),
+z AS (SELECT d, k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS z FROM m JOIN (SELECT c, max(d) AS d FROM m GROUP BY c) USING (c, d) GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(i.n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(z, sha256('')) AS ends_sha256
+FROM n JOIN y ON y.d = n.d AND y.k = n.k LEFT JOIN i ON i.d = n.d AND i.k = n.k LEFT JOIN e ON e.d = n.d AND e.k = n.k LEFT JOIN n p ON p.d = n.d - 1 AND p.k = e.up LEFT JOIN z ON z.d = n.d AND z.k = n.k"""
+
 ORACLES = {
     "op1_license_scan": _licenses(),
     "op2_sharding": _SHARDS,
@@ -121,4 +136,5 @@ ORACLES = {
     "op6_line_dedup": _LINES,
     "op10_near_dup": _NEAR,
     "op12_snapshot_diff": _SNAPSHOTS,
+    "op13_prefix_trie": _TRIE,
 }

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyq.llm.conversation_trie import prefix_trie_of
 from surveyq.llm.decontaminate import find_contamination
 from surveyq.llm.html_text import extract_main_text
 from surveyq.llm.license_scan import scan_licenses
@@ -81,6 +82,10 @@ def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_documents(_docs(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -94,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dup": op10_near_dup,
     "op11_toxicity": op11_toxicity,
     "op12_snapshot_diff": op12_snapshot_diff,
+    "op13_prefix_trie": op13_prefix_trie,
 }
