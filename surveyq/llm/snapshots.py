@@ -74,6 +74,18 @@ def _placed(shelf: Shelf, rows: DataFrame, order: list[str]) -> DataFrame:
     return ranked(rows, ["k"], order, "place")
 
 
+def _by_content(met: DataFrame, side: str, content: list[str]) -> DataFrame:
+    """Rows of one side with their rank within their content by key.
+
+    Content is told by two 64-bit hashes here, as sorting by ranges sends a sample
+    of its keys to the driver; rows pair only where their whole content agrees.
+    """
+    rows = met.select(*(c for c in met.columns if c.startswith(f"{side}_")))
+    forms = [f"{side}_{c}" for c in content]
+    hashed = rows.withColumns({"group_a": F.xxhash64(*forms), "group_b": F.xxhash64(F.lit(1), *forms)})
+    return ranked(hashed, ["group_a", "group_b"], [f"{side}_k", f"{side}_place"], f"{side}_rank").drop("group_a", "group_b")
+
+
 def snapshot_difference(
     earlier: DataFrame, later: DataFrame, key: str, content: Sequence[str], compared: Sequence[str] = (), carry: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -107,8 +119,7 @@ def snapshot_difference(
         met = shelf.stored(o.join(n, same_key, "full").drop("o_word", "n_word"), "met")
         paired = met.where("o_place IS NOT NULL AND n_place IS NOT NULL")
         # content windows: the rank of a row among the unpaired ones of its content
-        left = ranked(met.where("n_place IS NULL").select(*(c for c in met.columns if c.startswith("o_"))), [f"o_{c}" for c in shared], ["o_k", "o_place"], "o_rank")
-        right = ranked(met.where("o_place IS NULL").select(*(c for c in met.columns if c.startswith("n_"))), [f"n_{c}" for c in shared], ["n_k", "n_place"], "n_rank")
+        left, right = (_by_content(met.where(f"{other}_place IS NULL"), s, shared) for s, other in (("o", "n"), ("n", "o")))
         same_content = F.col("o_rank") == F.col("n_rank")
         for c in shared:
             same_content &= F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}"))
