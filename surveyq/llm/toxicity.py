@@ -1,7 +1,7 @@
 """Toxicity scores by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 For each n-gram the ratio r of its smoothed document shares among labelled toxic
-and other texts is counted over all labelled rows; a text's feature is r times
+and other texts is counted over labelled rows; a text's feature is r times
 how densely the n-gram stands in it, and a logistic model weighs the
 features (Wang and Manning, 2012). N-grams are 3 to 6 UTF-8 bytes after A-Z are
 lowered, hashed into 2^18 cells; the cells that tell the classes apart best are kept.
@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyq.llm.common import Shelf, Texts, fresh, give_back, slices, split_by_keys, texts_of, tuned, with_text_batches
+from surveyq.llm.common import Texts, fresh, give_back, slices, texts_of, tuned, with_text_batches
 from surveyq.llm.quality import descend, held_out, known_labels
 
 #: Lengths of the n-grams in bytes, and bits of a cell's number.
 LENGTHS, BITS = (3, 4, 5, 6), 18
 #: Cells that the linear model takes.
 KEPT = 4096
-#: Labelled rows of each class that the linear model trains on at most; the ratios count all labelled rows.
-ROWS = 4_000
+#: Labelled rows of each class that the ratios count, and that the linear model trains on, at most (to some percent: rows are chosen by a hash of their id).
+COUNTED, ROWS = 100_000, 4_000
 #: Weight of a toxic row in training beside another one, and the decay of weights.
 WEIGHT, DECAY = 3.0, 1e-4
 #: Bytes of a text hashed at once.
@@ -134,34 +134,40 @@ def train(row: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, wid
     return descend(np.zeros(width + 1), gradient, steps, rate)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS) -> Model | None:
+def _some(known: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
+    """(id, y): all rows of a class of at most `most` rows, else about as many, by a hash of the id."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    keep = F.lit(False)
+    for y, n in sizes.items():
+        keep |= (F.col("y") == y) & (place < int((1 << 30) * min(1.0, most / n)))
+    return known.where(keep)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", counted: int = COUNTED, rows: int = ROWS
+) -> Model | None:
     """A model of label 1 against the other labels, from rows that are not held out.
 
-    Ratios count every labelled row on the executors; 2^18 cells of two classes
-    at most come to the driver. The linear model trains on at most `rows` rows of each class,
-    those of smallest id hash, which come to the driver as kept features. Of
+    Ratios count about `counted` labelled rows of each class at most, on the executors; their 2^18
+    cells of two classes come to the driver. The linear model trains on about `rows` of each, which come to the
+    driver as kept features. These ids are broadcast, so no text is shuffled. Of
     several labels of an id the largest counts. None unless there are rows of both classes.
     """
-    with Shelf(docs.sparkSession) as shelf:
-        return _fit(shelf, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known_labels(labels, id_col, label_col), rows)
-
-
-def _fit(shelf: Shelf, texts: DataFrame, known: DataFrame, rows: int) -> Model | None:
-    # a bit table tells what surely has no label, so that only labelled texts are shuffled
-    named = split_by_keys(shelf, texts, known.select("id"), ["id"])[0].join(known, "id")
-    text_rows = named.select(F.col("y").cast("long").alias("y"), "text")
+    spark = tuned(docs.sparkSession)
+    known = known_labels(labels, id_col, label_col)
+    sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    of_labels = lambda most: texts.join(F.broadcast(_some(known, sizes, most)), "id").select("id", "y", "text")  # noqa: E731  a bounded broadcast
     counts = np.zeros((2, 1 << BITS))
-    table = _cell_counts(text_rows).toArrow()
+    table = _cell_counts(of_labels(counted).select(F.col("y").cast("long").alias("y"), "text")).toArrow()
     counts[table["y"].to_numpy(), table["cell"].to_numpy()] = table["n"].to_numpy()
     totals = np.zeros(2)
-    for y, n in text_rows.groupBy("y").count().collect():
+    for y, n in of_labels(counted).groupBy("y").count().collect():
         totals[y] = n
     if not totals.all():
         return None
     found = ratios(counts, totals)
-    rank = [F.xxhash64("id"), F.col("id")]
-    some = known.where("y = 1").orderBy(*rank).limit(rows).unionByName(known.where("y = 0").orderBy(*rank).limit(rows))
-    shared = shelf.spark.sparkContext.broadcast(found)
+    shared = spark.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in with_text_batches(batches, "text"):
@@ -171,14 +177,12 @@ def _fit(shelf: Shelf, texts: DataFrame, known: DataFrame, rows: int) -> Model |
                 ["id", "y", "at", "value"],
             )
 
-    kind = dict(named.dtypes)["id"]
-    # twice `rows` ids, whatever the corpus: a bounded broadcast
-    taken = texts.join(F.broadcast(some), "id").select("id", "y", "text")
-    sample = taken.mapInArrow(run, f"id {kind}, y int, at binary, value binary").orderBy("id", "at", "value").toArrow()
+    kind = dict(texts.dtypes)["id"]
+    sample = of_labels(rows).mapInArrow(run, f"id {kind}, y int, at binary, value binary").orderBy("id", "at", "value").toArrow()
     shared.unpersist()
     numbers = [np.frombuffer(b, np.uint16) for b in sample["at"].to_pylist()]
     row = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
-    at = np.concatenate(numbers).astype(np.int64)
+    at = np.concatenate([np.zeros(0, np.uint16), *numbers]).astype(np.int64)
     value = np.frombuffer(b"".join(sample["value"].to_pylist()), np.float32).astype(float)
     w = train(row, at, value, sample["y"].to_numpy(), len(found.ratio))
     return Model(found, w[:-1], float(w[-1]))
