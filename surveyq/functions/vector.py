@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 FLOOR = 1e-8
 
@@ -118,12 +117,17 @@ def kde(df: DataFrame, value: str, by: list[str], bandwidth: float = 0.025, low:
 
 
 def interval_union(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """by, total: the length that intervals [start, end) of a group cover together."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    """by, total: the length that intervals [start, end) of a group cover together.
+
+    The running end of a group comes from ranges with carry, so a group of very many intervals is many tasks.
+    """
+    from surveyq.operators.scans import fresh, running
+
+    reach, = fresh([*by, start, end], "reach")
+    spans = df.where(F.col(end) > F.col(start)).select(*by, start, end).distinct()
     # what an interval adds is its part past everything before it
-    added = F.greatest(F.col(end) - F.greatest(F.col(start), F.coalesce(reach, F.col(start))), F.lit(0))
-    return df.where(F.col(end) > F.col(start)).select(*by, added.alias("a")).groupBy(*by).agg(F.sum("a").alias("total"))
+    added = F.greatest(F.col(end) - F.greatest(F.col(start), F.coalesce(F.col(reach), F.col(start))), F.lit(0))
+    return running(spans, by, [start, end], {reach: ("max", end)}, before=True).groupBy(*by).agg(F.sum(added).alias("total"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from surveyq.functions import scores as S
 from surveyq.functions import text as X
+from surveyq.operators.scans import fresh, ranked
 
 CATEGORIES = ("A", "B", "C", "D")
 
@@ -55,15 +56,14 @@ def expert_profile(claims: DataFrame, by: list[str]) -> DataFrame:
 def dedupe_claims(extracted: DataFrame, by: list[str]) -> DataFrame:
     """by, claim_id, claim, sources: equal claims once, with every sentence they came from, numbered as first seen.
 
-    extracted(by, sentence_idx, claim_idx, sentence, claim).
+    extracted(by, sentence_idx, claim_idx, sentence, claim). Numbers come from
+    running counts over ranges, so a group of very many claims is many tasks.
     """
-    from pyspark.sql.window import Window
-
-    seen = F.struct("sentence_idx", "claim_idx")
+    first, = fresh([*by, "claim", "sources"], "first")
     once = extracted.groupBy(*by, "claim").agg(
-        F.min(seen).alias("__first"), F.array_sort(F.collect_list(F.struct("sentence_idx", "claim_idx", "sentence"))).alias("sources")
+        F.min(F.struct("sentence_idx", "claim_idx")).alias(first), F.array_sort(F.collect_list(F.struct("sentence_idx", "claim_idx", "sentence"))).alias("sources")
     )
-    return once.withColumn("claim_id", F.row_number().over(Window.partitionBy(*by).orderBy("__first", "claim"))).drop("__first")
+    return ranked(once, by, [f"{first}.sentence_idx", f"{first}.claim_idx", "claim"], "claim_id").drop(first)
 
 
 def majority(completions: DataFrame, by: list[str], need: int = 2) -> DataFrame:

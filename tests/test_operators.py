@@ -434,3 +434,43 @@ def test_retries_ask_again_only_what_failed(spark):
     got = sorted((str(r.q), r.x, r.x_status) for r in M.Retrying(Judge(), attempts=2, wait=0.0).ask(df, "q", "x").collect())
     assert Judge.asked == [["a", "b", "z"], ["b", "z"]]
     assert got == [("None", None, "failed"), ("a", "A", "ok"), ("b", "B", "ok"), ("b", "B", "ok"), ("z", None, "failed")]
+
+
+# --- running aggregates ----------------------------------------------------------
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_running_equals_a_window(spark, before):
+    from pyspark.sql.window import Window
+
+    from surveyq.operators.scans import running
+
+    r = random.Random(1)
+    # one group holds most rows and crosses many ranges; nulls in group and value
+    data = [(r.choice(["hot"] * 8 + ["a", "b", None]), i, r.choice([None, 1.5, -2.0, 7.0]), "x", "y") for i in range(900)]
+    df = spark.createDataFrame(data, "g string, o int, v double, part string, lo string").repartition(7)
+    kinds = {"s": "sum", "n": "count", "least": "min", "most": "max"}
+    got = running(df, ["g"], ["o"], {k: (f, "v") for k, f in kinds.items()}, before)
+    w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    want = df.withColumns({k: getattr(F, f)("v").over(w) for k, f in kinds.items()})
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = [*want.columns]
+    assert rows(got, *columns) == rows(want, *columns)
+
+
+def test_ranks_over_all_rows_ties_and_empty_tables(spark):
+    from surveyq.operators.scans import ranked
+
+    df = spark.createDataFrame([(i % 5, "x") for i in range(50)], "o int, every string")
+    got = ranked(df, [], ["o"]).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 51)) and [r.o for r in sorted(got, key=lambda r: r["rank"])] == sorted(i % 5 for i in range(50))
+    assert ranked(df.where("false"), ["o"], ["every"]).count() == 0
+
+
+def test_no_window_over_a_whole_group(spark):
+    claims = spark.createDataFrame([("s", i, 0, "t", f"c{i % 30}") for i in range(90)], "source string, sentence_idx int, claim_idx int, sentence string, claim string")
+    found = G.dedupe_claims(claims, ["source"])
+    assert rows(found.select("claim_id", "claim", F.size("sources").alias("n"))) == sorted(((i + 1, f"c{i}", 3) for i in range(30)), key=str)
+    assert not any("Window" in line and "source" in line.split("Window")[1] for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "rank" in line)
+    spans = spark.createDataFrame([("g", 0, 10), ("g", 5, 12), ("g", 20, 21), ("g", 20, 21), ("g", 3, 3), (None, 1, 4)], "g string, s long, e long")
+    assert rows(V.interval_union(spans, ["g"], "s", "e")) == [("g", 13), (None, 3)]
