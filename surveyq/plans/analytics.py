@@ -87,7 +87,6 @@ def pf3_unpivot(t: Tables) -> DataFrame:
     return M.to_long(lines, ["survey_id", "line"], ["quantity", "discount", "tax"]).where("value IS NOT NULL")
 
 
-pf3_unpivot_whole = pf3_unpivot
 
 
 @query("""SELECT event_id, CASE lower(json_extract_string(props, '$.k')) WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0

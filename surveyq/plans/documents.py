@@ -56,7 +56,6 @@ def t4_loose_title(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.norm_loose("text").alias("t4"))
 
 
-t4_loose_title_whole = t4_loose_title
 
 
 @query("SELECT p_partkey, p_name AS cleaned FROM part")
@@ -120,7 +119,6 @@ def t37_keywords(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.keywords("text").alias("words"))
 
 
-t37_keywords_whole = t37_keywords
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1.0 WHEN p_partkey % 3 = 1 THEN 0.9 ELSE 0.0 END::DOUBLE AS score FROM part""")
@@ -267,7 +265,6 @@ def t47_claim_lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.parse_claim_lines("text").alias("claims"))
 
 
-t47_claim_lines_whole = t47_claim_lines
 
 
 # --- references ---------------------------------------------------------------

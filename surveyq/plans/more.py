@@ -208,7 +208,6 @@ def t33_text_from_index(t: Tables) -> DataFrame:
     return index.select("doc_id", X.blank_to_null(X.text_from_index(F.col("m"))).alias("text"))
 
 
-t33_text_from_index_whole = t33_text_from_index
 
 
 _SQL_PLAIN_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 30)"""

@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from surveyq.plans import analytics, documents, more, records  # noqa: E402, F401  they register their queries
+from surveyq.plans import analytics, corpus, documents, more, records  # noqa: E402, F401  they register their queries
 
 DATA = "/root/testdata"
 
