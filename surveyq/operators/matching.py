@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from surveyq.functions import text as X
+from surveyq.session import kept
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -57,30 +58,81 @@ def lcs_ratio(title: pd.Series, entry: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(e, t) / len(t) if t and e else 0.0 for t, e in zip(title.fillna(""), entry.fillna(""))], dtype=float)
 
 
+#: Lengths of the grams that the index holds; a title uses the longest that its least match allows.
+GRAMS = (8, 4, 2, 1)
+
+
+def _grams(text: str, q: Column) -> Column:
+    """All grams of length q of a text that is at least as long."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(F.col(text), i, q))
+
+
+def _numbered_grams(text: str, q: int) -> Column:
+    """The distinct grams of length q with q; none in a shorter text."""
+    distinct = F.array_distinct(_grams(text, F.lit(q)))
+    return F.when(F.length(text) >= q, F.transform(distinct, lambda g: F.struct(F.lit(q).alias("q"), g.alias("g")))).otherwise(F.array())
+
+
+def gram_candidates(titles: DataFrame, entries: DataFrame, at_least: float) -> DataFrame:
+    """(survey_key, t, e): titles t and entries e of a survey that may share a substring of at_least of the title's length; none such is left out.
+
+    A common substring of length m holds m - q + 1 grams of length q that follow each other, so one of
+    them lies at a place of each residue modulo m - q + 1. A title looks up the
+    grams of one residue only, the one whose grams are in the fewest entries.
+    """
+    n = F.length("t")
+    told = titles.select("survey_key", "t", F.greatest(F.ceil(at_least * n - 1e-9), F.lit(1)).cast("int").alias("need")).where(F.col("need") <= n)
+    longest = F.coalesce(*(F.when(F.col("need") >= q, q) for q in GRAMS))
+    told = told.withColumn("q", longest)
+    used = [r.q for r in told.select("q").distinct().collect()]  # four at most
+    if not used:
+        return titles.join(entries, "survey_key").where("false").select("survey_key", "t", "e")
+    each = F.flatten(F.array(*(_numbered_grams("e", q) for q in used)))
+    index = kept(entries.select("survey_key", "e", F.explode(each).alias("x")).select("survey_key", "e", "x.q", "x.g"), "grams")
+    held = index.groupBy("survey_key", "q", "g").agg(F.count(F.lit(1)).alias("n_entries"))
+    placed = told.select("survey_key", "t", "q", (F.col("need") - F.col("q") + 1).alias("step"), F.posexplode(_grams("t", F.col("q"))).alias("at", "g"))
+    by_residue = placed.join(held, ["survey_key", "q", "g"], "left").groupBy("survey_key", "t", "q", (F.col("at") % F.col("step")).alias("residue")).agg(
+        F.sum(F.coalesce("n_entries", F.lit(0))).alias("cost"), F.collect_set(F.when(F.col("n_entries").isNotNull(), F.col("g"))).alias("gs")
+    )
+    chosen = by_residue.groupBy("survey_key", "t", "q").agg(F.min_by("gs", F.struct("cost", "residue")).alias("gs"))
+    return chosen.select("survey_key", "t", "q", F.explode("gs").alias("g")).join(index, ["survey_key", "q", "g"]).select("survey_key", "t", "e").distinct()
+
+
 def score_pairs(entries: DataFrame, titles: DataFrame, at_least: float) -> DataFrame:
-    """(survey_key, k, j, score) of a survey's entries (k, raw) and titles (j, title) that score at_least."""
-    a = entries.select("survey_key", "k", X.norm_words("raw").alias("__e"))
-    b = titles.select("survey_key", "j", X.norm_words("title").alias("__t")).where("__t <> ''")
-    return a.join(b, "survey_key").select("survey_key", "k", "j", lcs_ratio("__t", "__e").alias("score")).where(F.col("score") >= at_least)
+    """(survey_key, k, j, score) of a survey's entries (k, raw) and titles (j, title) that score at_least.
+
+    Each distinct text is looked up and scored once; candidates come from an
+    index of grams, unless at_least is 0 or less and every pair counts. Titles
+    without letters or digits are in no pair; null texts are empty.
+    """
+    a = entries.select("survey_key", "k", X.norm_words("raw").alias("e"))
+    b = titles.select("survey_key", "j", X.norm_words("title").alias("t")).where("t <> ''")
+    each_e, each_t = a.select("survey_key", "e").distinct(), b.select("survey_key", "t").distinct()
+    may = gram_candidates(each_t, each_e, at_least) if at_least > 0 else each_t.join(each_e, "survey_key")
+    scored = may.withColumn("score", lcs_ratio("t", "e")).where(F.col("score") >= at_least)
+    return scored.join(b, ["survey_key", "t"]).join(a, ["survey_key", "e"]).select("survey_key", "k", "j", "score")
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """(survey_key, k, j, score): best pairs first (then k, j), each k and j once.
 
-    The greedy choice depends on order, so it runs per survey; a survey's
-    bibliography is some hundred entries.
+    In rounds: a pair that is the best of its k and of its j is what the greedy
+    choice takes, whatever comes before it; it is taken and the pairs of its ends go. A
+    round is two aggregates and joins, so a survey is no single task; rounds
+    end when no pair is left. Scores are not null.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        ks, js, keep = set(), set(), []
-        for row in pdf.sort_values(["score", "k", "j"], ascending=[False, True, True]).itertuples():
-            if row.k not in ks and row.j not in js:
-                ks.add(row.k)
-                js.add(row.j)
-                keep.append(row.Index)
-        return pdf.loc[keep]
-
-    return pairs.groupBy("survey_key").applyInPandas(choose, pairs.schema)
+    key = F.struct((-F.col("score")).alias("s"), F.col("k"), F.col("j"))
+    left = kept(pairs.select("survey_key", "k", "j", "score").distinct(), "pairs")
+    taken = []
+    while not left.isEmpty():
+        of_k = left.groupBy("survey_key", "k").agg(F.min(key).alias("b")).select("survey_key", "k", "b.j", (-F.col("b.s")).alias("score"))
+        of_j = left.groupBy("survey_key", "j").agg(F.min(key).alias("b")).select("survey_key", "b.k", "j")
+        taken.append(kept(of_k.join(of_j, ["survey_key", "k", "j"]).select("survey_key", "k", "j", "score"), "taken"))
+        left = kept(left.join(taken[-1].select("survey_key", "k"), ["survey_key", "k"], "left_anti").join(taken[-1].select("survey_key", "j"), ["survey_key", "j"], "left_anti"), "pairs")
+    out = left.select("survey_key", "k", "j", "score")
+    for t in taken:
+        out = out.unionByName(t)
+    return out
 
 
 def resolve_conflicts(picks: DataFrame) -> DataFrame:

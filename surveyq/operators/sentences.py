@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyq.operators.scans import fresh
-from surveyq.session import scratch_folder
+from surveyq.session import kept
 
 #: Thresholds of the published method.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
@@ -104,13 +104,6 @@ def _same(x: str, y: str) -> Column:
     return F.col(f"{x}.lang").eqNullSafe(F.col(f"{y}.lang"))
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder, computed once."""
-    path = scratch_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, kind, a, b, score): the model of each language.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyq.operators import matching as B
 from surveyq.operators import sentences as N
 from surveyq.plans.registry import Tables, query
 
@@ -32,3 +33,34 @@ def t18_trained_sentences(t: Tables) -> DataFrame:
     split = N.split_sentences(t.documents, N.train(t.documents))
     joined = F.array_join("sentences", "\n")
     return split.select("doc_id", "lang", F.size("sentences").cast("long").alias("n_sentences"), F.sha2(joined.cast("binary"), 256).alias("sentences_sha256"))
+
+
+# --- bibliography matching ------------------------------------------------------
+
+_SQL_LCS = """WITH RECURSIVE e AS (SELECT {survey} AS s, p_partkey AS k, trim(regexp_replace(lower(p_brand || ' ' || p_name || ', 2019.'), '[^a-z0-9]+', ' ', 'g')) AS e FROM part),
+t AS (SELECT {survey} AS s, p_partkey AS j, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS t FROM part),
+d AS (SELECT DISTINCT t.s, t, e FROM t JOIN e ON e.s = t.s), n AS (SELECT s, t, e, unnest(range(1, length(t) + 1)) AS i FROM d), m AS (SELECT s, t, e, i, unnest(range(1, length(t) - i + 2)) AS l FROM n),
+c AS (SELECT s, t, e, max(CASE WHEN contains(e, substring(t, i, l)) THEN l ELSE 0 END)::DOUBLE / length(t) AS score FROM m GROUP BY s, t, e),
+p AS (SELECT c.s, k, j, score FROM c JOIN t ON t.s = c.s AND t.t = c.t JOIN e ON e.s = c.s AND e.e = c.e WHERE score >= 0.7)"""
+
+
+def _parts(t: Tables, survey) -> tuple[DataFrame, DataFrame]:
+    entries = t.part.select(survey.alias("survey_key"), F.col("p_partkey").alias("k"), F.concat("p_brand", F.lit(" "), "p_name", F.lit(", 2019.")).alias("raw"))
+    return entries, t.part.select(survey.alias("survey_key"), F.col("p_partkey").alias("j"), F.col("p_name").alias("title"))
+
+
+@query(_SQL_LCS.format(survey="0") + "\nSELECT j, count(*) AS n_entries, sum(k)::BIGINT AS sum_k, max(score) AS best FROM p GROUP BY j")
+def j14_threshold_join(t: Tables) -> DataFrame:
+    """All parts are one survey; the pairs above the threshold, counted for each title."""
+    pairs = B.score_pairs(*_parts(t, F.lit(0)), 0.7)
+    return pairs.groupBy("j").agg(F.count(F.lit(1)).alias("n_entries"), F.sum("k").alias("sum_k"), F.max("score").alias("best"))
+
+
+@query(_SQL_LCS.format(survey="(p_partkey // 100)::BIGINT") + """, r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, k, j) AS r FROM p),
+g AS (SELECT DISTINCT s, 0::BIGINT AS r, []::BIGINT[] AS ks, []::BIGINT[] AS js, NULL::BIGINT AS k, NULL::BIGINT AS j, NULL::DOUBLE AS score FROM p
+UNION ALL SELECT g.s, r.r, CASE WHEN ok THEN list_append(ks, r.k) ELSE ks END, CASE WHEN ok THEN list_append(js, r.j) ELSE js END, CASE WHEN ok THEN r.k END, CASE WHEN ok THEN r.j END, CASE WHEN ok THEN r.score END
+FROM g JOIN r ON r.s = g.s AND r.r = g.r + 1, LATERAL (SELECT NOT list_contains(ks, r.k) AND NOT list_contains(js, r.j) AS ok))
+SELECT s AS survey_key, k, j, score FROM g WHERE k IS NOT NULL""")
+def j14_j15_greedy_match(t: Tables) -> DataFrame:
+    """Every 100 part keys in a row are one survey, so that surveys grow in number and not in size."""
+    return B.greedy_match(B.score_pairs(*_parts(t, F.floor(F.col("p_partkey") / 100)), 0.7))

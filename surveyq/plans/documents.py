@@ -512,15 +512,6 @@ def m11_bleu(t: Tables) -> DataFrame:
     return bleu(halves(t), ["doc_id"], "c", "r").select("doc_id", F.round("bleu", 9).alias("bleu"))
 
 
-@query()
-def j14_j15_greedy_match(t: Tables) -> DataFrame:
-    """Every 100 part keys in a row are one survey, so that surveys grow in number and not in size."""
-    survey = F.floor(F.col("p_partkey") / 100).alias("survey_key")
-    entries = t.part.select(survey, F.col("p_partkey").alias("k"), F.concat("p_brand", F.lit(" "), "p_name", F.lit(", 2019.")).alias("raw"))
-    titles = t.part.select(survey, F.col("p_partkey").alias("j"), F.col("p_name").alias("title"))
-    return B.greedy_match(B.score_pairs(entries, titles, 0.7))
-
-
 @query()
 def c5_cascade(t: Tables) -> DataFrame:
     from surveyq.operators.models import HashEmbedder, OverlapAligner, align_cascade

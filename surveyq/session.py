@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", name: str = "surveyq", **conf: str) -> SparkSession:
@@ -48,6 +48,13 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{where.rstrip('/')}/surveyq-{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df as a table under the shared folder: cuts lineage and is computed once."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> str:
     """Write a few small files through Hadoop's file system, wherever the folder lies; returns the folder."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

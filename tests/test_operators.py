@@ -474,3 +474,44 @@ def test_no_window_over_a_whole_group(spark):
     assert not any("Window" in line and "source" in line.split("Window")[1] for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "rank" in line)
     spans = spark.createDataFrame([("g", 0, 10), ("g", 5, 12), ("g", 20, 21), ("g", 20, 21), ("g", 3, 3), (None, 1, 4)], "g string, s long, e long")
     assert rows(V.interval_union(spans, ["g"], "s", "e")) == [("g", 13), (None, 3)]
+
+
+# --- threshold join and one-to-one matching ----------------------------------------
+
+
+def lcs(a, b):
+    return max((n for n in range(len(a), 0, -1) for i in range(len(a) - n + 1) if a[i : i + n] in b), default=0)
+
+
+@pytest.mark.parametrize("at_least", [0.0, 0.15, 0.5, 0.7, 1.0])
+def test_threshold_join_loses_no_pair(spark, at_least):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 5)))
+    text = lambda n: " ".join(word() for _ in range(r.randint(0, n)))
+    es = [(s, k, None if k == 3 else text(7)) for s in ("x", "y") for k in range(25)]
+    ts = [(s, j, None if j == 3 else text(4)) for s in ("x", "z", "y") for j in range(25)]
+    entries, titles = spark.createDataFrame(es, "survey_key string, k long, raw string"), spark.createDataFrame(ts, "survey_key string, j long, title string")
+    norm = lambda v: " ".join((v or "").split())
+    want = {(s, k, j, lcs(norm(t), norm(e)) / len(norm(t))) for s, k, e in es for s2, j, t in ts if s == s2 and norm(t)}
+    assert {tuple(x) for x in B.score_pairs(entries, titles, at_least).collect()} == {x for x in want if x[3] >= at_least}
+
+
+def test_candidates_are_few(spark):
+    texts = [f"{a} {b} survey of methods" for a in ("deep", "graph", "causal", "sparse", "robust") for b in ("nets", "trees", "flows", "models", "agents")]
+    t, e = (spark.createDataFrame([("s", x) for x in texts], f"survey_key string, {c} string") for c in "te")
+    may = B.gram_candidates(t, e, 0.95).count()
+    assert 25 <= may <= 60 and B.gram_candidates(t, e, 1.5).count() == 0  # 625 pairs; " survey of methods" is in all of them
+
+
+def test_rounds_equal_the_sequential_choice(spark):
+    r = random.Random(9)
+    pairs = {(s, k, j): r.choice([0.5, 0.7, 0.7, 0.9]) for s in "ab" for k in range(12) for j in range(12) if r.random() < 0.5}
+    pairs |= {("c", i, i): 1 - i / 100 for i in range(20)} | {("c", i + 1, i): 1 - (i + 0.5) / 100 for i in range(19)}  # a chain: a round each
+    want, used = set(), set()
+    for (s, k, j), score in sorted(pairs.items(), key=lambda x: (-x[1], x[0][1], x[0][2])):
+        if (s, "k", k) not in used and (s, "j", j) not in used:
+            used |= {(s, "k", k), (s, "j", j)}
+            want.add((s, k, j, score))
+    df = spark.createDataFrame([(*k, v) for k, v in pairs.items()], "survey_key string, k long, j long, score double")
+    assert {tuple(x) for x in B.greedy_match(df).collect()} == want
+    assert B.greedy_match(df.where("false")).count() == 0
