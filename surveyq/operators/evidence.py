@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyq.functions import text as X
+from surveyq.operators.quantiles import summarised
+from surveyq.operators.scans import fresh
 
 
 def evidence_key(df_arxiv: Column, df_ss: Column, df_doc: Column) -> Column:
@@ -36,7 +38,9 @@ def waterfall(refs: DataFrame, tiers: list[tuple[str, DataFrame, str, str]], val
     """
     out = refs
     for i, (_, table, key, column) in enumerate(tiers):
-        one = table.select(F.col(key).alias(f"__k{i}"), F.col(column).alias(f"__v{i}")).groupBy(f"__k{i}").agg(
+        asked = refs.where(F.col(key).isNotNull()).select(F.col(key).alias(f"__a{i}")).distinct()
+        rows = table.select(F.col(key).alias(f"__k{i}"), F.col(column).alias(f"__v{i}"))
+        one = rows.join(asked, F.col(f"__k{i}") == F.col(f"__a{i}"), "left_semi").groupBy(f"__k{i}").agg(
             F.max(F.struct(X.blank_to_null(f"__v{i}").isNotNull().alias("some"), F.col(f"__v{i}").alias("v")))["v"].alias(f"__v{i}"), F.lit(True).alias(f"__r{i}")
         )
         out = out.join(one, F.col(key) == F.col(f"__k{i}"), "left")
@@ -101,12 +105,14 @@ def coverage(evidence: DataFrame, by: list[str]) -> DataFrame:
     a, t = X.blank_to_null("abstract").isNotNull(), X.blank_to_null("text").isNotNull()
     size = F.when(t, F.length("text").cast("double"))
     n = F.count(F.lit(1))
-    return evidence.groupBy(*by).agg(
+    length, = fresh(evidence.columns, "text_length")
+    found = summarised(
+        evidence.withColumn(length, size), by, length, {"text_median": 0.5},
         n.alias("n_refs"), F.count_if(a).alias("n_abstract"), F.count_if(t).alias("n_text"), F.count_if(a & t).alias("n_both"),
         F.count_if(a & ~t).alias("n_abstract_only"), F.count_if(~a & t).alias("n_text_only"), F.count_if(~a & ~t).alias("n_neither"),
-        (F.count_if(t) / n).alias("text_rate"), F.min(size).alias("text_min"), F.percentile(size, F.lit(0.5)).alias("text_median"),
-        F.avg(size).alias("text_mean"), F.max(size).alias("text_max"),
+        (F.count_if(t) / n).alias("text_rate"), F.min(size).alias("text_min"), F.avg(size).alias("text_mean"), F.max(size).alias("text_max"),
     )
+    return found.select(*(c for c in found.columns if c not in ("text_median", "text_mean", "text_max")), "text_median", "text_mean", "text_max")
 
 
 def source_histogram(evidence: DataFrame, source: str) -> DataFrame:
@@ -122,7 +128,5 @@ def error_summary(evidence: DataFrame, errors: str, by: list[str]) -> DataFrame:
 
 def rate_stats(coverage: DataFrame, rate: str) -> DataFrame:
     """n, mean, min, median and max of a per-survey rate."""
-    return coverage.agg(
-        F.count(rate).alias("n"), F.avg(rate).alias("mean"), F.min(rate).alias("min"),
-        F.percentile(rate, F.lit(0.5)).alias("median"), F.max(rate).alias("max"),
-    )
+    found = summarised(coverage, [], rate, {"median": 0.5}, F.count(rate).alias("n"), F.avg(rate).alias("mean"), F.min(rate).alias("min"), F.max(rate).alias("max"))
+    return found.select("n", "mean", "min", "median", "max")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from surveyq.functions import scores as S
 from surveyq.functions import text as X
+from surveyq.operators.quantiles import summarised
 from surveyq.operators.scans import fresh, ranked
 
 CATEGORIES = ("A", "B", "C", "D")
@@ -110,11 +111,11 @@ def topic_pairs(generated: DataFrame, human: DataFrame, topic: str = "topic") ->
 
 def section_lengths(sections: DataFrame, by: list[str]) -> DataFrame:
     """by, n, n_failed, and quartiles of the length of what was found. sections(by, length), null where it failed."""
-    q = lambda p: F.percentile("length", F.lit(p))
-    return sections.groupBy(*by).agg(
-        F.count("length").alias("n"), F.count_if(F.col("length").isNull()).alias("n_failed"), F.avg("length").alias("mean"),
-        q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("length").alias("max"),
+    quarters = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    found = summarised(
+        sections, by, "length", quarters, F.count("length").alias("n"), F.count_if(F.col("length").isNull()).alias("n_failed"), F.avg("length").alias("mean"), F.max("length").alias("max")
     )
+    return found.select(*by, "n", "n_failed", "mean", *quarters, "max")
 
 
 def citation_quality(nli: DataFrame, by: list[str]) -> DataFrame:

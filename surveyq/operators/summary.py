@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surveyq.operators.quantiles import summarised
 from surveyq.session import scratch_folder
 
 
@@ -43,11 +44,11 @@ def distinct_runs(runs: DataFrame, by: list[str], recency: str) -> DataFrame:
 
 def metric_summary(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """by, n, mean, std_sample, std_pop, min, q25, median, q75, max; groups of null keys stay, null values don't count."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return long.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_sample"), F.stddev_pop(value).alias("std_pop"),
-        F.min(value).alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max(value).alias("max"),
-    )
+    quarters = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    return summarised(
+        long, by, value, quarters, F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_sample"), F.stddev_pop(value).alias("std_pop"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
+    ).select(*by, "n", "mean", "std_sample", "std_pop", "min", *quarters, "max")
 
 
 def paired_delta(long: DataFrame, a: str, b: str, model: str = "model", on: tuple[str, ...] = ("survey_id", "metric"), value: str = "value") -> DataFrame:
@@ -59,14 +60,12 @@ def paired_delta(long: DataFrame, a: str, b: str, model: str = "model", on: tupl
 
 def delta_summary(deltas: DataFrame, by: list[str], delta: str = "delta") -> DataFrame:
     """by, n, mean, std_pop, min, q10, q25, median, q75, q90, max, share_up and share_down in percent."""
-    q = lambda p: F.percentile(delta, F.lit(p))
     share = lambda test: 100 * F.avg(test.cast("int").cast("double"))
-    d = F.col(delta)
-    return deltas.groupBy(*by).agg(
-        F.count(delta).alias("n"), F.avg(delta).alias("mean"), F.stddev_pop(delta).alias("std_pop"), F.min(delta).alias("min"),
-        q(0.1).alias("q10"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), q(0.9).alias("q90"), F.max(delta).alias("max"),
-        share(d > 0).alias("share_up"), share(d < 0).alias("share_down"),
-    )
+    d, levels = F.col(delta), {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
+    return summarised(
+        deltas, by, delta, levels, F.count(delta).alias("n"), F.avg(delta).alias("mean"), F.stddev_pop(delta).alias("std_pop"), F.min(delta).alias("min"),
+        F.max(delta).alias("max"), share(d > 0).alias("share_up"), share(d < 0).alias("share_down"),
+    ).select(*by, "n", "mean", "std_pop", "min", *levels, "max", "share_up", "share_down")
 
 
 def wide_means(long: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyq.functions import variant as J
 from surveyq.operators import matching as B
 from surveyq.operators import sentences as N
+from surveyq.operators.quantiles import select_quantiles
 from surveyq.plans.registry import Tables, query
 
 # --- trained sentence splitting -------------------------------------------------
@@ -64,3 +66,39 @@ SELECT s AS survey_key, k, j, score FROM g WHERE k IS NOT NULL""")
 def j14_j15_greedy_match(t: Tables) -> DataFrame:
     """Every 100 part keys in a row are one survey, so that surveys grow in number and not in size."""
     return B.greedy_match(B.score_pairs(*_parts(t, F.floor(F.col("p_partkey") / 100)), 0.7))
+
+
+# --- quantiles of large groups ----------------------------------------------------
+
+
+@query("""SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS q10, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.99) AS q99
+FROM (SELECT l_returnflag, l_extendedprice FROM lineitem UNION ALL SELECT 'all', l_extendedprice FROM lineitem) GROUP BY 1""".replace("quantile_cont(", "round(quantile_cont(").replace(") AS", "), 6) AS"))
+def ag9_selected_quantiles(t: Tables) -> DataFrame:
+    """Quantiles by passes of counting: each flag, and one group of all rows."""
+    prices = t.lineitem.select("l_returnflag", "l_extendedprice")
+    both = prices.unionByName(prices.withColumn("l_returnflag", F.lit("all")))
+    names = {"q10": 0.1, "median": 0.5, "q99": 0.99}
+    return select_quantiles(both, ["l_returnflag"], "l_extendedprice", names).select("l_returnflag", *(F.round(n, 6).alias(n) for n in names))
+
+
+# --- free-form JSON as variants -----------------------------------------------------
+
+_SQL_PROPS = "p AS (SELECT click_id, CASE WHEN json_valid(props) THEN props::JSON END AS p FROM clicks)"
+
+
+@query(f"""WITH {_SQL_PROPS} SELECT click_id, p->>'$.k' AS k, p->>'$.device.os' AS device_os, p->>'$.device.ver' AS device_ver,
+CASE WHEN json_type(p, '$.tags') = 'ARRAY' THEN array_to_string(CAST(p->'$.tags' AS VARCHAR[]), ',') END AS tags,
+CASE WHEN json_type(p, '$.items') = 'ARRAY' THEN json_array_length(p, '$.items')::INT END AS n_items FROM p""")
+def x10_click_props(t: Tables) -> DataFrame:
+    """All paths of the clicks' properties as typed columns; broken texts give nulls."""
+    wide = J.shredded(t.clicks.select("click_id", "props"), "props")
+    return wide.select("click_id", "k", "device_os", "device_ver", F.array_join("tags", ",").alias("tags"), F.when(F.col("items").isNotNull(), F.size("items")).alias("n_items"))
+
+
+@query(f"""WITH {_SQL_PROPS}, i AS (SELECT click_id, unnest(CAST(p->'$.items[*]' AS JSON[])) AS i, generate_subscripts(CAST(p->'$.items[*]' AS JSON[]), 1) - 1 AS pos FROM p)
+SELECT click_id, pos::INT AS pos, (i->>'$.sku')::BIGINT AS sku, (i->>'$.qty')::BIGINT AS qty FROM i""")
+def x10_click_items(t: Tables) -> DataFrame:
+    """The records nested in the properties, a row each."""
+    items = J.Path(("items",), "array<struct<sku:bigint,qty:bigint>>")
+    wide = J.shredded(t.clicks.select("click_id", "props"), "props", [items])
+    return wide.select("click_id", F.posexplode("items").alias("pos", "i")).select("click_id", "pos", "i.sku", "i.qty")

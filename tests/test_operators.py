@@ -515,3 +515,33 @@ def test_rounds_equal_the_sequential_choice(spark):
     df = spark.createDataFrame([(*k, v) for k, v in pairs.items()], "survey_key string, k long, j long, score double")
     assert {tuple(x) for x in B.greedy_match(df).collect()} == want
     assert B.greedy_match(df.where("false")).count() == 0
+
+
+# --- quantiles -----------------------------------------------------------------------
+
+
+def test_selected_quantiles_equal_percentile_bit_by_bit(spark):
+    from surveyq.operators.quantiles import select_quantiles, summarised
+
+    r = random.Random(4)
+    inf, nan = float("inf"), float("nan")
+    values = {"wide": [r.uniform(-1, 1) * 10 ** r.randint(-3, 3) for _ in range(500)], "few": [1.5, 2.0, 2.0, -7.25] * 50, "one": [3.0], "ends": [inf, -inf, nan, 1.7e308, -1.7e308, 0.5, None] * 9, None: [float(i) for i in range(101)], "none": [None]}
+    df = spark.createDataFrame([(g, v, "x", 1) for g, vs in values.items() for v in vs], "g string, v double, lo string, rank int").repartition(5)
+    ps = {"a": 0.0, "b": 0.1, "c": 0.25, "d": 0.5, "e": 0.9, "f": 1.0, "h": 1 / 3}
+    want = {x.g: [repr(x[n]) for n in ps] for x in df.groupBy("g").agg(*(F.percentile("v", F.lit(p)).alias(n) for n, p in ps.items())).collect()}
+    got = {x.g: [repr(x[n]) for n in ps] for x in select_quantiles(df, ["g"], "v", ps, bins=64).collect()}
+    assert got == {g: v for g, v in want.items() if g != "none"}
+    mixed = {x.g: [repr(x[n]) for n in ps] + [x.n] for x in summarised(df, ["g"], "v", ps, F.count("v").alias("n"), large=60).collect()}
+    assert mixed == {g: v + [sum(y is not None for y in values[g])] for g, v in want.items()}
+    whole = summarised(df, [], "v", {"m": 0.5}, F.count("v").alias("n"), large=10).head()
+    assert (whole.m, whole.n) == tuple(df.agg(F.percentile("v", F.lit(0.5)), F.count("v")).head())
+    assert summarised(df.where("false"), ["g"], "v", ps).count() == 0
+
+
+def test_one_large_group_over_all_rows(spark):
+    from surveyq.operators.quantiles import select_quantiles
+
+    rows_ = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_extendedprice")
+    ps = {f"q{i}": i / 100 for i in (0, 1, 25, 50, 77, 99, 100)}
+    want = rows_.agg(*(F.percentile("l_extendedprice", F.lit(p)).alias(n) for n, p in ps.items())).head()
+    assert select_quantiles(rows_, [], "l_extendedprice", ps).head() == want
