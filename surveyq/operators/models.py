@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from surveyq.functions import text as X
 from surveyq.functions import vector as V
-from surveyq.session import scratch_folder
+from surveyq.session import kept, scratch_folder
 
 
 class Embedder(Protocol):
@@ -154,8 +154,8 @@ def cached(requests: DataFrame, cache: DataFrame, key: str, answer: str, call: C
     missing requests and adds answer and `status`.
     """
     missing = requests.dropDuplicates([key]).join(cache.select(key), key, "left_anti")
-    # written once by the caller's session cache, so the backend is not called again by the second use
-    fresh = call(missing).select(key, answer, "status").persist()
+    # written once, so that neither a second use nor a lost executor calls the backend again
+    fresh = kept(call(missing).select(key, answer, "status"), "answers")
     known = cache.select(key, answer, F.lit("ok").alias("status"), F.lit(True).alias("from_cache"))
     answers = known.unionByName(fresh.withColumn("from_cache", F.lit(False)))
     return requests.join(answers, key, "left"), fresh.where(F.col("status") != "failed").select(key, answer)

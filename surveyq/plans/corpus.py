@@ -10,6 +10,8 @@ from surveyq.operators import matching as B
 from surveyq.operators import sentences as N
 from surveyq.operators.quantiles import select_quantiles
 from surveyq.plans.registry import Tables, query
+from surveyq.session import scratch_folder
+from surveyq.streaming import attempts as A
 
 # --- trained sentence splitting -------------------------------------------------
 
@@ -102,3 +104,20 @@ def x10_click_items(t: Tables) -> DataFrame:
     items = J.Path(("items",), "array<struct<sku:bigint,qty:bigint>>")
     wide = J.shredded(t.clicks.select("click_id", "props"), "props", [items])
     return wide.select("click_id", F.posexplode("items").alias("pos", "i")).select("click_id", "pos", "i.sku", "i.qty")
+
+
+# --- resumable work as a stateful stream ---------------------------------------------
+
+
+@query("""WITH a AS (SELECT user_id, epoch_us(ts) AS at_us, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('purchase', 'error')),
+d AS (SELECT user_id, least(min(n) FILTER (ok), 3) AS first_ok, max(n) AS total FROM a GROUP BY 1)
+SELECT a.user_id AS survey_key, CASE WHEN ok THEN 'valid' ELSE 'given_up' END AS status, n::INT AS n_attempts, at_us FROM a JOIN d ON d.user_id = a.user_id AND a.n = coalesce(first_ok, 3) WHERE coalesce(first_ok, 3) <= total""")
+def sk3_c10_attempts(t: Tables) -> DataFrame:
+    """Each user's purchases and errors as valid and failed attempts: the decision on each user, from a stateful stream over the events."""
+    session = A.state_session(t.spark)
+    # a pattern, as a file stream takes a plain path for a folder
+    events = session.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]").where("event_type IN ('purchase', 'error')")
+    decided = A.attempt_decisions(events.withColumn("ok", F.col("event_type") == "purchase"), "user_id", "ts", "event_id", "ok")
+    out = scratch_folder(t.spark, "decisions")
+    A.run_attempts(decided, out, scratch_folder(t.spark, "decisions-state"))
+    return t.spark.read.schema(decided.schema).parquet(out).where("status <> 'due'")
