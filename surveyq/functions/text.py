@@ -527,6 +527,12 @@ def excerpt(sentences: Column, i: Column, before: int, after: int, edge: str = "
     return F.array_join(parts, "\n")
 
 
+def neighbours(sentences: Column, i: Column, before: int, after: int) -> Column:
+    """(before, after): the sentences next to sentence i (from 0), as far as there are any."""
+    start = F.greatest(i - before, F.lit(0))
+    return F.struct(F.slice(sentences, start + 1, i - start).alias("before"), F.slice(sentences, i + 2, F.lit(after)).alias("after"))
+
+
 def snippet(sentences: Column, i: Column) -> Column:
     """Three sentences before, sentence i marked, one after; in texts of more than five sentences the first goes ahead."""
     some = lambda a, n: F.trim(F.array_join(F.slice(sentences, a + 1, n), " "))

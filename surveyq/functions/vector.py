@@ -106,6 +106,11 @@ def similarity_bucket(sim: Column, edges: tuple[float, ...] = EDGES) -> Column:
     return out
 
 
+def bucket_counts(df: DataFrame, sim: str, edges: tuple[float, ...] = EDGES) -> DataFrame:
+    """bucket, n: how many similarities fall into each bucket; those outside all under a null bucket."""
+    return df.groupBy(similarity_bucket(F.col(sim), edges).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def kde(df: DataFrame, value: str, by: list[str], bandwidth: float = 0.025, low: float = 0.0, high: float = 1.0, points: int = 101) -> DataFrame:
     """by, x, density: Gaussian kernel density of value on a grid of `points` places."""
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * ((high - low) / (points - 1))))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surveyq.operators.scans import ranked
+
 #: Rows of a block; two blocks and their product are held at once.
 BLOCK = 1024
 
@@ -68,6 +70,11 @@ def top_neighbours(pairs: DataFrame, group: str, k: int, at_least: float | None
     return best.select(group, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity").distinct()
 
 
+def by_similarity(pairs: DataFrame, group: str, name: str = "place") -> DataFrame:
+    """pairs with their place in their group, from 1: most similar first, then by i and j. No group is in one task."""
+    return ranked(pairs, [group], [F.desc("similarity"), "i", "j"], name)
+
+
 def repetition_share(duplicates: DataFrame, sentences: DataFrame, group: str) -> DataFrame:
     """group, n_sentences, n_repeated, m_rep: sentences in some duplicate pair over all; 0 with fewer than two."""
     ends = duplicates.select(group, F.explode(F.array("i", "j")).alias("s")).distinct()

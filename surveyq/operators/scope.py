@@ -90,6 +90,11 @@ def claim_sources(claims: DataFrame) -> DataFrame:
     )
 
 
+def citation_union(refs: str) -> Column:
+    """Aggregate: all citations of a group's lists, once, sorted."""
+    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(refs))))
+
+
 def claim_scopes(claims: DataFrame, surveys: DataFrame, level: str = "section", depth: int | None = None) -> DataFrame:
     """survey_key, claim_id, claim, resolution, spans, scope_refs, scope_failed of each claim.
 
@@ -108,7 +113,7 @@ def claim_scopes(claims: DataFrame, surveys: DataFrame, level: str = "section",
         F.first("claim").alias("claim"),
         F.min("at.resolution").alias("resolution"),
         F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("scope_refs"),
+        citation_union("refs").alias("scope_refs"),
         F.bool_and(F.col("at").isNull()).alias("scope_failed"),
     )
 

@@ -115,6 +115,16 @@ def numeric_then_text(column: Column) -> list[Column]:
     return [n.isNull().asc(), n.asc(), column.asc()]
 
 
+def first_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first n rows of an order: a top-k, not a full sort."""
+    return df.orderBy(*order).limit(n)
+
+
+def of_systems(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+    """Rows whose system is listed, whatever the case; no list means all."""
+    return df.where(F.lower(column).isin([w.lower() for w in wanted])) if wanted else df
+
+
 def up_to_id(df: DataFrame, column: str, limit: int) -> DataFrame:
     """Rows whose id is a number not above limit; ids that are no number go."""
     return df.where(F.col(column).try_cast("bigint") <= limit)

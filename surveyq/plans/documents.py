@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from surveyq.functions import text as X
 from surveyq.operators import citations as C
@@ -237,10 +236,13 @@ def t39_snippet(t: Tables) -> DataFrame:
     return rows.select("doc_id", X.snippet(F.col("s"), F.lit(1)).alias("snippet"))
 
 
-@query("""SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query(f"""WITH s AS (SELECT doc_id, {_sql_sentences()} AS s FROM documents), e AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)
+SELECT doc_id, (i - 1)::INT AS i, array_to_string(s[greatest(i - 2, 1) : i - 1], ' ') AS before, array_to_string(s[i + 1 : i + 2], ' ') AS after FROM e""")
 def w7_neighbours(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", "turn", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
+    """The two sentences before and after each sentence."""
+    each = t.documents.select("doc_id", X.split_sentences("text").alias("s")).select("doc_id", "s", F.posexplode("s").alias("i", "own"))
+    around = X.neighbours(F.col("s"), F.col("i"), 2, 2)
+    return each.select("doc_id", "i", F.array_join(around["before"], " ").alias("before"), F.array_join(around["after"], " ").alias("after"))
 
 
 @query("SELECT event_id, (event_id * 37) % 140 AS raw, least((event_id * 37) % 140, 100)::INT AS score, CASE event_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'TIE' END AS winner FROM events")

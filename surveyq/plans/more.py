@@ -44,7 +44,9 @@ def sc16_legacy_records(t: Tables) -> DataFrame:
     new = t.orders.where(even).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("query"))
     old = t.orders.where(~even).select(F.col("o_orderkey").alias("topic_id"), F.col("o_orderstatus").alias("survey_title"))
     both = new.unionByName(old, allowMissingColumns=True)
-    return both.select(F.coalesce("id", "topic_id").alias("id"), F.coalesce("query", "survey_title").alias("title"))
+    raw = F.from_json(F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.col("topic_id").cast("string").alias("topic_id"), "query", F.col("survey_title").alias("topic"))), R.GENERATION)
+    found = R.generations_of(both.select(raw.alias("g")).select("g.*", F.lit("set_model").alias("dir"), F.lit("1").alias("stem")))
+    return found.select(F.col("id").cast("long").alias("id"), F.col("query").alias("title"))
 
 
 @query("SELECT DISTINCT 'run_' || lower(o_orderstatus) || '_k' || (o_custkey % 3) AS run FROM orders")
@@ -112,14 +114,16 @@ def j17_unmatched(t: Tables) -> DataFrame:
     return left.groupBy("survey_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'own title' END AS title, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'own url' END AS url FROM part""")
+@query("""WITH i AS (SELECT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS norm, min(p_partkey) AS doc_id FROM part WHERE p_size <= 25 GROUP BY 1)
+SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'own title' END AS title, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'own url' END AS url, CASE WHEN p_size % 2 = 0 THEN doc_id END AS doc_id
+FROM part LEFT JOIN i ON norm = regexp_replace(lower(p_name), '[^a-z]', '', 'g')""")
 def j18_enrichment(t: Tables) -> DataFrame:
     refs = t.part.select(F.col("p_partkey").alias("k"), F.lit("own title").alias("title"), F.lit("own url").alias("url"), F.lit("").alias("arxiv_id"))
     service = t.part.select(
         F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("").alias("title"), F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("url")
     )
-    index = t.part.where("false").select(F.lit("x").alias("norm_title"), F.col("p_partkey").alias("doc_id"))
-    return C.enrich_references(refs, service, index, ["k"]).select("k", "title", "url")
+    index = t.part.where("p_size <= 25").groupBy(X.norm_title("p_name").alias("norm_title")).agg(F.min("p_partkey").alias("doc_id"))
+    return C.enrich_references(refs, service, index, ["k"]).select("k", "title", "url", "doc_id")
 
 
 @query("SELECT l_partkey AS key, count(*) AS n, min(p_name) AS fetched FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 25 GROUP BY 1")
@@ -259,11 +263,6 @@ def v5_pca(t: Tables) -> DataFrame:
     return dots.select("vec_id", "group", "x", "y")
 
 
-@query("""SELECT label % 3 AS bucket, count(*) AS n FROM embeddings GROUP BY 1""")
-def ag28_bucket_counts(t: Tables) -> DataFrame:
-    return t.embeddings.groupBy((F.col("label") % 3).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _SQL_BUCKET = "CASE " + " ".join(f"WHEN v >= {a!r}::DOUBLE AND v < {b!r}::DOUBLE THEN {i}" for i, (a, b) in enumerate(zip(V.EDGES, V.EDGES[1:]))) + " END"
 
 
@@ -368,10 +367,15 @@ def w8_sample(t: Tables) -> DataFrame:
     return U.sample_rows(t.orders.select("o_orderkey"), 50, 42, "o_orderkey")
 
 
+@query(f"SELECT {_SQL_BUCKET} AS bucket, count(*) AS n FROM (SELECT l_discount * 10 AS v FROM lineitem) GROUP BY 1")
+def ag28_bucket_counts(t: Tables) -> DataFrame:
+    return V.bucket_counts(t.lineitem.select((F.col("l_discount") * 10).alias("similarity")), "similarity")
+
+
 @query("SELECT o_custkey AS k, list_sort(list(DISTINCT x)) AS refs FROM (SELECT o_custkey, unnest([o_orderkey % 5, o_orderkey % 7]) AS x FROM orders) GROUP BY 1")
 def s1_citation_union(t: Tables) -> DataFrame:
-    each = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(F.array(F.col("o_orderkey") % 5, F.col("o_orderkey") % 7)).alias("r"))
-    return each.select("k", F.sort_array(F.array_distinct(F.flatten("r"))).alias("refs"))
+    each = t.orders.select(F.col("o_custkey").alias("k"), F.array(F.col("o_orderkey") % 5, F.col("o_orderkey") % 7).alias("r"))
+    return each.groupBy("k").agg(O.citation_union("r").alias("refs"))
 
 
 @query("SELECT DISTINCT c_mktsegment AS kind, max(c_custkey) AS at FROM customer GROUP BY 1")
@@ -443,11 +447,14 @@ def c8_per_ref_alignment(t: Tables) -> DataFrame:
     return c8_per_ref_alignment_whole(t).select("doc_id", F.round("alignscore", 6).alias("alignscore"), "best_ref")
 
 
-@query("SELECT upper(substring(o_orderpriority, 1, 1)) AS raw, 'A' AS category, 'low' AS confidence, count(*) AS n FROM orders GROUP BY 1")
+@query("""WITH a AS (SELECT CASE WHEN o_custkey % 7 > 0 THEN chr((65 + o_custkey % 6)::INT) END AS letter FROM orders)
+SELECT letter, CASE WHEN letter <= 'D' THEN letter ELSE 'A' END AS category, CASE WHEN letter <= 'D' THEN 'high' ELSE 'low' END AS confidence, count(*) AS n FROM a GROUP BY 1""")
 def m5_categories(t: Tables) -> DataFrame:
-    raw = F.substring("o_orderpriority", 1, 1)
-    category, confidence = M.category(raw)
-    return t.orders.groupBy(F.upper(raw).alias("raw"), category.alias("category"), confidence.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+    """Answers A to F in either case with white space, and no answer: letters beyond D and none fall back."""
+    letter = F.when(F.col("o_custkey") % 7 > 0, F.char(65 + F.col("o_custkey") % 6))
+    said = F.concat(F.lit(" "), F.when(F.col("o_orderkey") % 2 == 0, F.lower(letter)).otherwise(letter), F.lit("\n"))
+    category, confidence = M.category(said)
+    return t.orders.groupBy(letter.alias("letter"), category.alias("category"), confidence.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 2 = 0 AS is_critical, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE (o_orderkey % 5 + 1)::INT END AS modality_level FROM orders")

@@ -19,6 +19,7 @@ from surveyq.operators import citations as C
 from surveyq.operators import evidence as E
 from surveyq.operators import matching as B
 from surveyq.operators import models as M
+from surveyq.operators import pairs as P
 from surveyq.operators import scope as O
 from surveyq.operators import scoring as G
 from surveyq.operators import summary as U
@@ -197,8 +198,7 @@ def pf9_numeric_refs(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderpriority AS system, count(*) AS n FROM orders WHERE lower(o_orderpriority) IN ('1-urgent', '5-low') GROUP BY 1")
 def pf12_systems(t: Tables) -> DataFrame:
-    wanted = ["1-URGENT", "5-low"]
-    return t.orders.where(F.lower("o_orderpriority").isin([w.lower() for w in wanted])).groupBy(F.col("o_orderpriority").alias("system")).agg(F.count(F.lit(1)).alias("n"))
+    return U.of_systems(t.orders, "o_orderpriority", ["1-URGENT", "5-low"]).groupBy(F.col("o_orderpriority").alias("system")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- texts --------------------------------------------------------------------
@@ -319,16 +319,14 @@ def ag30_claims_per_survey(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey, l_linenumber) AS place FROM lineitem")
 def w5_pairs_by_similarity(t: Tables) -> DataFrame:
     """The order of pairs, most similar first, as a place in each group."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_discount"), "l_orderkey", "l_linenumber")
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("place"))
+    pairs = t.lineitem.select("l_suppkey", F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_discount").alias("similarity"))
+    return P.by_similarity(pairs, "l_suppkey").select(F.col("i").alias("l_orderkey"), F.col("j").alias("l_linenumber"), "place")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def w9_first_rows(t: Tables) -> DataFrame:
     """The first 100 by an order: a top-k report."""
-    return t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey")
+    return U.first_rows(t.orders.select("o_orderkey", "o_totalprice"), 100, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey")
 
 
 # --- model steps with the stand-in backends -----------------------------------
@@ -342,6 +340,8 @@ def m1_embedding(t: Tables) -> DataFrame:
     return e.select("doc_id", (F.pmod(F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("long"), F.lit(2)) == 0).alias("even"))
 
 
+#: Words of the last third of a text's second half, in the terms of _HALF_WORDS.
+_SQL_THIRD = """list_distinct(list_filter(string_split(trim(regexp_replace(lower(substring(substring(t, h + 1), ((2 * (length(t) - h) + 2) // 3)::BIGINT + 1)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"""
 _HALF_WORDS = """SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(substring(t, 1, h)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS c,
   list_distinct(list_filter(string_split(trim(regexp_replace(lower(substring(t, h + 1)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS r
   FROM (SELECT doc_id, coalesce(text, '') AS t, ((length(coalesce(text, '')) + 1) // 2)::BIGINT AS h FROM documents)"""
@@ -381,14 +381,21 @@ def m9_entry_picks(t: Tables) -> DataFrame:
     return B.resolve_conflicts(picks.distinct()).select("survey_key", "k", "j")
 
 
-@query(f"""WITH w AS ({_HALF_WORDS}) SELECT doc_id AS survey_key, 1 AS claim_id, round(CASE WHEN len(r) > 0 THEN len(list_intersect(r, c))::DOUBLE / len(r) ELSE 0 END, 6) AS alignscore FROM w""")
+@query(f"""WITH w AS ({_HALF_WORDS.replace("AS r", "AS r, " + _SQL_THIRD + " AS x", 1)}), a AS (SELECT *, len(list_intersect(r, c))::DOUBLE / len(r) AS a, len(list_intersect(r, c || x || ['abstract', 'full', 'text']))::DOUBLE / len(r) AS f FROM w WHERE len(r) > 0)
+SELECT doc_id AS survey_key, 1 AS claim_id, round(CASE WHEN a < 0.75 AND len(x) > 0 THEN greatest(a, f) ELSE a END, 6) AS alignscore FROM a
+UNION ALL SELECT doc_id, 1, 0 FROM w WHERE len(r) = 0""")
 def c6_cascade_concat(t: Tables) -> DataFrame:
-    """The claim level with abstracts alone: one premise, and no full text to go on to."""
+    """The claim level: each second half against the first, and where that is too little also against chunks of a full text.
+
+    The full text is the last third; so many chunks are taken that the embedder's order doesn't count and SQL can follow.
+    """
+    third = F.substring("r", F.ceil(2 * F.length("r") / 3).cast("int") + 1, F.length("r"))
     claims = halves(t).select(
         F.col("doc_id").alias("survey_key"), F.lit(1).alias("claim_id"), F.lit(1).alias("idx"), F.lit(0).alias("pos"), F.col("r").alias("claim"),
-        F.col("c").alias("abstract"), F.lit(None).cast("string").alias("full_text"),
+        F.col("c").alias("abstract"), third.alias("full_text"),
     )
-    return M.align_cascade_concat(claims, M.OverlapAligner(), M.HashEmbedder(), ["survey_key", "claim_id"]).select("survey_key", "claim_id", F.round("alignscore", 6).alias("alignscore"))
+    scored = M.align_cascade_concat(claims, M.OverlapAligner(), M.HashEmbedder(), ["survey_key", "claim_id"], top_k=1_000_000)
+    return scored.select("survey_key", "claim_id", F.round("alignscore", 6).alias("alignscore"))
 
 
 

@@ -57,7 +57,11 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
     """Generations of the current and the former layout: old keys fill what the new ones leave empty."""
-    raw = read_records(spark, path, GENERATION)
+    return generations_of(read_records(spark, path, GENERATION))
+
+
+def generations_of(raw: DataFrame) -> DataFrame:
+    """Records of either layout, with the dir and stem they came from, as generations."""
     error = F.coalesce("error", "meta.error")
     return raw.select(
         F.coalesce("id", "topic_id").alias("id"), F.coalesce("dataset_id", F.substring_index("dir", "_", 1)).alias("dataset_id"),
