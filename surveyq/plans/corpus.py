@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from surveyq.functions import variant as J
 from surveyq.operators import matching as B
+from surveyq.operators import models as M
 from surveyq.operators import sentences as N
 from surveyq.operators.quantiles import select_quantiles
+from surveyq.plans.documents import halves
 from surveyq.plans.registry import Tables, query
 from surveyq.session import scratch_folder
 from surveyq.streaming import attempts as A
@@ -121,3 +123,13 @@ def sk3_c10_attempts(t: Tables) -> DataFrame:
     out = scratch_folder(t.spark, "decisions")
     A.run_attempts(decided, out, scratch_folder(t.spark, "decisions-state"))
     return t.spark.read.schema(decided.schema).parquet(out).where("status <> 'due'")
+
+
+# --- ordered alignment -----------------------------------------------------------------
+
+
+@query()
+def m3_ordered_alignment(t: Tables) -> DataFrame:
+    """Each text's second half against its first, in order and by inverse frequency; tests compare with the plain table of alignments."""
+    aligner = M.OrderedAligner(M.word_weights(t.documents, "text"))
+    return aligner.score(halves(t), "c", "r", "alignscore").select("doc_id", "alignscore")

@@ -545,3 +545,35 @@ def test_one_large_group_over_all_rows(spark):
     ps = {f"q{i}": i / 100 for i in (0, 1, 25, 50, 77, 99, 100)}
     want = rows_.agg(*(F.percentile("l_extendedprice", F.lit(p)).alias(n) for n, p in ps.items())).head()
     assert select_quantiles(rows_, [], "l_extendedprice", ps).head() == want
+
+
+# --- ordered alignment ----------------------------------------------------------------
+
+
+def plain_alignment(claim, premise, weight, gap):
+    h = [[0.0] * (len(premise) + 1) for _ in range(len(claim) + 1)]
+    for i, (c, w) in enumerate(zip(claim, weight), 1):
+        for j, p in enumerate(premise, 1):
+            h[i][j] = max(0.0, h[i - 1][j - 1] + w if c == p else 0.0, h[i - 1][j] - gap * w, h[i][j - 1] - gap)
+    return max(map(max, h))
+
+
+def test_local_alignment_equals_the_plain_table():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        claim, premise = r.integers(0, 4, r.integers(0, 9)), r.integers(0, 4, r.integers(0, 12))
+        weight, gap = r.uniform(0.1, 3, len(claim)), float(r.choice([0.0, 0.1, 0.7]))
+        assert M.local_alignment(claim, premise, weight, gap) == pytest.approx(plain_alignment(claim, premise, weight, gap), abs=1e-12)
+
+
+def test_order_and_weights_count(spark):
+    texts = ["the model learns graph structure", "structure graph learns model the", "the the the", None, "", "The model, slowly, LEARNS graph structure."]
+    df = spark.createDataFrame([(i, t, texts[0]) for i, t in enumerate(texts)], "id long, premise string, claim string")
+    got = {x.id: x.s for x in M.OrderedAligner().score(df, "premise", "claim", "s").collect()}
+    assert got[0] == 1.0 and got[1] < 0.5 < got[5] < 1.0 and got[2] == 0.2 and got[3] == got[4] == 0.0
+    table = M.word_weights(df.select("premise").union(spark.createDataFrame([("the",)] * 20, "premise string")), "premise")
+    assert len(table) == M.CELLS and table.max() == np.log(27) + 1
+    weighed = {x.id: x.s for x in M.OrderedAligner(table).score(df, "premise", "claim", "s").collect()}
+    assert weighed[0] == 1.0 and weighed[2] < 0.15  # a frequent word counts less
+    none = M.OrderedAligner().score(df.withColumn("claim", F.lit(None).cast("string")), "premise", "claim", "s")
+    assert {x.s for x in none.collect()} == {0.0}
