@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyq.functions import variant as J
+from surveyq.functions import vector as V
 from surveyq.operators import matching as B
 from surveyq.operators import models as M
 from surveyq.operators import sentences as N
+from surveyq.operators.embeddings import learn_embedder
 from surveyq.operators.quantiles import select_quantiles
 from surveyq.plans.documents import halves
 from surveyq.plans.registry import Tables, query
@@ -133,3 +135,14 @@ def m3_ordered_alignment(t: Tables) -> DataFrame:
     """Each text's second half against its first, in order and by inverse frequency; tests compare with the plain table of alignments."""
     aligner = M.OrderedAligner(M.word_weights(t.documents, "text"))
     return aligner.score(halves(t), "c", "r", "alignscore").select("doc_id", "alignscore")
+
+
+# --- learned embeddings -----------------------------------------------------------------
+
+
+@query()
+def m1_learned_embedding(t: Tables) -> DataFrame:
+    """Cosine of the two halves of each text, embedded by vectors that are learned from all texts; tests compare with numpy."""
+    embedder = learn_embedder(t.documents)
+    both = embedder.embed(embedder.embed(halves(t), "c", "x"), "r", "y")
+    return both.select("doc_id", F.round(V.cosine(F.col("x"), F.col("y")), 4).alias("similarity"))

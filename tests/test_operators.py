@@ -577,3 +577,49 @@ def test_order_and_weights_count(spark):
     assert weighed[0] == 1.0 and weighed[2] < 0.15  # a frequent word counts less
     none = M.OrderedAligner().score(df.withColumn("claim", F.lit(None).cast("string")), "premise", "claim", "s")
     assert {x.s for x in none.collect()} == {0.0}
+
+
+# --- learned embeddings ----------------------------------------------------------------
+
+
+def topic_texts(r, n=120):
+    topics = [[f"{t}word{i}" for i in range(12)] for t in ("a", "b", "c", "d")]
+    return [" ".join(r.choice(topics[i % 4]) for _ in range(20)) for i in range(n)]
+
+
+def test_learned_vectors_are_the_leading_singular_vectors(spark):
+    from surveyq.operators import embeddings as L
+
+    texts = [*topic_texts(random.Random(2)), None, "", "  "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(5)
+    found = L.learn_embedder(df, dims=4, cells=256, rounds=6)
+    lists = [r.w for r in df.select(L.word_cells("text", 256).alias("w")).collect()]
+    full = L.weighted([w for w in lists if w], found.idf)
+    _, s, vt = np.linalg.svd(full.astype(float))
+    np.testing.assert_allclose(found.strength, s[:4], rtol=1e-3)
+    np.testing.assert_allclose(found.vectors @ found.vectors.T, vt[:4].T @ vt[:4], atol=0.02)  # one subspace
+    counts = np.bincount([c for w in lists if w for c in set(w)], minlength=256)
+    np.testing.assert_allclose(found.idf, np.log(121 / (1 + counts)) + 1)
+    rows_ = {r.id: r.v for r in found.embed(df, "text", "v").collect()}
+    np.testing.assert_allclose(rows_[0], L.weighted([next(w for w in df.where("id = 0").select(L.word_cells("text", 256)).head())], found.idf)[0] @ found.vectors, atol=1e-5)
+    assert rows_[120] == rows_[121] == [0.0] * 4
+    none = L.learn_embedder(df.where("false"), dims=2, cells=64)
+    assert none.vectors.shape == (64, 2) and not none.strength.any()
+
+
+def test_halves_of_a_text_are_nearer_than_those_of_others(spark):
+    from surveyq.operators import embeddings as L
+
+    r = random.Random(5)
+    train, held = topic_texts(r), [" ".join(x) for t in topic_texts(r, 40) for x in (t.split()[:10], t.split()[10:])]
+    df = spark.createDataFrame([(t,) for t in train], "text string")
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(held)], "id long, text string")
+
+    def gap(embedder):
+        v = np.array([x.v for x in embedder.embed(out, "text", "v").orderBy("id").collect()], float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        own = (v[::2] * v[1::2]).sum(1).mean()
+        other = np.mean([v[2 * i] @ v[2 * j + 1] for i in range(40) for j in range(40) if i % 4 != j % 4])
+        return own - other
+
+    assert gap(L.learn_embedder(df, dims=4, cells=1024)) > gap(M.HashEmbedder()) + 0.3
