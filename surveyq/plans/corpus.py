@@ -15,6 +15,7 @@ from surveyq.operators.quantiles import select_quantiles
 from surveyq.plans.documents import halves
 from surveyq.plans.registry import Tables, query
 from surveyq.session import scratch_folder
+from surveyq.sources.archives import read_zips, write_zips
 from surveyq.streaming import attempts as A
 
 # --- trained sentence splitting -------------------------------------------------
@@ -146,3 +147,16 @@ def m1_learned_embedding(t: Tables) -> DataFrame:
     embedder = learn_embedder(t.documents)
     both = embedder.embed(embedder.embed(halves(t), "c", "x"), "r", "y")
     return both.select("doc_id", F.round(V.cosine(F.col("x"), F.col("y")), 4).alias("similarity"))
+
+
+# --- archives by member -----------------------------------------------------------------
+
+
+@query("SELECT doc_id::VARCHAR AS id, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL")
+def sc17_zip_members(t: Tables) -> DataFrame:
+    """All documents written as JSON members of zips and read again by ranges of members."""
+    folder = scratch_folder(t.spark, "zips")
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "text"))
+    write_zips(t.documents.select(F.concat(F.lit("runs/"), "doc_id", F.lit(".json")).alias("name"), record.alias("content")), folder, "name", "content")
+    found = read_zips(t.spark, folder, 1 << 20).select(F.from_json("content", "id string, text string").alias("g"))
+    return found.where("g.id IS NOT NULL AND g.text IS NOT NULL").select("g.id", F.sha2(F.col("g.text").cast("binary"), 256).alias("text_sha256"))

@@ -108,3 +108,34 @@ def test_windows(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:00:00", "a", 4.0)], "ts string, kind string, v double")
     got = windowed_counts(df, "ts", "kind", "v").orderBy("window_start").collect()
     assert [(r.n, r.total) for r in got] == [(2, 3.0), (1, 4.0)]
+
+
+def test_zips_are_read_by_ranges_of_members(spark, tmp_path):
+    import io
+    import zipfile
+
+    from surveyq.sources import archives as Z
+
+    folder = f"file://{tmp_path}/zips"
+    df = spark.createDataFrame([(f"{'../' if i == 5 else 'a/'}{i}.{'txt' if i == 6 else 'json'}", None if i == 7 else f"text é {i}" * 50) for i in range(40)], "n string, c string")
+    assert Z.write_zips(df.repartition(3), folder, "n", "c") == 40
+    with zipfile.ZipFile(tmp_path / "zips" / "more.zip", "w") as z:
+        for i in range(100, 130):
+            z.writestr(f"b/{i}.json", f"{i}" * 30)
+    (tmp_path / "zips" / "none.zip").write_bytes(_empty_zip(io, zipfile))
+    found = Z.read_zips(spark, folder, 400)
+    assert found.rdd.getNumPartitions() > 8  # four archives, one without members
+    got = {r.name: r.content for r in found.collect()}
+    want = {r.n: r.c or "" for r in df.collect() if r.n not in ("../5.json", "a/6.txt")} | {f"b/{i}.json": f"{i}" * 30 for i in range(100, 130)}
+    assert got == want
+    one = Z.read_zips(spark, f"{folder}/more.zip")
+    assert one.count() == 30 and one.select("archive").distinct().count() == 1
+    spans = Z.ranges(f"{folder}/more.zip", 100)
+    assert [s.a for s in spans[1:]] == [s.b for s in spans[:-1]] and (spans[0].a, spans[-1].b) == (0, 30) and len(spans) > 5
+    assert Z.read_zips(spark, f"file://{tmp_path}/absent").count() == 0
+
+
+def _empty_zip(io, zipfile):
+    packed = io.BytesIO()
+    zipfile.ZipFile(packed, "w").close()
+    return packed.getvalue()
