@@ -241,40 +241,42 @@ def _digests(shelf: Shelf, ends: DataFrame) -> DataFrame:
     """
     order = ["d", "h", "c"]
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, ids, size = None, 0, [], 0
-
-        def piece() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([first]), pa.array([",".join(ids)])], ["d", "h", "c", "ids"])
+    def batch_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names)
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, ids, size, done, held = None, 0, [], 0, [], 0
         for batch in batches:
             for d, h, c in zip(*(batch.column(x).to_pylist() for x in order)):
                 if (d, h) != key or size > PIECE:
                     if ids:
-                        yield piece()
+                        done.append((*key, first, ",".join(ids)))
+                        held += size
                     key, first, ids, size = (d, h), c, [], 0
                 ids.append(str(c))
                 size += len(ids[-1]) + 1
+            if done and (held > 16 * PIECE or len(done) > PIECE):
+                yield batch_of(done, [*order, "ids"])
+                done, held = [], 0
         if ids:
-            yield piece()
+            yield batch_of([*done, (*key, first, ",".join(ids))], [*order, "ids"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sha = None, None
-
-        def node() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([sha.hexdigest()])], ["d", "h", "ends_sha256"])
-
+        key, sha, names = None, None, ["d", "h", "ends_sha256"]
         for batch in batches:
+            done = []
             for d, h, ids in zip(*(batch.column(x).to_pylist() for x in ("d", "h", "ids"))):
                 if (d, h) == key:
                     sha.update(b",")
                 else:
                     if key is not None:
-                        yield node()
+                        done.append((*key, sha.hexdigest()))
                     key, sha = (d, h), hashlib.sha256()
                 sha.update(ids.encode())
+            if done:
+                yield batch_of(done, names)
         if key is not None:
-            yield node()
+            yield batch_of([(*key, sha.hexdigest())], names)
 
     pieces = shelf.stored(ends.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "d long, h long, c long, ids string"), "pieces")
     return pieces.repartition("d", "h").sortWithinPartitions(*order).mapInArrow(digest, "d long, h long, ends_sha256 string")
