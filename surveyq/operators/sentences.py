@@ -44,23 +44,26 @@ def _type(core: Column) -> Column:
 
 
 def word_pairs(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, type, period, marked, upper, lower, next...): each word with the word before it in its text.
+    """(lang, type, period, marked, upper, lower, p_type, p_period, p_marked): each word with the word before it in its text.
 
-    Columns p_* are the word before; null at the start of a text. marked words end in ? or !.
+    p_* is the word before; null at the start of a text. marked words end in ? or !.
     """
     words = F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+")
-    described = F.transform(
-        F.filter(words, lambda w: _core(w) != ""),
-        lambda w: F.struct(
-            _type(_core(w)).alias("type"), _core(w).rlike(r"\.$").alias("period"), w.rlike(_MARKED).alias("marked"),
-            _core(w).rlike(r"^\p{Lu}").alias("upper"), _core(w).rlike(r"^\p{Ll}").alias("lower"),
-        ),
+    # one step after the other, so that each pattern runs once a word
+    cored = F.transform(words, lambda w: F.struct(_core(w).alias("core"), w.rlike(_MARKED).alias("marked")))
+    first = F.transform(F.filter(cored, lambda w: w["core"] != ""), lambda w: F.struct(w["core"].alias("core"), w["marked"].alias("marked"), F.substring(w["core"], 1, 1).alias("c")))
+    told = docs.select(F.col(lang).alias("lang"), first.alias("w")).select(
+        "lang",
+        F.transform(
+            "w", lambda w: F.struct(
+                _type(w["core"]).alias("type"), F.endswith(w["core"], F.lit(".")).alias("period"), w["marked"].alias("marked"),
+                (w["c"] != F.lower(w["c"])).alias("upper"), (w["c"] != F.upper(w["c"])).alias("lower"),
+            ),
+        ).alias("w"),
     )
-    told = docs.select(F.col(lang).alias("lang"), described.alias("w"))
     pair = F.transform("w", lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(F.col("w"), i - 1)).alias("p")))
     each = told.select("lang", F.explode(pair).alias("e"))
-    names = ("type", "period", "marked", "upper", "lower")
-    return each.select("lang", *(F.col(f"e.x.{n}").alias(n) for n in names), *(F.col(f"e.p.{n}").alias(f"p_{n}") for n in names))
+    return each.select("lang", *(F.col(f"e.x.{n}").alias(n) for n in ("type", "period", "marked", "upper", "lower")), *(F.col(f"e.p.{n}").alias(f"p_{n}") for n in ("type", "period", "marked")))
 
 
 def _safe(x: Column) -> Column:
