@@ -372,12 +372,12 @@ def test_text_queries_read_whole_texts_of_all_rows(spark):
     lines = spark.createDataFrame([(7, n, float(n), 0.5, None) for n in (1, 2)], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double")
     t = SimpleNamespace(documents=docs, lineitem=lines)
     got = lambda df, c: {r.doc_id: r[c] for r in df.collect()}
-    assert got(Q.t33_text_from_index_whole(t), "text") == {1: long, 2: "- Eins zwei 2. Drei vier"}
-    assert got(D.t4_loose_title_whole(t), "t4") == {1: long.lower(), 2: "eins zwei 2 drei vier"}
-    assert got(D.t47_claim_lines_whole(t), "claims") == {1: [long], 2: ["Eins zwei", "Drei", "vier"]}
-    words = got(D.t37_keywords_whole(t), "words")
+    assert got(Q.t33_text_from_index(t), "text") == {1: long, 2: "- Eins zwei 2. Drei vier"}
+    assert got(D.t4_loose_title(t), "t4") == {1: long.lower(), 2: "eins zwei 2 drei vier"}
+    assert got(D.t47_claim_lines(t), "claims") == {1: [long], 2: ["Eins zwei", "Drei", "vier"]}
+    words = got(D.t37_keywords(t), "words")
     assert set(words) == {1, 2} and words[2] == ["Eins", "zwei", "Drei", "vier"]
-    assert rows(A.pf3_unpivot_whole(t)) == sorted([(7, n, m, v) for n in (1, 2) for m, v in (("quantity", float(n)), ("discount", 0.5))], key=str)
+    assert rows(A.pf3_unpivot(t)) == sorted([(7, n, m, v) for n in (1, 2) for m, v in (("quantity", float(n)), ("discount", 0.5))], key=str)
 
 
 def test_contradictions_of_paragraphs_see_more_than_400_characters(spark):
