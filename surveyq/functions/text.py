@@ -44,7 +44,7 @@ def collapse(column: ColumnOrName) -> Column:
 def blank_to_null(column: ColumnOrName) -> Column:
     """null for null, empty and white-space strings: the truth value of text."""
     c = _c(column)
-    return F.when(F.length(F.trim(F.regexp_replace(c, _WS + "+", " "))) > 0, c)
+    return F.when(F.rlike(c, F.lit(r"(?U)\S")), c)
 
 
 def empty_to_null(column: ColumnOrName) -> Column:

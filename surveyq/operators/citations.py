@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyq.functions import text as X
+from surveyq.operators.scans import fresh
 
 
 def _first_present(df: DataFrame, *names: str) -> Column:
@@ -44,23 +45,24 @@ def title_index(corpus: DataFrame, order: str = "doc_id") -> DataFrame:
 def match_references(refs: DataFrame, index: DataFrame) -> DataFrame:
     """refs with matched_doc_id: by canonical title, else by cleaned title, else null.
 
-    References without a title key get one that no title has, dealt by a hash
-    of the row, so that they don't meet in one partition of a join.
+    Titles repeat, so each distinct pair of titles is cleaned and looked up
+    once, and only pairs with a match are joined back. References without any title
+    are dealt by a hash of the row, so that they don't meet in one partition of
+    that join.
     """
-    keys = refs.withColumns(
-        {
-            "__k1": X.empty_to_null(X.norm_title("canonical_title")),
-            "__k2": X.empty_to_null(X.norm_title(X.clean_web_title("title"))),
-        }
+    c, t, salt, tried = fresh([*refs.columns, "matched_doc_id"], "canon", "name", "salt", "tried")
+    key = lambda x: X.empty_to_null(X.norm_title(x))
+    pairs = refs.select(F.col("canonical_title").alias(c), F.col("title").alias(t)).distinct()
+    each = pairs.select(c, t, F.posexplode(F.array(key(c), key(X.clean_web_title(t)))).alias(tried, "norm_title")).where("norm_title IS NOT NULL")
+    hits = each.join(index.select("norm_title", "doc_id"), "norm_title").groupBy(c, t).agg(F.min_by("doc_id", tried).alias("matched_doc_id"))
+    row = F.pmod(F.xxhash64(*(n for n, kind in refs.dtypes if "map<" not in kind)), F.lit(1 << 16))
+    bare = (F.coalesce("canonical_title", F.lit("")) == "") & (F.coalesce("title", F.lit("")) == "")
+    asked = refs.withColumn(salt, F.when(bare, row + 1).otherwise(0)).alias("r")
+    found = asked.join(
+        hits.withColumn(salt, F.lit(0).cast("long")).alias("h"),
+        F.col("r.canonical_title").eqNullSafe(F.col(f"h.{c}")) & F.col("r.title").eqNullSafe(F.col(f"h.{t}")) & (F.col(f"r.{salt}") == F.col(f"h.{salt}")), "left",
     )
-    # a key has letters only, so digits match nothing
-    none = F.pmod(F.xxhash64(*(c for c, kind in refs.dtypes if not kind.startswith("map"))), F.lit(1 << 16)).cast("string")
-    one = index.select(F.col("norm_title").alias("__k1"), F.col("doc_id").alias("__d1"))
-    two = index.select(F.col("norm_title").alias("__k2"), F.col("doc_id").alias("__d2"))
-    first = keys.withColumn("__k1", F.coalesce("__k1", none)).join(one, "__k1", "left")
-    # only what the first title doesn't find goes on with the second
-    again = first.withColumn("__k2", F.coalesce(F.when(F.col("__d1").isNull(), F.col("__k2")), none))
-    return again.join(two, "__k2", "left").withColumn("matched_doc_id", F.coalesce("__d1", "__d2")).drop("__k1", "__k2", "__d1", "__d2")
+    return found.select(*(F.col(f"r.`{n}`") for n in refs.columns if n != "matched_doc_id"), "h.matched_doc_id")
 
 
 def first_hit(candidates: DataFrame, index: DataFrame, key: str, titles: str) -> DataFrame:

@@ -35,6 +35,13 @@ def test_citation_joins(spark):
          ("s", 2, 3, "Graph nets", "", None, None, None), ("s", 3, 4, "unknown", None, None, None, None)], REFS)
     matched = C.match_references(refs, index)
     assert rows(matched, "idx", "matched_doc_id") == [(1, 0), (2, 6), (3, 6), (4, None)]
+    odd = spark.createDataFrame(
+        [(1, "zero paper", "GRAPH nets", {"a": 1}), (2, "zero paper", "no such", None), (3, None, None, None), (4, "", "", None), (5, "12", "34", None), (6, None, "Zero Paper", None), (1, "zero paper", "GRAPH nets", {"a": 1})],
+        "salt int, title string, canonical_title string, name map<string,int>")
+    found = C.match_references(odd, index)
+    assert found.columns == [*odd.columns, "matched_doc_id"]
+    assert rows(found, "salt", "matched_doc_id") == [(1, 6), (1, 6), (2, 0), (3, None), (4, None), (5, None), (6, 0)]
+    assert C.match_references(odd.limit(0), index).count() == 0 and rows(C.match_references(odd, index.limit(0)), "matched_doc_id") == [(None,)] * 7
     surveys = spark.createDataFrame([("s", "GRAPH nets"), ("t", "Other")], "survey_key string, survey_title string")
     truth = spark.createDataFrame([("s", 6), ("s", 7), ("t", 1)], "survey_key string, doc_id long")
     got = {r.survey_key: r for r in C.citation_metrics(surveys, matched, truth).collect()}
