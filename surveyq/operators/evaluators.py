@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from surveyq.functions import scores as S
 from surveyq.functions import vector as V
-from surveyq.operators import citations, pairs, scoring, summary
+from surveyq.operators import citations, evidence, models, pairs, scoring, summary
 
 Evaluator = Callable[[Mapping[str, DataFrame], Mapping[str, object]], DataFrame]
 
@@ -28,6 +29,15 @@ REGISTRY: dict[str, Entry] = {
         ("sentences",), ("threshold",),
     ),
     "expert": Entry(lambda t, c: scoring.expert_profile(t["claims"], [str(c["by"])]), ("claims",), ("by",)),
+    "alignment": Entry(
+        lambda t, c: scoring.citation_correctness(t["claims"].join(models.align_cascade(t["pairs"], c["aligner"], c["embedder"], list(c["keys"])), list(c["keys"]), "left"), list(c["by"])),
+        ("claims", "pairs"), ("aligner", "embedder", "keys", "by"),
+    ),
+    "contradiction": Entry(lambda t, c: models.contradictions(t["pairs"], c["topic"], c["check"], list(c["by"])), ("pairs",), ("topic", "check", "by")),
+    "evidence": Entry(lambda t, c: evidence.coverage(t["evidence"], list(c["by"])), ("evidence",), ("by",)),
+    "expert_validation": Entry(lambda t, c: S.class_scores(t["judged"], "gold", "predicted", list(c["classes"])), ("judged",), ("classes",)),
+    "rouge": Entry(lambda t, c: models.rouge_n(t["texts"], list(c["keys"]), "candidate", "reference", int(c["n"])), ("texts",), ("keys", "n")),
+    "bleu": Entry(lambda t, c: models.bleu(t["texts"], list(c["keys"]), "candidate", "reference"), ("texts",), ("keys",)),
     "summary": Entry(lambda t, c: summary.metric_summary(t["long"], list(c["by"])), ("long",), ("by",)),
 }
 

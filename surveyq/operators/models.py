@@ -170,8 +170,8 @@ class Retrying:
 
     Each round asks the prompts still without an answer, at most `at_once` of
     them side by side, and waits `wait` ** round seconds before the next. What
-    fails `attempts` times gets the fallback and the status fallback, or stays
-    failed without one. Equal prompts are asked once; null prompts fail.
+    fails `attempts` times gets what `on_failure` makes of the prompt, else the
+    fallback, with the status fallback, or stays failed without either. Equal prompts are asked once; null prompts fail.
     Answers lie in the scratch folder, so none is asked for twice.
     """
 
@@ -180,6 +180,7 @@ class Retrying:
     wait: float = 2.0
     fallback: str | None = None
     at_once: int | None = None
+    on_failure: Callable[[Column], Column] | None = None
 
     def ask(self, df: DataFrame, prompt: str, out: str) -> DataFrame:
         spark, status = df.sparkSession, f"{out}_status"
@@ -198,8 +199,9 @@ class Retrying:
         for more in answered[1:]:
             every = every.unionByName(more)
         joined = df.join(every.withColumnRenamed("__q", prompt), prompt, "left")
-        late = F.lit("failed" if self.fallback is None else "fallback")
-        return joined.withColumns({out: F.when(F.col(status).isNull(), F.lit(self.fallback)).otherwise(F.col(out)), status: F.coalesce(status, late)})
+        instead = F.lit(self.fallback) if self.on_failure is None else F.coalesce(self.on_failure(F.col(prompt)), F.lit(self.fallback))
+        late = F.when(instead.isNull(), "failed").otherwise("fallback")
+        return joined.withColumns({out: F.when(F.col(status).isNull(), instead).otherwise(F.col(out)), status: F.coalesce(status, late)})
 
 
 def validity_prompt(claim: Column, context: Column) -> Column:

@@ -409,6 +409,29 @@ def test_evaluators_by_name(spark):
         EV.register("summary", lambda t, c: t["long"], ("long",))
 
 
+def test_every_evaluator(spark):
+    """Each name of the registry gives what its operator gives."""
+    from surveyq.operators import evaluators as EV
+
+    run = lambda name, config, **tables: EV.load_evaluator(name, config)(tables).collect()
+    pairs = spark.createDataFrame(
+        [("s", 1, 1, 0, "graph nets work", "graph nets work", None), ("s", 2, 1, 0, "trees fail", "nothing", "trees fail here")],
+        "survey_key string, claim_id int, idx int, pos int, claim string, abstract string, full_text string")
+    claims = spark.createDataFrame([("s", 1, "A"), ("s", 2, "B"), ("s", 3, "A")], "survey_key string, claim_id int, category string")
+    (got,) = run("alignment", {"aligner": M.OverlapAligner(), "embedder": M.HashEmbedder(), "keys": ["survey_key", "claim_id"], "by": ["survey_key"]}, claims=claims, pairs=pairs)
+    assert (got.n_claims, got.n_supported, got.cit_correct_A, got.cit_correct_B) == (3, 2, 0.5, 1.0)
+    two = spark.createDataFrame([("s", "it works", "it fails"), ("s", "x", "y")], "survey_key string, s1 string, s2 string")
+    (got,) = run("contradiction", {"topic": M.RuleJudge(lambda p: p.contains("it")), "check": M.RuleJudge(lambda p: p.contains("fails")), "by": ["survey_key"]}, pairs=two)
+    assert (got.n_candidates, got.n_same_topic, got.n_confirmed, got.m_contr) == (2, 1, 1, 1.0)
+    (got,) = run("evidence", {"by": ["survey_key"]}, evidence=spark.createDataFrame([("s", "a", None), ("s", " ", "text")], "survey_key string, abstract string, text string"))
+    assert (got.n_refs, got.n_abstract, got.n_text, got.n_both, got.text_max) == (2, 1, 1, 0, 4.0)
+    judged = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "B"), ("B", None)], "gold string, predicted string")
+    assert {r["class"]: (r.tp, r.fp, r.fn) for r in run("expert_validation", {"classes": ["A", "B"]}, judged=judged)} == {"A": (1, 0, 1), "B": (1, 1, 1)}
+    texts = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (2, "x", "y")], "k int, candidate string, reference string")
+    assert {r.k: r.rouge_2 for r in run("rouge", {"keys": ["k"], "n": 2}, texts=texts)} == {1: 1.0, 2: 0.0}
+    assert {r.k: round(r.bleu, 9) for r in run("bleu", {"keys": ["k"]}, texts=texts)} == {1: 1.0, 2: 0.0}
+
+
 def test_config_files(spark, tmp_path):
     from surveyq.sources.config import read_config
 
@@ -443,6 +466,15 @@ def test_retries_ask_again_only_what_failed(spark):
     assert got == [("None", None, "failed"), ("a", "A", "ok"), ("b", "B", "ok"), ("b", "B", "ok"), ("z", None, "failed")]
 
 
+def test_failure_hook(spark):
+    never = M.RuleJudge(lambda q: F.when(q == "a", "yes"))
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "q string")
+    hook = lambda q: F.when(q != "c", F.concat(F.lit("no answer to "), q))
+    ask = lambda **kw: sorted((str(r.q), r.x, r.x_status) for r in M.Retrying(never, attempts=1, wait=0.0, **kw).ask(df, "q", "x").collect())
+    assert ask(on_failure=hook) == [("None", None, "failed"), ("a", "yes", "ok"), ("b", "no answer to b", "fallback"), ("c", None, "failed")]
+    assert ask(on_failure=hook, fallback="?") == [("None", "?", "fallback"), ("a", "yes", "ok"), ("b", "no answer to b", "fallback"), ("c", "?", "fallback")]
+
+
 # --- running aggregates ----------------------------------------------------------
 
 
