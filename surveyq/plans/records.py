@@ -399,6 +399,52 @@ def c6_cascade_concat(t: Tables) -> DataFrame:
 
 
 
+_SQL_SHARE = "CASE WHEN len(r) > 0 THEN len(list_intersect(r, {}))::DOUBLE / len(r) ELSE 0 END"
+
+
+@query(f"""WITH w AS ({_HALF_WORDS.replace("AS r", "AS r, " + _SQL_THIRD + r""" AS x, regexp_matches(substring(t, 1, h), '\S') AS has_c, regexp_matches(substring(substring(t, h + 1), ((2 * (length(t) - h) + 2) // 3)::BIGINT + 1), '\S') AS has_x""", 1)}),
+a AS (SELECT *, CASE WHEN has_c THEN {_SQL_SHARE.format("c")} END AS a, {_SQL_SHARE.format("list_concat(c, x, ['full', 'text'], CASE WHEN has_c THEN ['abstract'] ELSE [] END)")} AS f, {_SQL_SHARE.format("list_concat(c, ['full', 'text'])")} AS g FROM w),
+s AS (SELECT *, CASE WHEN has_x AND coalesce(a, -1) < 0.75 THEN greatest(a, f) ELSE a END AS one, CASE WHEN has_c THEN g END AS two FROM a)
+SELECT doc_id AS survey_key, round(greatest(one, two), 6) AS alignscore, greatest(one, two) >= 0.5 AS supported, CASE WHEN one IS NULL AND two IS NULL THEN NULL WHEN two IS NULL OR one >= two THEN 1 ELSE 2 END AS best_ref,
+  coalesce(has_x AND a >= 0.75, false)::INT::BIGINT AS n_abstract_skip FROM s""")
+def c5_cascade_references(t: Tables) -> DataFrame:
+    """Each second half against two references: one of abstract (the first half) and full text (the last third), one of a full text (the first half) alone.
+
+    So many chunks are taken that the embedder's order doesn't count and SQL can follow.
+    """
+    third = F.substring("r", F.ceil(2 * F.length("r") / 3).cast("int") + 1, F.length("r"))
+    both = F.array(
+        F.struct(F.lit(1).alias("idx"), F.lit(0).alias("pos"), F.col("c").alias("abstract"), third.alias("full_text")),
+        F.struct(F.lit(2).alias("idx"), F.lit(1).alias("pos"), F.lit(None).cast("string").alias("abstract"), F.col("c").alias("full_text")),
+    )
+    pairs = halves(t).select(F.col("doc_id").alias("survey_key"), F.lit(1).alias("claim_id"), F.col("r").alias("claim"), F.inline(both))
+    found = M.align_cascade(pairs, M.OverlapAligner(), M.HashEmbedder(), ["survey_key", "claim_id"], top_k=1_000_000)
+    return found.select("survey_key", F.round("alignscore", 6).alias("alignscore"), "supported", "best_ref", "n_abstract_skip")
+
+
+@query("""SELECT 'evidence' AS evaluator, coalesce(source, '-') AS name, count(*) AS n, round(count(text)::DOUBLE / count(*), 6) AS value FROM documents GROUP BY source
+UNION ALL SELECT 'contradiction', lang, count(*), round(count(*) FILTER (length(text) % 3 = 0 AND n_chars % 2 = 0)::DOUBLE / nullif(count(*) FILTER (n_chars % 2 = 0), 0), 6) FROM documents WHERE text IS NOT NULL GROUP BY lang
+UNION ALL SELECT 'expert_validation', k.k, count(*) FILTER (quality::VARCHAR = k.k), round(CASE WHEN count(*) FILTER ((1 - toxic)::VARCHAR = k.k) > 0 THEN count(*) FILTER (quality::VARCHAR = k.k AND (1 - toxic)::VARCHAR = k.k)::DOUBLE / count(*) FILTER ((1 - toxic)::VARCHAR = k.k) ELSE 0 END, 6)
+  FROM labels, (VALUES ('0'), ('1')) k(k) WHERE quality IS NOT NULL GROUP BY k.k""")
+def x12_evaluators(t: Tables) -> DataFrame:
+    """Three evaluators by name; the judge of pairs fails on some prompts, and a hook answers in its place."""
+    from surveyq.operators.evaluators import load_evaluator
+
+    has = lambda df: F.coalesce(df, F.lit("-"))
+    given = t.documents.select("source", F.lit(None).cast("string").alias("abstract"), "text")
+    texts = load_evaluator("evidence", {"by": ["source"]})({"evidence": given}).select(F.lit("evidence").alias("evaluator"), has(F.col("source")).alias("name"), F.col("n_refs").alias("n"), F.col("text_rate").alias("value"))
+    pairs = t.documents.where("text IS NOT NULL").select("lang", F.concat(F.lit("n"), F.col("n_chars").cast("string"), F.lit(";")).alias("s1"), F.concat(F.lit("t"), F.length("text").cast("string"), F.lit(";")).alias("s2"))
+    number = lambda p, c: F.regexp_extract(p, rf"{c}(\d+);", 1).cast("long")
+    # fails where the number is even, which the hook then settles
+    shaky = M.RuleJudge(lambda p: F.when(number(p, "t") % 2 == 1, (number(p, "t") % 3 == 0).cast("string")))
+    check = M.Retrying(shaky, attempts=1, wait=0.0, on_failure=lambda p: (number(p, "t") % 3 == 0).cast("string"))
+    settings = {"topic": M.RuleJudge(lambda p: number(p, "n") % 2 == 0), "check": check, "by": ["lang"]}
+    contra = load_evaluator("contradiction", settings)({"pairs": pairs}).select(F.lit("contradiction"), "lang", "n_candidates", "m_contr")
+    judged = t.labels.select(F.col("quality").cast("string").alias("gold"), (1 - F.col("toxic")).cast("string").alias("predicted"))
+    expert = load_evaluator("expert_validation", {"classes": ["0", "1"]})({"judged": judged}).select(F.lit("expert_validation"), "class", "support", "precision")
+    return texts.union(contra).union(expert).select("evaluator", "name", "n", F.round("value", 6).alias("value"))
+
+
 class _Flaky:
     """Answers a key whose rest by 4 is less than the number of times it was asked."""
 

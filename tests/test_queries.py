@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Queries that need Python on the executors: matrix products, greedy choices and stand-in models.
 PYTHON = {"j13_cross_pairs", "w2_top_neighbours", "ag7_repetition", "m11_rouge_l", "j14_j15_greedy_match", "c5_cascade"}
 PYTHON |= {"t18_trained_sentences", "j14_threshold_join", "sk3_c10_attempts", "m3_ordered_alignment", "m1_learned_embedding", "sc17_zip_members"}
-PYTHON |= {"sc17_archives", "t28_bibtex", "t29_bibliography", "t30_numbered_citations", "t34_lcs", "m1_embedding", "c6_cascade_concat"}
+PYTHON |= {"c5_cascade_references", "sc17_archives", "t28_bibtex", "t29_bibliography", "t30_numbered_citations", "t34_lcs", "m1_embedding", "c6_cascade_concat"}
 
 
 @pytest.fixture(scope="module")
