@@ -79,15 +79,11 @@ def norm_sentence(column: ColumnOrName) -> Column:
     return F.lower(collapse(F.regexp_replace(F.coalesce(_c(column), F.lit("")), r"\[[^\]]{1,40}\]", "")))
 
 
-#: Site names that close a web page's title.
-SITES = "arXiv(?:\\.org)?|ar5iv|Semantic\\s*Scholar|ResearchGate|ACM|IEEE|Springer|CVPR|NeurIPS|ICLR|ICML|AAAI|EMNLP|ACL|NAACL"
-
-
 #: What is taken off a web title, in this order.
 WEB_TITLE = (
     (r"(?i)^\[PDF\]\s*", ""),
     (r"^\[\d{4}\.\d{4,6}\]\s*", ""),
-    (rf"(?i)\s*[-–]\s*(?:{SITES})\b.*$", ""),
+    (r"(?i)\s*[-–]\s*(?:arXiv(?:\.org)?|ar5iv|Semantic\s*Scholar|ResearchGate|ACM|IEEE|Springer|CVPR|NeurIPS|ICLR|ICML|AAAI|EMNLP|ACL|NAACL)\b.*$", ""),
     (r"(?i)\s*[-–]\s*\S+\.(?:com|org|edu|io|net)\S*\s*$", ""),
     (r"\s*\.\.\.\s*$", ""),
 )

@@ -70,7 +70,7 @@ def parse_bibliography(df: DataFrame, tex: str, key: str) -> DataFrame:
 
 #: The citation commands that are rewritten.
 _CITE = re.compile(
-    r"\\(?:citealp|citeauthor|citeyear|citep|citet|autocite|textcite|parencite|nocite|cite)\*?(?:\[[^\]]*\]){0,2}\s*\{([^{}]*)\}"
+    r"\\(?:cite|citep|citet|citeauthor|citeyear|citealp|autocite|textcite|parencite|nocite)\*?(?:\[[^\]]*\]){0,2}\s*\{([^{}]*)\}"
 )
 
 
