@@ -98,21 +98,47 @@ def gram_candidates(titles: DataFrame, entries: DataFrame, at_least: float) -> D
     return chosen.select("survey_key", "t", "q", F.explode("gs").alias("g")).join(index, ["survey_key", "q", "g"]).select("survey_key", "t", "e").distinct()
 
 
+def _normed(entries: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entries (survey_key, k, e) and titles (survey_key, j, t) by their words; titles without any go."""
+    return entries.select("survey_key", "k", X.norm_words("raw").alias("e")), titles.select("survey_key", "j", X.norm_words("title").alias("t")).where("t <> ''")
+
+
+def _scored_texts(entries: DataFrame, titles: DataFrame, at_least: float) -> DataFrame:
+    """(survey_key, t, e, score): the distinct texts of a survey that score at_least, each pair once."""
+    each_e, each_t = entries.select("survey_key", "e").distinct(), titles.select("survey_key", "t").distinct()
+    may = gram_candidates(each_t, each_e, at_least) if at_least > 0 else each_t.join(each_e, "survey_key")
+    return may.withColumn("score", lcs_ratio("t", "e")).where(F.col("score") >= at_least)
+
+
 def score_pairs(entries: DataFrame, titles: DataFrame, at_least: float) -> DataFrame:
     """(survey_key, k, j, score) of a survey's entries (k, raw) and titles (j, title) that score at_least.
 
     Each distinct text is looked up and scored once; candidates come from an
     index of grams, unless at_least is 0 or less and every pair counts. Titles
-    without letters or digits are in no pair; null texts are empty.
+    without letters or digits are in no pair; null texts are empty. Copies are
+    told as pairs of their own, which is the square of their number: title_links counts them instead.
     """
-    a = entries.select("survey_key", "k", X.norm_words("raw").alias("e"))
-    b = titles.select("survey_key", "j", X.norm_words("title").alias("t")).where("t <> ''")
-    each_e, each_t = a.select("survey_key", "e").distinct(), b.select("survey_key", "t").distinct()
-    may = gram_candidates(each_t, each_e, at_least) if at_least > 0 else each_t.join(each_e, "survey_key")
-    scored = may.withColumn("score", lcs_ratio("t", "e")).where(F.col("score") >= at_least)
+    a, b = _normed(entries, titles)
+    scored = _scored_texts(a, b, at_least)
     return scored.join(b, ["survey_key", "t"]).join(a, ["survey_key", "e"]).select("survey_key", "k", "j", "score")
 
 
+def title_links(entries: DataFrame, titles: DataFrame, at_least: float) -> DataFrame:
+    """(survey_key, j, n_entries, sum_k, best): what score_pairs has for each title with a pair, by count, sum of k and best score.
+
+    Entries of one text are one row with their count and sum before texts
+    meet, so copies are in the figures and not in pairs.
+    """
+    a, b = _normed(entries, titles)
+    held = a.groupBy("survey_key", "e").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    of_text = _scored_texts(a, b, at_least).join(held, ["survey_key", "e"]).groupBy("survey_key", "t").agg(
+        F.sum("n").alias("n_entries"), F.sum("k").alias("sum_k"), F.max("score").alias("best")
+    )
+    return b.join(of_text, ["survey_key", "t"]).groupBy("survey_key", "j").agg(
+        F.sum("n_entries").alias("n_entries"), F.sum("sum_k").alias("sum_k"), F.max("best").alias("best")
+    )
+
+
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """(survey_key, k, j, score): best pairs first (then k, j), each k and j once.
 

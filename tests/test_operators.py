@@ -535,6 +535,15 @@ def test_threshold_join_loses_no_pair(spark, at_least):
     assert {tuple(x) for x in B.score_pairs(entries, titles, at_least).collect()} == {x for x in want if x[3] >= at_least}
 
 
+def test_links_of_copies_are_counted_without_pairs(spark):
+    es, ts = [("x", k, ["Deep nets", "graph NETS", "none", None][k % 4]) for k in range(400)], [("x", j, ["deep nets", "nets", "", None][j % 4]) for j in range(400)]
+    entries, titles = spark.createDataFrame(es, "survey_key string, k long, raw string"), spark.createDataFrame(ts, "survey_key string, j long, title string")
+    pairs = B.score_pairs(entries, titles, 0.7).groupBy("survey_key", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.max("score").alias("best"))
+    links = B.title_links(entries, titles, 0.7)
+    assert rows(links) == rows(pairs) and links.count() == 200
+    assert {(r.n_entries, r.best) for r in links.collect()} == {(100, 1.0), (200, 1.0)}
+
+
 def test_candidates_are_few(spark):
     texts = [f"{a} {b} survey of methods" for a in ("deep", "graph", "causal", "sparse", "robust") for b in ("nets", "trees", "flows", "models", "agents")]
     t, e = (spark.createDataFrame([("s", x) for x in texts], f"survey_key string, {c} string") for c in "te")
