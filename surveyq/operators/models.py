@@ -437,39 +437,38 @@ def rouge_l(df: DataFrame, keys: list[str], candidate: str, reference: str) -> D
     return df.select(*keys, score(X.norm_words(candidate), X.norm_words(reference)).alias("rouge_l"))
 
 
-def soft_recall(wanted: DataFrame, found: DataFrame, by: list[str], vector: str = "embedding", block: int = 512) -> DataFrame:
+def soft_recall(wanted: DataFrame, found: DataFrame, by: list[str], vector: str = "embedding", block: int = 1024) -> DataFrame:
     """by, soft_recall: soft cardinality of the union's overlap (Franti and Mariescu-Istodor, 2023) over that of the wanted set.
 
     Soft cardinality of a set is the sum of 1 / sum of similarities to its own
     members, similarities below 0 as 0. Equal vectors of a group are one row
     with its counts in both sets; the rows are dealt into blocks by a hash of
-    the vector, and each two blocks meet in one task, so no row holds a whole
-    group. Rows without a vector are in no set.
+    the vector, and each two blocks meet under a key of their own, so no row or task holds a whole
+    group. All pairs of a group are formed, one sum of products each over columns of
+    numbers, which Spark compiles as it does not a loop over arrays. Rows without a vector are in no set.
     """
     side = lambda df, w: df.select(*by, F.col(vector).alias("__v"), F.lit(w).alias("__w"), F.lit(1 - w).alias("__f"))
     every = side(wanted, 1).unionByName(side(found, 0)).where("__v IS NOT NULL")
     rows = every.groupBy(*by, "__v").agg(F.sum("__w").alias("__w"), F.sum("__f").alias("__f")).withColumn("__v", V.unit(F.col("__v")))
-    # a struct, so that a key of nulls joins as well
-    rows = rows.select(F.struct(*by).alias("__g"), "__v", "__w", "__f")
+    # a struct, so that a key of nulls joins as well; written, so that the numbers of rows are fixed
+    rows = kept(rows.select(F.struct(*by).alias("__g"), "__v", "__w", "__f", F.monotonically_increasing_id().alias("__i")), "vectors")
+    dims = rows.agg(F.max(F.size("__v"))).head()[0] or 0
     sizes = rows.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n"))
-    dealt = rows.join(sizes, "__g").withColumn("__m", F.pmod(F.xxhash64("__v"), "__n").cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    whole = rows.where(~F.exists("__v", lambda x: x.isNull())).join(sizes, "__g").withColumn("__m", F.pmod(F.xxhash64("__v"), "__n").cast("int"))
+    # vectors of unequal length or with a null are not near; what a shorter one lacks is 0 on both sides
+    size, others = F.size("__v").alias("__s"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    numbers = lambda name: [F.coalesce(F.get("__v", F.lit(k)), F.lit(0.0)).alias(f"{name}{k}") for k in range(dims)]
+    # by number, as the time of a task follows its pairs and not its bytes
     tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = dealt.withColumn("__o", others).drop("__n").repartition(tasks, "__g", "__m", "__o")
-    blocks = dealt.groupBy("__g", "__m", "__n").agg(F.collect_list(F.struct("__v", "__w", "__f")).alias("__x"))
-    right = blocks.select("__g", F.col("__m").alias("__o"), others.alias("__m"), "__x")
-    met = left.join(right, ["__g", "__m", "__o"])
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("f"))
-
-    def add(s: Column, x: Column) -> Column:
-        dot = F.aggregate(F.zip_with("__v", x["__v"], lambda p, q: p * q), F.lit(0.0), lambda t, y: t + y)
-        near = F.greatest(dot, F.lit(0.0))
-        # the array of one binds the product, so that it is formed once
-        return F.element_at(F.transform(F.array(near), lambda n: F.struct((s["w"] + n * x["__w"]).alias("w"), (s["f"] + n * x["__f"]).alias("f"))), 1)
-
-    part = met.select("__g", "__v", "__w", "__f", F.aggregate("__x", zero, add).alias("__s"))
-    near = part.groupBy("__g", "__v", "__w", "__f").agg(F.sum("__s.w").alias("w"), F.sum("__s.f").alias("f"))
+    left = whole.select("__g", size, "__m", others.alias("__o"), "__i", *numbers("__x")).repartition(tasks, "__g", "__s", "__m", "__o")
+    right = whole.select("__g", size, F.col("__m").alias("__o"), others.alias("__m"), F.col("__w").alias("__ww"), F.col("__f").alias("__ff"), *numbers("__y"))
+    met = left.join(right, ["__g", "__s", "__m", "__o"])
+    dot = sum((F.col(f"__x{k}") * F.col(f"__y{k}") for k in range(dims)), F.lit(0.0))
+    near = met.select("__i", "__ww", "__ff", F.greatest(dot, F.lit(0.0)).alias("__d"))
+    part = near.groupBy("__i").agg(F.sum(F.col("__d") * F.col("__ww")).alias("w"), F.sum(F.col("__d") * F.col("__ff")).alias("f"))
+    none = F.lit(0.0)
+    summed = rows.join(part, "__i", "left").withColumns({"w": F.coalesce("w", none), "f": F.coalesce("f", none)})
     size = lambda n, s: F.sum(F.when(n > 0, n / s).otherwise(0.0))
     w, f = F.col("__w"), F.col("__f")
-    sums = near.groupBy("__g").agg(size(w, F.col("w")).alias("a"), size(f, F.col("f")).alias("b"), size(w + f, F.col("w") + F.col("f")).alias("c"))
+    sums = summed.groupBy("__g").agg(size(w, F.col("w")).alias("a"), size(f, F.col("f")).alias("b"), size(w + f, F.col("w") + F.col("f")).alias("c"))
     return sums.where("a > 0").select(*(F.col("__g")[c].alias(c) for c in by), ((F.col("a") + F.col("b") - F.col("c")) / F.col("a")).alias("soft_recall"))

@@ -671,3 +671,20 @@ def test_halves_of_a_text_are_nearer_than_those_of_others(spark):
         return own - other
 
     assert gap(L.learn_embedder(df, dims=4, cells=1024)) > gap(M.HashEmbedder()) + 0.3
+
+
+# --- growth of single steps ----------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_soft_recall_forms_products_over_columns(spark):
+    """No loop over the arrays of a pair in Spark's interpreter; vectors of other lengths and with nulls are near to none."""
+    draw = np.random.default_rng(9)
+    df = spark.createDataFrame([("a", i % 2, draw.normal(size=70).tolist()) for i in range(40)], "k string, s int, embedding array<float>")
+    got = M.soft_recall(df.where("s = 0"), df.where("s = 1"), ["k"], block=16)
+    pick = lambda s: [r.embedding for r in df.collect() if r.s == s]
+    assert got.head().soft_recall == pytest.approx(brute_soft_recall(pick(0), pick(1)), rel=1e-6)
+    assert "zip_with" not in got._jdf.queryExecution().toString()
