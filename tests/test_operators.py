@@ -688,3 +688,21 @@ def test_soft_recall_forms_products_over_columns(spark):
     pick = lambda s: [r.embedding for r in df.collect() if r.s == s]
     assert got.head().soft_recall == pytest.approx(brute_soft_recall(pick(0), pick(1)), rel=1e-6)
     assert "zip_with" not in got._jdf.queryExecution().toString()
+
+
+def test_overlap_scores_shuffle_no_text(spark):
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice(["a", "b", "c", "dd"]) for _ in range(r.randint(0, 30)))
+    data = [(i, text(), text()) for i in range(60)] + [(60, None, "a"), (61, "a b c dd e", "a b c dd e")]
+    df = spark.createDataFrame(data, "k int, c string, r string")
+    grams = lambda t, n: [tuple((t or "").split()[i : i + n]) for i in range(len((t or "").split()) - n + 1)]
+    for n in (1, 2, 3):
+        got = M.rouge_n(df, ["k"], "c", "r", n)
+        assert "Exchange" not in plan_of(got)
+        for k, score in ((x.k, x[f"rouge_{n}"]) for x in got.collect()):
+            a, b = grams(data[k][1], n), grams(data[k][2], n)
+            hits = sum(min(a.count(g), b.count(g)) for g in set(a))
+            assert score == pytest.approx(2 * hits / (len(a) + len(b)) if a or b else 0.0)
+    got = M.bleu(df, ["k"], "c", "r")
+    assert "Exchange" not in plan_of(got)
+    assert {x.k: x.bleu for x in got.collect()}[61] == pytest.approx(1.0)
