@@ -590,7 +590,23 @@ def text_from_index(inverted: Column) -> Column:
     pairs = F.flatten(
         F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w"))))
     )
-    return empty_to_null(collapse(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")))
+    # no comparator in Spark's expressions, as array_sort has one
+    return empty_to_null(collapse(F.array_join(F.transform(F.sort_array(pairs), lambda x: x["w"]), " ")))
+
+
+def word_index(words: Column) -> Column:
+    """A map of each of an array's words to its positions, ascending; each row by itself. Words and array are not null."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+        return let(
+            begins, lambda b: F.map_from_arrays(
+                F.transform(b, lambda i: F.get(s, i)["w"]),
+                F.transform(b, lambda i, k: F.transform(F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i), lambda x: x["p"])),
+            ),
+        )
+
+    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p")))), runs)
 
 
 def short_count(column: ColumnOrName) -> Column:

@@ -207,8 +207,7 @@ def t27_replace_references(t: Tables) -> DataFrame:
 @query("SELECT doc_id, nullif(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '') AS text FROM documents")
 def t33_text_from_index(t: Tables) -> DataFrame:
     """The whole texts of all rows; a text without a word gives null."""
-    words = t.documents.select("doc_id", F.posexplode(F.split(X.collapse(F.coalesce("text", F.lit(""))), " ")).alias("p", "w"))
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    index = t.documents.select("doc_id", X.word_index(F.split(X.collapse(F.coalesce("text", F.lit(""))), " ")).alias("m"))
     return index.select("doc_id", X.blank_to_null(X.text_from_index(F.col("m"))).alias("text"))
 
 

@@ -706,3 +706,12 @@ def test_overlap_scores_shuffle_no_text(spark):
     got = M.bleu(df, ["k"], "c", "r")
     assert "Exchange" not in plan_of(got)
     assert {x.k: x.bleu for x in got.collect()}[61] == pytest.approx(1.0)
+
+
+def test_texts_from_index_shuffle_nothing(spark, sf):
+    from surveyq.functions import text as X
+    from surveyq.plans.registry import QUERIES
+
+    assert "Exchange" not in plan_of(QUERIES["t33_text_from_index"](spark, sf))
+    words = spark.createDataFrame([(["b", "a", "b", "", "a", "b"],), ([""],)], "w array<string>").select(X.word_index(F.col("w")).alias("m"))
+    assert [r.m for r in words.collect()] == [{"": [3], "a": [1, 4], "b": [0, 2, 5]}, {"": [0]}]
