@@ -226,16 +226,19 @@ def split_sections(column: ColumnOrName) -> Column:
     Without such a section the whole text is one, named "Full text". Array of
     (title, sentences, paragraphs).
     """
-    text = _c(column)
-    marked = F.regexp_replace(text, r"(?md)^#{1,3}(?U:\s)+(.+)$", _MARK + "$1" + _MARK)
-    parts = F.split(marked, _MARK)  # preamble, title, body, title, body, ...
-    pairs = F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(2))
-    sections = F.filter(
-        F.transform(pairs, lambda i: _section(strip(F.get(parts, i)), strip(F.get(parts, i + 1)))),
-        lambda s: F.size(s["sentences"]) > 0,
-    )
-    whole = F.array(_section(F.lit("Full text"), text))
-    return F.when(F.size(sections) > 0, sections).otherwise(whole)
+
+    def cut(text: Column) -> Column:
+        marked = F.regexp_replace(text, r"(?md)^#{1,3}(?U:\s)+(.+)$", _MARK + "$1" + _MARK)
+        # preamble, title, body, title, body, ...; bound once: inside the transform the text would be cut again for each section
+        found = let(F.split(marked, _MARK), each)
+        return let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(_section(F.lit("Full text"), text))))
+
+    def each(parts: Column) -> Column:
+        pairs = F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(2))
+        sections = F.transform(pairs, lambda i: _section(strip(F.get(parts, i)), strip(F.get(parts, i + 1))))
+        return F.filter(sections, lambda s: F.size(s["sentences"]) > 0)
+
+    return let(_c(column), cut)
 
 
 def split_tagged_sentences(column: ColumnOrName) -> Column:

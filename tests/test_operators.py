@@ -715,3 +715,10 @@ def test_texts_from_index_shuffle_nothing(spark, sf):
     assert "Exchange" not in plan_of(QUERIES["t33_text_from_index"](spark, sf))
     words = spark.createDataFrame([(["b", "a", "b", "", "a", "b"],), ([""],)], "w array<string>").select(X.word_index(F.col("w")).alias("m"))
     assert [r.m for r in words.collect()] == [{"": [3], "a": [1, 4], "b": [0, 2, 5]}, {"": [0]}]
+
+
+def test_sections_cut_a_text_once(spark, sf):
+    from surveyq.plans.registry import QUERIES
+
+    plan = plan_of(QUERIES["t16_sections"](spark, sf))
+    assert plan.count("(?md)^#{1,3}") == 1
