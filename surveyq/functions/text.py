@@ -255,10 +255,15 @@ def split_tagged_sentences(column: ColumnOrName) -> Column:
 
 def word_chunks(sentences: Column, words: Column, chunk_words: int = 350) -> Column:
     """Chunks of whole sentences, about chunk_words each, from a text's sentences and its number of words."""
-    n = F.greatest(F.floor(F.size(sentences) / (F.floor(words / chunk_words) + 1)), F.lit(1)).cast("int")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(sentences), F.lit(1)), n)
-    chunks = F.transform(starts, lambda i: F.trim(F.array_join(F.slice(sentences, i, n), " ")))
-    return F.filter(chunks, lambda c: c != "")
+
+    def cut(s: Column) -> Column:
+        n = F.greatest(F.floor(F.size(s) / (F.floor(words / chunk_words) + 1)), F.lit(1)).cast("int")
+        starts = lambda n: F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1)), n)
+        chunks = let(n, lambda n: F.transform(starts(n), lambda i: F.trim(F.array_join(F.slice(s, i, n), " "))))
+        return F.filter(chunks, lambda c: c != "")
+
+    # bound once: inside the transform the text would be split and counted again for each chunk
+    return let(sentences, cut)
 
 
 def word_count(column: ColumnOrName) -> Column:

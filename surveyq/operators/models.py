@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from surveyq.functions import text as X
 from surveyq.functions import vector as V
@@ -68,8 +69,8 @@ class OverlapAligner:
     """Share of the claim's words that the premise has."""
 
     def score(self, df: DataFrame, premise: str, claim: str, out: str) -> DataFrame:
-        p, c = _words(F.col(premise)), _words(F.col(claim))
-        return df.withColumn(out, F.when(F.size(c) > 0, F.size(F.array_intersect(c, p)) / F.size(c)).otherwise(0.0))
+        share = lambda c: F.when(F.size(c) > 0, F.size(F.array_intersect(c, _words(F.col(premise)))) / F.size(c)).otherwise(0.0)
+        return df.withColumn(out, X.let(_words(F.col(claim)), share))
 
 
 #: Cells of a table of word weights.
@@ -303,24 +304,27 @@ def align_cascade(
 
     The full text of a reference is split and embedded once, whatever the
     number of claims; chunks are ranked by cosine with the claim. The score is
-    the larger of the two; evidence_source says which.
+    the larger of the two; evidence_source says which. Pairs are scored on the abstract once and written with a
+    number; what is ranked are numbers and vectors, and texts meet again only for the chunks that were picked.
     """
     a, t = X.blank_to_null("abstract"), X.blank_to_null("full_text")
     first = aligner.score(pairs.withColumns({"abstract": a, "full_text": t}), "abstract", "claim", "__a")
     first = first.withColumn("abstract_score", F.when(F.col("abstract").isNotNull(), F.col("__a"))).drop("__a")
-    need = first.where(F.col("full_text").isNotNull() & (F.coalesce("abstract_score", F.lit(-1.0)) < skip_at))
-    refs = need.select(X.cache_key("full_text").alias("ref"), "full_text").dropDuplicates(["ref"])
-    chunked = refs.select("ref", F.posexplode(X.word_chunks(X.split_sentences("full_text", 0, False), X.word_count("full_text"), chunk_words)).alias("c", "chunk"))
-    chunks = embedder.embed(chunked, "chunk", "cv")
-    claims = embedder.embed(need.select("claim").distinct(), "claim", "qv")
-    asked = need.withColumn("ref", X.cache_key("full_text")).join(chunks, "ref").join(claims, "claim")
-    by = [*keys, "idx", "pos", "claim", "abstract", "abstract_score"]
-    from surveyq.operators.pairs import top_chunks
-
-    picked = top_chunks(asked.withColumn("__s", V.cosine(F.col("cv"), F.col("qv"))), by, "__s", top_k, "c", "chunk")
+    first = kept(first.withColumns({"__i": F.monotonically_increasing_id(), "__ref": X.cache_key("full_text"), "__q": X.cache_key("claim")}), "cascade")
+    need = first.where(F.col("full_text").isNotNull() & (F.coalesce("abstract_score", F.lit(-1.0)) < skip_at) & F.col("claim").isNotNull())
+    refs = need.select("__ref", "full_text").dropDuplicates(["__ref"])
+    cut = X.word_chunks(X.split_sentences("full_text", 0, False), X.word_count("full_text"), chunk_words)
+    chunked = kept(refs.select("__ref", cut.alias("chunks")), "chunks")
+    chunks = embedder.embed(chunked.select("__ref", F.posexplode("chunks").alias("c", "chunk")), "chunk", "cv").select("__ref", "c", "cv")
+    claims = embedder.embed(need.select("__q", "claim").dropDuplicates(["__q"]), "claim", "qv").select("__q", "qv")
+    asked = need.select("__i", "__ref", "__q").join(claims, "__q").join(chunks, "__ref").select("__i", "__ref", "c", V.cosine(F.col("cv"), F.col("qv")).alias("__s"))
+    rank = F.row_number().over(Window.partitionBy("__i", "__ref").orderBy(F.desc("__s"), "c"))
+    best = asked.withColumn("__r", rank).where(F.col("__r") <= top_k).groupBy("__i", "__ref").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    text = F.array_join(F.transform("cs", lambda c: F.get("chunks", c)), "\n\n")
+    picked = need.select("__i", "claim", "abstract").join(best.join(chunked, "__ref").select("__i", text.alias("text")), "__i")
     premise = picked.withColumn("__p", X.evidence_text(["Abstract:", "Full text:"], ["abstract", "text"]))
-    second = aligner.score(premise, "__p", "claim", "full_text_score").select(*keys, "idx", "pos", "full_text_score")
-    both = first.join(second, [*keys, "idx", "pos"], "left")
+    second = aligner.score(premise, "__p", "claim", "full_text_score").select("__i", "full_text_score")
+    both = first.drop("claim", "__ref", "__q").join(second, "__i", "left")
     better = F.col("full_text_score") > F.coalesce("abstract_score", F.lit(-1.0))
     scored = both.withColumns(
         {
@@ -330,7 +334,7 @@ def align_cascade(
         }
     )
     found = best_evidence(scored, keys, threshold)
-    every = pairs.select(*keys, "claim").distinct().join(found, keys, "left")
+    every = first.select(*keys, "claim").distinct().join(found, keys, "left")
     return every.join(scored.groupBy(*keys).agg(F.count_if("skipped_full_text").alias("n_abstract_skip")), keys, "left")
 
 

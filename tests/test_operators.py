@@ -722,3 +722,22 @@ def test_sections_cut_a_text_once(spark, sf):
 
     plan = plan_of(QUERIES["t16_sections"](spark, sf))
     assert plan.count("(?md)^#{1,3}") == 1
+
+
+def test_chunks_bind_their_sentences(spark):
+    """Sentences are formed once a text and not again for each chunk."""
+    from surveyq.functions import text as X
+
+    df = spark.range(1).select(F.concat(F.lit("One is here. " * 60), F.col("id").cast("string")).alias("t"))
+    cut = df.select(X.word_chunks(X.split_sentences("t", 0, False), X.word_count("t"), 20).alias("c"))
+    assert " ".join(cut.head().c) == "One is here. " * 60 + "0" and plan_of(cut).count("(?<=[.!?])") == 1
+
+
+def test_cascade_of_null_and_equal_claims(spark):
+    """Texts are ranked by number: rows of equal keys stay apart, a null claim is no empty one."""
+    text = "alpha beta gamma. Delta epsilon zeta. " * 30
+    data = [(1, 1, 0, None, None, text), (2, 1, 0, "", None, text), (3, 1, 0, "alpha zeta", None, text), (3, 2, 1, "alpha zeta", "alpha", text), (4, 1, 0, "alpha zeta", "zeta alpha", text)]
+    pairs = spark.createDataFrame(data, "k int, idx int, pos int, claim string, abstract string, full_text string")
+    got = {r.k: r for r in M.align_cascade(pairs, M.OverlapAligner(), M.HashEmbedder(), ["k"], chunk_words=20).collect()}
+    assert [got[k].alignscore for k in (1, 2, 3, 4)] == [None, 0.0, 1.0, 1.0]
+    assert [(got[k].best_ref, got[k].n_abstract_skip) for k in (3, 4)] == [(1, 0), (1, 1)]
