@@ -90,22 +90,49 @@ def word_weights(df: DataFrame, text: str, cells: int = CELLS) -> np.ndarray:
     return table
 
 
+#: A word at so few places is aligned by numbers, others by arrays.
+FEW = 3
+
+
 def local_alignment(claim: np.ndarray, premise: np.ndarray, weight: np.ndarray, gap: float) -> float:
     """Weight of the best local alignment of two word sequences (Smith and Waterman, 1981).
 
-    A matched word counts its weight, a claim word that is left out costs gap times its weight, a premise word gap. A
-    row of the table is one step of numpy: leaving premise words out is a running maximum.
+    A matched word counts its weight, a claim word that is left out costs gap times its weight, a premise word gap. Only
+    claim words that the premise has make a step, over their places there. What was left out is not subtracted
+    step by step: `low` and `passed` are the costs up to a premise and a claim word, scores are kept with both
+    added, and the best score before a place is a running maximum.
     """
     if not len(claim) or not len(premise):
         return 0.0
-    slide = gap * np.arange(len(premise) + 1)
-    row, best = np.zeros(len(premise) + 1), 0.0
-    for word, w in zip(claim, weight):
-        met = np.maximum(row - gap * w, 0.0)
-        hit = np.flatnonzero(premise == word)
-        met[hit + 1] = np.maximum(met[hit + 1], row[hit] + w)
-        row = np.maximum.accumulate(met + slide) - slide
-        best = max(best, float(row.max()))
+    order = np.argsort(premise, kind="stable")
+    words, first = np.unique(premise[order], return_index=True)
+    at = np.minimum(np.searchsorted(words, claim), len(words) - 1)
+    low, passed = gap * np.arange(len(premise) + 1), gap * np.cumsum(weight)
+    met = np.flatnonzero(words[at] == claim)
+    begin, end = first[at[met]].tolist(), np.append(first[1:], len(premise))[at[met]].tolist()
+    top, best, places = np.full(len(premise) + 1, -np.inf), 0.0, {}
+    for a, b, w, spent in zip(begin, end, weight[met].tolist(), passed[met].tolist()):
+        if a not in places:
+            hit = order[a:b]
+            places[a] = (hit, hit + 1, low[hit]) if b - a > FEW else hit.tolist()
+        cost, gain = spent - gap * w, w + gap + gap * w
+        if b - a > FEW:
+            hit, after, paid = places[a]
+            score = np.maximum(top[hit] - paid, cost)  # from the best before it, or from nothing
+            best = max(best, float(score.max()) + w - cost)
+            score += paid
+            score += gain
+            top[after] = np.maximum(top[after], score)
+            rest = top[after[0] :]
+            np.maximum.accumulate(rest, out=rest)
+        else:
+            # the same place by place; all are read before one is written
+            scores = [max(float(top[h]) - gap * h, cost) for h in places[a]]
+            best = max(best, max(scores) + w - cost)
+            for h, score in zip(places[a], scores):
+                score += gap * h + gain
+                rest = top[h + 1 :]
+                rest[: rest.searchsorted(score)] = score
     return best
 
 

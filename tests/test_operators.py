@@ -741,3 +741,16 @@ def test_cascade_of_null_and_equal_claims(spark):
     got = {r.k: r for r in M.align_cascade(pairs, M.OverlapAligner(), M.HashEmbedder(), ["k"], chunk_words=20).collect()}
     assert [got[k].alignscore for k in (1, 2, 3, 4)] == [None, 0.0, 1.0, 1.0]
     assert [(got[k].best_ref, got[k].n_abstract_skip) for k in (3, 4)] == [(1, 0), (1, 1)]
+
+
+def test_alignment_steps_over_shared_words_only():
+    import time
+
+    r = np.random.default_rng(2)
+    claim, premise = np.arange(30_000), np.arange(30_000) + 29_998
+    begin = time.perf_counter()
+    assert M.local_alignment(claim, premise, np.ones(len(claim)), 0.1) == pytest.approx(2.0)
+    assert time.perf_counter() - begin < 1
+    for n, words in ((40, 3), (60, 40)):
+        claim, premise, weight = r.integers(0, words, n), r.integers(0, words, n + 9), r.random(n) + 0.1
+        assert M.local_alignment(claim, premise, weight, 0.1) == pytest.approx(plain_alignment(claim, premise, weight, 0.1), abs=1e-9)
