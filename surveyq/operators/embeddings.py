@@ -14,13 +14,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyq.functions import text as X
+from surveyq.session import kept
 
 #: Cells of hashed words, vectors beyond those wanted that a round carries, and rows multiplied at once.
 CELLS, EXTRA, ROWS = 8192, 16, 512
@@ -32,14 +32,20 @@ def word_cells(text: str, cells: int) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(cells)).cast("int"))
 
 
-def weighted(rows: list, idf: np.ndarray) -> np.ndarray:
-    """A dense block of the matrix: a row for each list of cells; rows without words are zero."""
-    out = np.zeros((len(rows), len(idf)), np.float32)
-    for i, found in enumerate(rows):
-        if found is not None and len(found):
-            at, n = np.unique(np.asarray(found, np.int64), return_counts=True)
-            value = np.log1p(n) * idf[at]
-            out[i, at] = value / np.sqrt((value**2).sum())
+def counted(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, n): how often each list has each of its cells, by row and cell; nulls have none."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    keys = np.repeat(np.arange(len(lists), dtype=np.int64) << 32, sizes) | lists.flatten().to_numpy(zero_copy_only=False)
+    found, n = np.unique(keys, return_counts=True)
+    return found >> 32, found & 0xFFFFFFFF, n
+
+
+def weighted(size: int, row: np.ndarray, cell: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A dense block of the matrix: `size` rows of length 1 from counts of cells; rows without words are zero."""
+    value = np.log1p(n) * idf[cell]
+    length = np.sqrt(np.bincount(row, value**2, size))
+    out = np.zeros((size, len(idf)), np.float32)
+    out[row, cell] = value / length[row]
     return out
 
 
@@ -54,25 +60,28 @@ class LearnedEmbedder:
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast((self.vectors.astype(np.float32), self.idf))
 
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def project(cells: pd.Series) -> pd.Series:
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def project(cells: pa.Array) -> pa.Array:
             vectors, idf = shared.value
-            rows = cells.tolist()
-            blocks = [weighted(rows[a : a + ROWS], idf) @ vectors for a in range(0, len(rows), ROWS)]
-            return pd.Series([v for b in blocks for v in b], dtype=object)
+            blocks = [np.zeros((0, vectors.shape[1]), np.float32)]
+            for a in range(0, len(cells), ROWS):
+                some = cells.slice(a, ROWS)
+                blocks.append(weighted(len(some), *counted(some), idf) @ vectors)
+            flat = np.concatenate(blocks)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
         return df.withColumn(out, project(word_cells(text, len(self.idf))))
 
 
 def learn_embedder(df: DataFrame, text: str = "text", dims: int = 64, cells: int = CELLS, rounds: int = 4, seed: int = 7) -> LearnedEmbedder:
-    """An embedder of `dims` dimensions from all rows: one pass for frequencies and one a round.
+    """An embedder of `dims` dimensions from all rows: texts are read once and kept as counts of cells, which frequencies and rounds pass over.
 
     Null and empty texts weigh nothing. The same rows give the same vectors up
     to the order of additions; each vector's largest entry is positive.
     """
-    lists = df.select(word_cells(text, cells).alias("w")).where(F.size("w") > 0)
+    lists = kept(_counts(df.select(word_cells(text, cells).alias("w"))), "cells")
     total = lists.count()
-    counts = lists.select(F.explode(F.array_distinct("w")).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # `cells` rows at most
+    counts = lists.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # `cells` rows at most
     idf = np.full(cells, np.log(1.0 + total) + 1.0)
     idf[counts["cell"].to_numpy(int)] = np.log((1.0 + total) / (1.0 + counts["n"].to_numpy(float))) + 1.0
     wide = min(dims + EXTRA, cells)
@@ -88,6 +97,18 @@ def learn_embedder(df: DataFrame, text: str = "text", dims: int = 64, cells: int
     return LearnedEmbedder(vectors, idf, np.sqrt(np.maximum(values[order], 0.0)))
 
 
+def _counts(lists: DataFrame) -> DataFrame:
+    """(cells, n): the cells of each list that has any, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, cell, n = counted(batch.column(0))
+            ends = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (cell, n)], ["cells", "n"])
+
+    return lists.mapInArrow(run, "cells array<int>, n array<int>")
+
+
 def _product(lists: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Transposed matrix times matrix times block; each task sums its rows first, and sums of a cell meet by cell."""
     shared = lists.sparkSession.sparkContext.broadcast((idf, block.astype(np.float32)))
@@ -98,9 +119,10 @@ def _product(lists: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarray
         total = np.zeros(mine.shape)
         seen = False
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            for a in range(0, len(rows), ROWS):
-                part = weighted(rows[a : a + ROWS], idf)
+            for a in range(0, len(batch), ROWS):
+                some = batch.slice(a, ROWS)
+                row = np.repeat(np.arange(len(some)), some.column(0).value_lengths().to_numpy())
+                part = weighted(len(some), row, *(some.column(k).flatten().to_numpy() for k in (0, 1)), idf)
                 total += part.T @ (part @ mine)
                 seen = True
         at = np.flatnonzero(np.abs(total).sum(1)) if seen else []

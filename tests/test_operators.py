@@ -754,3 +754,10 @@ def test_alignment_steps_over_shared_words_only():
     for n, words in ((40, 3), (60, 40)):
         claim, premise, weight = r.integers(0, words, n), r.integers(0, words, n + 9), r.random(n) + 0.1
         assert M.local_alignment(claim, premise, weight, 0.1) == pytest.approx(plain_alignment(claim, premise, weight, 0.1), abs=1e-9)
+
+
+def test_learning_keeps_counts_of_cells(spark):
+    from surveyq.operators import embeddings as L
+
+    df = spark.createDataFrame([([3, 1, 3],), (None,), ([],), ([7],)], "w array<int>").coalesce(1)
+    assert [tuple(r) for r in L._counts(df).collect()] == [([1, 3], [1, 2]), ([7], [1])]
