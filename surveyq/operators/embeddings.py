@@ -40,7 +40,12 @@ def counted(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found >> 32, found & 0xFFFFFFFF, n
 
 
-def weighted(size: int, row: np.ndarray, cell: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def weighted(rows: list, idf: np.ndarray) -> np.ndarray:
+    """A dense block of the matrix: a row for each list of cells; rows without words are zero."""
+    return dense(len(rows), *counted(pa.array(rows, pa.list_(pa.int32()))), idf)
+
+
+def dense(size: int, row: np.ndarray, cell: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """A dense block of the matrix: `size` rows of length 1 from counts of cells; rows without words are zero."""
     value = np.log1p(n) * idf[cell]
     length = np.sqrt(np.bincount(row, value**2, size))
@@ -66,7 +71,7 @@ class LearnedEmbedder:
             blocks = [np.zeros((0, vectors.shape[1]), np.float32)]
             for a in range(0, len(cells), ROWS):
                 some = cells.slice(a, ROWS)
-                blocks.append(weighted(len(some), *counted(some), idf) @ vectors)
+                blocks.append(dense(len(some), *counted(some), idf) @ vectors)
             flat = np.concatenate(blocks)
             return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
@@ -122,7 +127,7 @@ def _product(lists: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarray
             for a in range(0, len(batch), ROWS):
                 some = batch.slice(a, ROWS)
                 row = np.repeat(np.arange(len(some)), some.column(0).value_lengths().to_numpy())
-                part = weighted(len(some), row, *(some.column(k).flatten().to_numpy() for k in (0, 1)), idf)
+                part = dense(len(some), row, *(some.column(k).flatten().to_numpy() for k in (0, 1)), idf)
                 total += part.T @ (part @ mine)
                 seen = True
         at = np.flatnonzero(np.abs(total).sum(1)) if seen else []
