@@ -43,27 +43,35 @@ def _type(core: Column) -> Column:
     return F.when(bare.rlike(_NUMBER), F.lit("##")).otherwise(bare)
 
 
+def _raw_words(text: str) -> Column:
+    """What stands between white space and has a letter or digit."""
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+
+
+def word_uses(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, type, period, n): uses of each word as it is written; equal words are counted before any pattern runs."""
+    each = docs.select(F.col(lang).alias("lang"), F.explode(_raw_words(text)).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    cored = each.select("lang", "n", _core(F.col("w")).alias("core"))
+    return cored.select("lang", _type(F.col("core")).alias("type"), F.endswith("core", F.lit(".")).alias("period"), "n")
+
+
 def word_pairs(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, type, period, marked, upper, lower, p_type, p_period, p_marked): each word with the word before it in its text.
+    """(lang, type, period, marked, upper, lower, p_type, p_period, p_marked, n): each word with the word before it in its text, n times.
 
-    p_* is the word before; null at the start of a text. marked words end in ? or !.
+    p_* is the word before; null at the start of a text, and of an empty type
+    where that word has no period, ? or !, whatever it is. marked words end in ? or !. Equal pairs are counted as they
+    are written, before any pattern runs.
     """
-    words = F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+")
-    # one step after the other, so that each pattern runs once a word
-    cored = F.transform(words, lambda w: F.struct(_core(w).alias("core"), w.rlike(_MARKED).alias("marked")))
-    first = F.transform(F.filter(cored, lambda w: w["core"] != ""), lambda w: F.struct(w["core"].alias("core"), w["marked"].alias("marked"), F.substring(w["core"], 1, 1).alias("c")))
-    told = docs.select(F.col(lang).alias("lang"), first.alias("w")).select(
-        "lang",
-        F.transform(
-            "w", lambda w: F.struct(
-                _type(w["core"]).alias("type"), F.endswith(w["core"], F.lit(".")).alias("period"), w["marked"].alias("marked"),
-                (w["c"] != F.lower(w["c"])).alias("upper"), (w["c"] != F.upper(w["c"])).alias("lower"),
-            ),
-        ).alias("w"),
+    told = docs.select(F.col(lang).alias("lang"), _raw_words(text).alias("w"))
+    before = lambda i: F.get(F.col("w"), i - 1)
+    pair = F.transform("w", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.when(before(i).rlike("[.?!]"), before(i)).otherwise("")).alias("p")))
+    each = told.select("lang", F.explode(pair).alias("e")).groupBy("lang", F.col("e.w").alias("w"), F.col("e.p").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    cored = each.select("lang", "n", _core(F.col("w")).alias("core"), _core(F.col("p")).alias("p_core"), F.rlike("w", F.lit(_MARKED)).alias("marked"), F.rlike("p", F.lit(_MARKED)).alias("p_marked"))
+    first = F.substring("core", 1, 1)
+    return cored.select(
+        "lang", _type(F.col("core")).alias("type"), F.endswith("core", F.lit(".")).alias("period"), "marked", (first != F.lower(first)).alias("upper"), (first != F.upper(first)).alias("lower"),
+        _type(F.col("p_core")).alias("p_type"), F.endswith("p_core", F.lit(".")).alias("p_period"), "p_marked", "n",
     )
-    pair = F.transform("w", lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(F.col("w"), i - 1)).alias("p")))
-    each = told.select("lang", F.explode(pair).alias("e"))
-    return each.select("lang", *(F.col(f"e.x.{n}").alias(n) for n in ("type", "period", "marked", "upper", "lower")), *(F.col(f"e.p.{n}").alias(f"p_{n}") for n in ("type", "period", "marked")))
 
 
 def _safe(x: Column) -> Column:
@@ -91,12 +99,12 @@ def together_score(a: Column, b: Column, ab: Column, n: Column) -> Column:
     return 2 * (_log(ab, a, p1) + _log(b - ab, rest, p2) - _log(ab, a, p) - _log(b - ab, rest, p))
 
 
-def word_types(pairs: DataFrame) -> DataFrame:
-    """(lang, type, n, k, words, periods, score): each word's uses, those with a period, the language's sums, and its score as an abbreviation.
+def word_types(uses: DataFrame) -> DataFrame:
+    """(lang, type, n, k, words, periods, score) of word_uses or word_pairs: each word's uses, those with a period, the language's sums, and its score as an abbreviation.
 
     Words without a letter or a period score null.
     """
-    types = kept(pairs.groupBy("lang", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if("period").alias("k")), "types")
+    types = kept(uses.groupBy("lang", "type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("k")), "types")
     sums = types.groupBy("lang").agg(F.sum("n").alias("words"), F.sum("k").alias("periods"))  # a row a language
     all_of = types.alias("t").join(F.broadcast(sums.alias("s")), _same("t", "s")).select("t.*", "words", "periods")
     score = abbreviation_score(F.col("n"), F.col("k"), F.col("words"), F.col("periods"), F.col("type"))
@@ -112,9 +120,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
     Kinds: abbreviation a; starter a; collocation (a, b); lower and upper: a word a that
     follows unsure periods is seen in that case, upper only inside sentences. Null languages are one language; null and empty
-    texts have no words. The corpus is read twice; what is kept of it are counts of words and of pairs around unsure periods.
+    texts have no words. The corpus is read once; what is kept of it are counts of words and of pairs around periods.
     """
-    pairs = word_pairs(docs, text, lang)
+    pairs = kept(word_pairs(docs, text, lang), "pairs")
     types = word_types(pairs)
     abbreviations = kept(types.where(F.col("score") >= ABBREVIATION).select("lang", "type", "score"), "abbreviations")
     known = checked(abbreviations).select("lang", F.col("type").alias("abbreviation"))
@@ -125,7 +133,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     told = seen.withColumns({"unsure": unsure, "after": after, "first": F.col("p_type").isNull() | after})
     counts = kept(
         told.groupBy("lang", "type", F.when(F.col("unsure"), F.col("p_type")).alias("before")).agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("after").alias("after"), F.bool_or("lower").alias("lower"),
+            F.sum("n").alias("n"), F.sum(F.when(F.col("after"), F.col("n")).otherwise(0)).alias("after"), F.bool_or("lower").alias("lower"),
             F.bool_or(F.col("upper") & ~F.col("first") & ~F.col("unsure")).alias("upper"),
         ), "words",
     )

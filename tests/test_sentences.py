@@ -115,3 +115,14 @@ def test_initials_numbers_and_marks():
     assert cut("It costs 5. The rest is free.") == ["It costs 5.", "The rest is free."]
     assert cut('He said "stop." Then he left.') == ['He said "stop."', "Then he left."]
     assert cut("Why? no idea! Yes.") == ["Why? no idea!", "Yes."]
+
+
+def test_equal_words_are_counted_before_patterns_run(spark):
+    from surveyq.operators import sentences as N
+
+    df = spark.createDataFrame([("en", "See Fig. 3! - (See) fig. 3!")] * 50, "lang string, text string")
+    uses = {(r.type, r.period): r.n for r in N.word_uses(df).groupBy("type", "period").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert uses == {("see", False): 100, ("fig", True): 100, ("##", False): 100}
+    assert N.word_uses(df).count() == 5
+    pairs = {(r.type, r.p_type, r.p_period, r.p_marked): r.n for r in N.word_pairs(df).collect() if r.type == "see"}
+    assert pairs == {("see", None, None, None): 50, ("see", "##", False, True): 50}
