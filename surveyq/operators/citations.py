@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyq.functions import text as X
-from surveyq.operators.scans import fresh
+from surveyq.operators.scans import dealt, fresh
+from surveyq.session import kept
+
+#: Fixed value: so many tasks at most share one survey's papers.
+SLICES = 16
 
 
 def _first_present(df: DataFrame, *names: str) -> Column:
@@ -101,26 +105,39 @@ def cited_doc_ids(matched: DataFrame) -> DataFrame:
     return matched.where("matched_doc_id IS NOT NULL").select(F.col("matched_doc_id").alias("doc_id")).distinct()
 
 
-def citation_metrics(surveys: DataFrame, matched: DataFrame, truth: DataFrame, key: str = "survey_key") -> DataFrame:
+def citation_metrics(surveys: DataFrame, matched: DataFrame, truth: DataFrame | str, key: str = "survey_key") -> DataFrame:
     """key, n_refs, n_matched, match_rate, n_truth, n_hit, coverage, coverage_distinct.
 
-    coverage counts every matched reference, so papers cited twice count twice
-    over the distinct truth and it can pass 1; coverage_distinct can't. Without
-    references the rates are 0; without truth coverage is null.
+    truth is a table, or names a boolean column of matched that marks the
+    references whose papers are the truth. coverage counts every matched
+    reference, so papers cited twice count twice over the distinct truth and it
+    can pass 1; coverage_distinct can't. Without references the rates are 0;
+    without truth coverage is null.
+
+    The rows are written once under the shared folder and dealt by their count,
+    so that a task's memory doesn't grow with them; a large survey is dealt
+    into slices of its papers.
     """
-    facts = truth.select(key, F.col("doc_id").cast("long").alias("matched_doc_id")).distinct().withColumn("__t", F.lit(1))
-    # one row for each survey and paper before the truth is met
-    each = matched.groupBy(key, "matched_doc_id").agg(F.count(F.lit(1)).alias("__n")).join(facts, [key, "matched_doc_id"], "left")
+    doc, paper = F.col("__doc"), F.col("__doc").isNotNull()
+    column = F.col(truth) if isinstance(truth, str) else F.lit(False)
+    rows = matched.select(key, F.col("matched_doc_id").cast("long").alias("__doc"), F.lit(1).alias("__n"), F.coalesce(column, F.lit(False)).alias("__t"))
+    if not isinstance(truth, str):
+        rows = rows.unionAll(truth.select(key, F.col("doc_id").cast("long").alias("__doc"), F.lit(0).alias("__n"), F.lit(True).alias("__t")))
+    # references without a paper have nothing to be told apart by and go to any slice
+    piece = F.pmod(F.when(paper, F.xxhash64(doc)).otherwise(F.monotonically_increasing_id()), F.lit(SLICES)).cast("int")
+    rows = kept(rows.withColumn("__slice", piece), "citations")
+    count = rows.count()
+    each = dealt(rows, count, key, "__slice").groupBy(key, "__slice", "__doc").agg(F.sum("__n").alias("__n"), F.bool_or("__t").alias("__t"))
     n = lambda test: F.coalesce(F.sum(F.when(test, F.col("__n"))), F.lit(0))
-    per = each.groupBy(key).agg(
-        F.sum("__n").alias("n_refs"), n(F.col("matched_doc_id").isNotNull()).alias("n_matched"), n(F.col("__t") == 1).alias("n_hit"),
-        F.count("__t").alias("n_hit_distinct"),
-    )
-    totals = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n_truth"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = surveys.select(key).join(per, key, "left").join(totals, key, "left").select(
-        key, *(zero(c).alias(c) for c in ("n_refs", "n_matched", "n_hit", "n_hit_distinct", "n_truth"))
+    sums = ("n_refs", "n_matched", "n_hit", "n_hit_distinct", "n_truth")
+    slices = each.groupBy(key, "__slice").agg(
+        F.sum("__n").alias("n_refs"), n(paper).alias("n_matched"), n(paper & F.col("__t")).alias("n_hit"),
+        F.count_if(paper & F.col("__t") & (F.col("__n") > 0)).alias("n_hit_distinct"), F.count_if(paper & F.col("__t")).alias("n_truth"),
+        F.bool_or(~paper & F.col("__t")).alias("__t"),
     )
+    # truth without a paper counts once
+    per = dealt(slices, count, key).groupBy(key).agg(*(F.sum(c).alias(c) for c in sums), F.bool_or("__t").cast("int").alias("__t")).withColumn("n_truth", F.col("n_truth") + F.col("__t"))
+    out = dealt(surveys.select(key), count, key).join(per, key, "left").select(key, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sums))
     return out.select(
         key, "n_refs", "n_matched", "n_truth", "n_hit",
         F.when(F.col("n_refs") > 0, F.col("n_matched") / F.col("n_refs")).otherwise(0.0).alias("match_rate"),

@@ -36,6 +36,16 @@ def fresh(names: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+#: Fixed value: rows that one task takes of a table that is dealt by its count.
+PER_TASK = 1 << 18
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df by the hash of columns, in more partitions the more rows there are, so that what a task holds doesn't grow; a few rows are left to the session."""
+    n = -(-rows // PER_TASK)
+    return df.repartition(*by) if n <= 1 else df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def running(df: DataFrame, group: list[str], order: list[Column | str], values: dict[str, tuple[str, Column | str]], before: bool = False) -> DataFrame:
     """df with a running aggregate of each group in an order: values is name -> (sum, count, min or max; column).
 

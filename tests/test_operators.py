@@ -55,6 +55,35 @@ def test_citation_joins(spark):
     assert rows(C.corpus_papers(lower)) == [(1, "t", "a")]
 
 
+def test_citation_metrics_deal_rows_by_their_count(spark, monkeypatch):
+    """One survey has most references, some repeat or have no paper; the more rows there are, the more tasks share them."""
+    from surveyq.operators import scans
+
+    monkeypatch.setattr(scans, "PER_TASK", 100, raising=False)
+    r = random.Random(7)
+    refs = [(r.choice([1, 1, 1, *range(2, 40), None]), r.choice([None, *range(60)]), r.random() < 0.4) for _ in range(3000)]
+    true = [(k, d) for k, d, t in refs if t] + [(2, 1000), (2, 1000), (41, 5)]
+    surveys = [*range(1, 43), 3, None]
+
+    def want(truth):
+        out = []
+        for k in surveys:
+            docs = [] if k is None else [d for s, d, _ in refs if s == k]
+            facts = {d for s, d in truth if s == k and k is not None}
+            found = [d for d in docs if d is not None]
+            hits = [d for d in found if d in facts]
+            out.append((k, len(docs), len(found), len(facts), len(hits), len(found) / len(docs) if docs else 0.0, len(hits) / len(facts) if facts else None, len(set(hits)) / len(facts) if facts else None))
+        return sorted(out, key=str)
+
+    keys = spark.createDataFrame([(k,) for k in surveys], "survey_key long")
+    matched = spark.createDataFrame(refs, "survey_key long, matched_doc_id long, mark boolean")
+    got = C.citation_metrics(keys, matched, spark.createDataFrame(true, "survey_key long, doc_id long"))
+    assert rows(got) == want(true)
+    assert got.select(F.spark_partition_id()).distinct().count() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows(C.citation_metrics(keys, matched, "mark")) == want([(k, d) for k, d, t in refs if t])
+    assert rows(C.citation_metrics(keys, matched.limit(0), "mark")) == sorted([(k, 0, 0, 0, 0, 0.0, None, None) for k in surveys], key=str)
+
+
 def test_enrichment_and_candidates(spark):
     refs = spark.createDataFrame([("s", 1, "old title", "", "1")], "survey_key string, idx int, title string, url string, arxiv_id string")
     service = spark.createDataFrame([("s", 1, "", "http://u", "d")], "survey_key string, idx int, title string, url string, doi string")
