@@ -46,6 +46,12 @@ def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.repartition(*by) if n <= 1 else df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
+def spread(df: DataFrame, by: str, most: int = 1 << 22) -> DataFrame:
+    """df as it is where the session's shuffle partitions take at most so many rows each, else dealt by a column into more, for a join on it that may sort."""
+    n = -(-df.count() // most)
+    return df if n <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(n, by)
+
+
 def running(df: DataFrame, group: list[str], order: list[Column | str], values: dict[str, tuple[str, Column | str]], before: bool = False) -> DataFrame:
     """df with a running aggregate of each group in an order: values is name -> (sum, count, min or max; column).
 

@@ -84,6 +84,16 @@ def test_citation_metrics_deal_rows_by_their_count(spark, monkeypatch):
     assert rows(C.citation_metrics(keys, matched.limit(0), "mark")) == sorted([(k, 0, 0, 0, 0, 0.0, None, None) for k in surveys], key=str)
 
 
+def test_spread_deals_a_large_table_only(spark):
+    from surveyq.operators.scans import spread
+
+    df = spark.range(1000).withColumn("k", F.col("id") % 50)
+    assert spread(df, "k") is df
+    dealt = spread(df, "k", 50)
+    assert dealt.rdd.getNumPartitions() == 20 and rows(dealt) == rows(df)
+    assert dealt.withColumn("p", F.spark_partition_id()).groupBy("k").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
+
+
 def test_enrichment_and_candidates(spark):
     refs = spark.createDataFrame([("s", 1, "old title", "", "1")], "survey_key string, idx int, title string, url string, arxiv_id string")
     service = spark.createDataFrame([("s", 1, "", "http://u", "d")], "survey_key string, idx int, title string, url string, doi string")
