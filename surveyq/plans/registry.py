@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surveyq.session import table
 
@@ -37,3 +38,14 @@ def query(sql: str | None = None):
         return build
 
     return register
+
+
+def sql_round(value: Column, places: int) -> Column:
+    """A double to so many places as DuckDB's round: halves of the product in doubles go up.
+
+    Spark's round goes by the decimal digits: 323 / 640 is 0.5046875 and becomes 0.504688,
+    but its product with 10 ** 6 is 504687.49999999994, hence 0.504687 in SQL.
+    """
+    scaled = F.abs(value) * F.lit(10.0**places)
+    whole = F.floor(scaled)
+    return F.signum(value) * (whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)) / F.lit(10.0**places)

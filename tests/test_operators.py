@@ -800,3 +800,33 @@ def test_learning_keeps_counts_of_cells(spark):
 
     df = spark.createDataFrame([([3, 1, 3],), (None,), ([],), ([7],)], "w array<int>").coalesce(1)
     assert [tuple(r) for r in L._counts(df).collect()] == [([1, 3], [1, 2]), ([7], [1])]
+
+
+def as_its_sql(spark, name, folder, rows, schema, table="documents"):
+    """Rows of a query and of its SQL over a small table, sorted as text."""
+    import duckdb
+
+    from surveyq.plans.registry import ORACLES, QUERIES
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    return sorted(map(repr, (tuple(r[n] for n in names) for r in QUERIES[name](spark, str(folder)).collect()))), sorted(map(repr, want.fetchall()))
+
+
+def test_cascade_concat_rounds_as_its_sql(spark, tmp_path):
+    """323 of 640 words: a half of the seventh place, which SQL's product in doubles puts below the half."""
+    words = [f"w{i:03}" for i in range(640)]
+    first, second = words[:110] + ["zzzz"] * 530, words  # the last third of the second half has 213 of its words
+    got, want = as_its_sql(spark, "c6_cascade_concat", tmp_path, [(1, " ".join(first) + " " + " ".join(second) + " ")], "doc_id long, text string")
+    assert got == want == ["(1, 1, 0.504687)"]
+
+
+def test_cascade_concat_of_odd_texts_is_as_its_sql(spark, tmp_path):
+    texts = ["", None, "  \n ", "a", "?!", " " * 40 + "abstract alpha beta gamma delta epsilon", "alpha beta gamma delta, full text of one " + "." * 16, "one two three four. abstract full text " + "\u65e5" * 14]
+    texts += ["istanbul and i others. \u0130stanbul, \u0130 and others", " " * 30 + "abstract words " + "-" * 15, "\u00a0" * 20 + "full text abstract a"]
+    rows = [*enumerate(texts), (3, "b c d. B c e f"), (3, "b c d. B c e f"), (3, "full abstract. x y z u v w"), (None, "some words. Some more"), (None, "")]
+    got, want = as_its_sql(spark, "c6_cascade_concat", tmp_path, rows, "doc_id long, text string")
+    assert got == want
