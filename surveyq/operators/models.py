@@ -12,6 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -481,35 +482,57 @@ def rouge_l(df: DataFrame, keys: list[str], candidate: str, reference: str) -> D
     return df.select(*keys, score(X.norm_words(candidate), X.norm_words(reference)).alias("rouge_l"))
 
 
-def soft_recall(wanted: DataFrame, found: DataFrame, by: list[str], vector: str = "embedding", block: int = 1024) -> DataFrame:
+def _near_sums(tile: int = 1024, floor: float = V.FLOOR) -> Callable[[pa.Table], pa.Table]:
+    """A function of two blocks of vectors that meet, or of one with itself: __i, and w and f, a vector's similarities to the other block's times their counts.
+
+    Products of `tile` by `tile` vectors are formed at once. It carries all it needs, as workers may lack this package.
+    """
+
+    def sums(unit: pa.Table) -> pa.Table:
+        x = unit["__v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(unit.num_rows, unit["__s"][0].as_py())
+        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), floor)
+        counts = np.column_stack([unit[c].to_numpy() for c in ("__w", "__f")]).astype(float)
+        out, (m, a, b) = np.zeros_like(counts), (unit[c].to_numpy() for c in ("__m", "__a", "__b"))
+        tiles = lambda rows: [rows[k : k + tile] for k in range(0, len(rows), tile)]
+        left, right = tiles(np.flatnonzero(m == a)), tiles(np.flatnonzero(m == b))
+        for k, of in enumerate(left):
+            # a product counts for both its tiles; in a block of its own each two tiles meet once
+            for to in right if a[0] != b[0] else right[k:]:
+                near = x[of] @ x[to].T
+                np.maximum(near, 0.0, out=near)
+                out[of] += near @ counts[to]
+                if to[0] != of[0]:
+                    out[to] += near.T @ counts[of]
+        return pa.table({"__i": unit["__i"], "w": out[:, 0], "f": out[:, 1]})
+
+    return sums
+
+
+def soft_recall(wanted: DataFrame, found: DataFrame, by: list[str], vector: str = "embedding", block: int = 8192) -> DataFrame:
     """by, soft_recall: soft cardinality of the union's overlap (Franti and Mariescu-Istodor, 2023) over that of the wanted set.
 
     Soft cardinality of a set is the sum of 1 / sum of similarities to its own
     members, similarities below 0 as 0. Equal vectors of a group are one row
     with its counts in both sets; the rows are dealt into blocks by a hash of
-    the vector, and each two blocks meet under a key of their own, so no row or task holds a whole
-    group. All pairs of a group are formed, one sum of products each over columns of
-    numbers, which Spark compiles as it does not a loop over arrays. Rows without a vector are in no set.
+    the vector, and each two blocks meet once under a key of their own, so no row or task holds a whole
+    group. All pairs of a group are formed, as products of matrices of doubles in Python workers, a tile at a time;
+    the sums of each vector are written, and what follows them stays in the JVM. Rows without a vector are in no set.
     """
     side = lambda df, w: df.select(*by, F.col(vector).alias("__v"), F.lit(w).alias("__w"), F.lit(1 - w).alias("__f"))
     every = side(wanted, 1).unionByName(side(found, 0)).where("__v IS NOT NULL")
-    rows = every.groupBy(*by, "__v").agg(F.sum("__w").alias("__w"), F.sum("__f").alias("__f")).withColumn("__v", V.unit(F.col("__v")))
+    rows = every.groupBy(*by, "__v").agg(F.sum("__w").alias("__w"), F.sum("__f").alias("__f"))
     # a struct, so that a key of nulls joins as well; written, so that the numbers of rows are fixed
     rows = kept(rows.select(F.struct(*by).alias("__g"), "__v", "__w", "__f", F.monotonically_increasing_id().alias("__i")), "vectors")
-    dims = rows.agg(F.max(F.size("__v"))).head()[0] or 0
     sizes = rows.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n"))
-    whole = rows.where(~F.exists("__v", lambda x: x.isNull())).join(sizes, "__g").withColumn("__m", F.pmod(F.xxhash64("__v"), "__n").cast("int"))
-    # vectors of unequal length or with a null are not near; what a shorter one lacks is 0 on both sides
-    size, others = F.size("__v").alias("__s"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
-    numbers = lambda name: [F.coalesce(F.get("__v", F.lit(k)), F.lit(0.0)).alias(f"{name}{k}") for k in range(dims)]
+    # vectors of unequal length or with a null are not near
+    whole = rows.where(~F.exists("__v", lambda x: x.isNull())).withColumn("__s", F.size("__v")).join(sizes, "__g").withColumn("__m", F.pmod(F.xxhash64("__v"), "__n").cast("int"))
+    other = whole.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    unit = ["__g", "__s", "__a", "__b"]
+    met = other.select("__g", "__s", F.least("__m", "__o").alias("__a"), F.greatest("__m", "__o").alias("__b"), "__m", "__i", "__w", "__f", "__v")
     # by number, as the time of a task follows its pairs and not its bytes
     tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = whole.select("__g", size, "__m", others.alias("__o"), "__i", *numbers("__x")).repartition(tasks, "__g", "__s", "__m", "__o")
-    right = whole.select("__g", size, F.col("__m").alias("__o"), others.alias("__m"), F.col("__w").alias("__ww"), F.col("__f").alias("__ff"), *numbers("__y"))
-    met = left.join(right, ["__g", "__s", "__m", "__o"])
-    dot = sum((F.col(f"__x{k}") * F.col(f"__y{k}") for k in range(dims)), F.lit(0.0))
-    near = met.select("__i", "__ww", "__ff", F.greatest(dot, F.lit(0.0)).alias("__d"))
-    part = near.groupBy("__i").agg(F.sum(F.col("__d") * F.col("__ww")).alias("w"), F.sum(F.col("__d") * F.col("__ff")).alias("f"))
+    near = met.repartition(tasks, *unit).groupBy(*unit).applyInArrow(_near_sums(), "__i long, w double, f double")
+    part = kept(near.groupBy("__i").agg(F.sum("w").alias("w"), F.sum("f").alias("f")), "sums")
     none = F.lit(0.0)
     summed = rows.join(part, "__i", "left").withColumns({"w": F.coalesce("w", none), "f": F.coalesce("f", none)})
     size = lambda n, s: F.sum(F.when(n > 0, n / s).otherwise(0.0))

@@ -830,3 +830,21 @@ def test_cascade_concat_of_odd_texts_is_as_its_sql(spark, tmp_path):
     rows = [*enumerate(texts), (3, "b c d. B c e f"), (3, "b c d. B c e f"), (3, "full abstract. x y z u v w"), (None, "some words. Some more"), (None, "")]
     got, want = as_its_sql(spark, "c6_cascade_concat", tmp_path, rows, "doc_id long, text string")
     assert got == want
+
+
+def test_soft_recall_forms_no_row_a_pair(spark):
+    """36 million ordered pairs as products of matrices, over several blocks and tiles; a row a pair took 2 microseconds of a core each."""
+    import time
+
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(6000, 64)).astype(np.float32)
+    x[5990:] = x[:10]  # equal vectors, some across the sets
+    df = spark.createDataFrame([(i % 2 if i < 5995 else 1, v.tolist()) for i, v in enumerate(x)], "s int, embedding array<float>").withColumn("k", F.lit("a")).repartition(4)
+    kept = M.kept(df, "drawn")
+    M.soft_recall(kept.limit(9), kept.limit(9), ["k"]).collect()  # workers are there
+    begin = time.perf_counter()
+    got = M.soft_recall(kept.where("s = 0"), kept.where("s = 1"), ["k"], block=2500).head().soft_recall
+    took = time.perf_counter() - begin
+    pick = lambda s: [r.embedding for r in kept.where(f"s = {s}").collect()]
+    assert got == pytest.approx(brute_soft_recall(pick(0), pick(1)), rel=1e-10)
+    assert took < 15, took
