@@ -508,7 +508,7 @@ def _near_sums(tile: int = 1024, floor: float = V.FLOOR) -> Callable[[pa.Table],
     return sums
 
 
-def soft_recall(wanted: DataFrame, found: DataFrame, by: list[str], vector: str = "embedding", block: int = 8192) -> DataFrame:
+def soft_recall(wanted: DataFrame, found: DataFrame, by: list[str], vector: str = "embedding", block: int = 16384) -> DataFrame:
     """by, soft_recall: soft cardinality of the union's overlap (Franti and Mariescu-Istodor, 2023) over that of the wanted set.
 
     Soft cardinality of a set is the sum of 1 / sum of similarities to its own
@@ -523,7 +523,8 @@ def soft_recall(wanted: DataFrame, found: DataFrame, by: list[str], vector: str
     rows = every.groupBy(*by, "__v").agg(F.sum("__w").alias("__w"), F.sum("__f").alias("__f"))
     # a struct, so that a key of nulls joins as well; written, so that the numbers of rows are fixed
     rows = kept(rows.select(F.struct(*by).alias("__g"), "__v", "__w", "__f", F.monotonically_increasing_id().alias("__i")), "vectors")
-    sizes = rows.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n"))
+    # written, so that few groups are known to be few, and vectors don't go through a shuffle to meet them
+    sizes = kept(rows.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n")), "sizes")
     # vectors of unequal length or with a null are not near
     whole = rows.where(~F.exists("__v", lambda x: x.isNull())).withColumn("__s", F.size("__v")).join(sizes, "__g").withColumn("__m", F.pmod(F.xxhash64("__v"), "__n").cast("int"))
     other = whole.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
