@@ -362,7 +362,8 @@ def align_cascade(
         }
     )
     found = best_evidence(scored, keys, threshold)
-    every = first.select(*keys, "claim").distinct().join(found, keys, "left")
+    # told apart by key, so that no claim is shuffled where none is asked for
+    every = first.groupBy(*keys, "__q", F.col("claim").isNull().alias("__none")).agg(F.first("claim").alias("claim")).drop("__q", "__none").join(found, keys, "left")
     return every.join(scored.groupBy(*keys).agg(F.count_if("skipped_full_text").alias("n_abstract_skip")), keys, "left")
 
 
