@@ -338,11 +338,11 @@ def align_cascade(
     a, t = X.blank_to_null("abstract"), X.blank_to_null("full_text")
     first = aligner.score(pairs.withColumns({"abstract": a, "full_text": t}), "abstract", "claim", "__a")
     first = first.withColumn("abstract_score", F.when(F.col("abstract").isNotNull(), F.col("__a"))).drop("__a")
-    first = kept(first.withColumns({"__i": F.monotonically_increasing_id(), "__ref": X.cache_key("full_text"), "__q": X.cache_key("claim")}), "cascade")
+    first = kept(first.withColumns({"__i": F.monotonically_increasing_id(), "__ref": X.cache_key("full_text"), "__q": X.cache_key("claim")}), "cascade", compression="zstd")
     need = first.where(F.col("full_text").isNotNull() & (F.coalesce("abstract_score", F.lit(-1.0)) < skip_at) & F.col("claim").isNotNull())
     refs = need.select("__ref", "full_text").dropDuplicates(["__ref"])
     cut = X.word_chunks(X.split_sentences("full_text", 0, False), X.word_count("full_text"), chunk_words)
-    chunked = kept(refs.select("__ref", cut.alias("chunks")), "chunks")
+    chunked = kept(refs.select("__ref", cut.alias("chunks")), "chunks", compression="zstd")
     chunks = embedder.embed(chunked.select("__ref", F.posexplode("chunks").alias("c", "chunk")), "chunk", "cv").select("__ref", "c", "cv")
     claims = embedder.embed(need.select("__q", "claim").dropDuplicates(["__q"]), "claim", "qv").select("__q", "qv")
     asked = need.select("__i", "__ref", "__q").join(claims, "__q").join(chunks, "__ref").select("__i", "__ref", "c", V.cosine(F.col("cv"), F.col("qv")).alias("__s"))

@@ -48,10 +48,10 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{where.rstrip('/')}/surveyq-{label}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df as a table under the shared folder: cuts lineage and is computed once."""
+def kept(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df as a table under the shared folder: cuts lineage and is computed once. options are the writer's."""
     path = scratch_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
